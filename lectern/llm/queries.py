@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import merkle, packing, secret_scan
-from lectern.llm.storage import documents
+from lectern.llm import langid, merkle, packing, quality, secret_scan
+from lectern.llm.storage import documents, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -22,6 +23,23 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary_path(), 2048)
 
 
+def _fold(parts: int, part: int) -> Column:
+    """Whether crc32(doc_id as text) leaves this remainder."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts)) == part, F.lit(False))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.train(docs, ~_fold(4, 2))
+    return langid.predict(docs, model).select("doc_id", _fold(4, 2).alias("held_out"), "lang_pred", "score", "spans")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    ranker = quality.train(docs, table(spark, sf_dir, "labels"), ~_fold(3, 1))
+    return quality.score(docs, ranker).select("doc_id", _fold(3, 1).alias("held_out"), "score", "predicted")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return secret_scan.scan(docs, secret_scan.train(docs))
@@ -33,6 +51,8 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_language": op3_language,
+    "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
     "op10_merkle": op10_merkle,
 }
