@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.storage import hash_sample
+
 _CLASSES = {
     "lower": b"abcdefghijklmnopqrstuvwxyz",
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -118,14 +120,14 @@ _FEATURE_ROW = "label int, features array<double>"
 
 
 def train(docs: DataFrame, labels: DataFrame, learnable: Column, documents: int = 20_000) -> Ranker:
-    """Learn from at most ``documents`` labelled rows, taken by the hash of their id.
+    """Learn from about ``documents`` labelled rows at most, taken by the hash of their id.
 
     ``learnable`` marks the rows of ``labels`` to learn from. The sample of ids
     is bounded, so joining it to the texts needs no shuffle of them; features
     are made on the executors.
     """
     own = labels.where(learnable).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
-    sample = own.orderBy(F.xxhash64("doc_id"), "label").limit(documents)
+    sample = hash_sample(own, "doc_id", documents)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, documents: int
             made = [features(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.float64()))], ["label", "features"])
 
-    # `documents` ids of 12 bytes at most: a broadcast of a proven size
+    # about `documents` ids of 12 bytes: a broadcast of a bounded size
     found = texts.join(F.broadcast(sample), "doc_id").select("label", "text").mapInArrow(run, _FEATURE_ROW).toPandas()
     rows = np.array(found["features"].tolist(), dtype=float).reshape(len(found), len(FEATURES))
     order = np.lexsort((*rows.T, found["label"].to_numpy()))  # the order of tasks must not matter

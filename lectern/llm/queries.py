@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import langid, merkle, packing, quality, secret_scan
+from lectern.llm import langid, licenses, merkle, packing, pii, quality, secret_scan
 from lectern.llm.storage import documents, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -19,6 +19,11 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.find(docs, pii.train(docs))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary_path(), 2048)
 
@@ -45,15 +50,23 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(docs, secret_scan.train(docs))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files ``source/doc_id``."""
+    files = documents(spark, sf_dir).select(F.col("doc_id").alias("file_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text")
+    return licenses.resolve(files).withColumnRenamed("file_id", "doc_id")
+
+
 def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_packing": op2_packing,
     "op3_language": op3_language,
     "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
+    "op9_licenses": op9_licenses,
     "op10_merkle": op10_merkle,
 }
 ORACLE: dict[str, str] = {}

@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -49,6 +50,18 @@ def _clean() -> None:
             return
 
 
+def hash_sample(df: DataFrame, column: str, bound: int) -> DataFrame:
+    """About ``bound`` rows of ``df`` at most, chosen by the hash of a column.
+
+    Each row is judged alone, at a rate that the row count sets, so no rows meet
+    in one task; rows with equal values stay or go together.
+    """
+    total = df.count()
+    if total <= bound:
+        return df
+    return df.where(F.pmod(F.xxhash64(column), F.lit(1 << 30)) < int(bound / total * (1 << 30)))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
