@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import langid, licenses, merkle, packing, pii, quality, secret_scan
+from lectern.llm import langid, licenses, merkle, packing, pii, quality, secret_scan, substrings
 from lectern.llm.storage import documents, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -39,6 +39,25 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", _fold(4, 2).alias("held_out"), "lang_pred", "score", "spans")
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(documents(spark, sf_dir), 50)
+
+
+OP4_SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+s as (select doc_id, unnest(range(1, len(words) - 48)) as i, words from w where len(words) >= 50),
+h as (select doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) as h from s),
+r as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by h) as least from h) where least < doc_id),
+p as (select doc_id, unnest(range(1, len(words) + 1)) as i, unnest(words) as word from w),
+c as (select p.doc_id, p.i, p.word, max(r.i) over (partition by p.doc_id order by p.i rows between unbounded preceding and current row) as last
+      from p left join r on r.doc_id = p.doc_id and r.i = p.i),
+k as (select doc_id, count(*) filter (where last is not null and last > i - 50) as n_removed,
+      string_agg(word, ' ' order by i) filter (where last is null or last <= i - 50) as kept from c group by doc_id)
+select w.doc_id, len(w.words)::bigint as n_words, coalesce(k.n_removed, 0)::bigint as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256
+from w left join k on k.doc_id = w.doc_id
+"""
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     ranker = quality.train(docs, table(spark, sf_dir, "labels"), ~_fold(3, 1))
@@ -64,9 +83,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
     "op3_language": op3_language,
+    "op4_substrings": op4_substrings,
     "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
     "op9_licenses": op9_licenses,
     "op10_merkle": op10_merkle,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_substrings": OP4_SQL}
