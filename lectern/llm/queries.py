@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import langid, licenses, merkle, packing, pii, quality, secret_scan, substrings
+from lectern.llm import jaccard, langid, licenses, merkle, packing, pii, quality, secret_scan, substrings
 from lectern.llm.storage import documents, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -69,6 +69,29 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(docs, secret_scan.train(docs))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir), 5, 0.8)
+
+
+OP8_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') as words from documents),
+g as (select distinct doc_id, array_to_string(words[i:i + least(5, len(words)) - 1], ' ') as gram
+      from (select doc_id, words, unnest(range(1, greatest(len(words) - 4, least(len(words), 1)) + 1)) as i from w)),
+k as (select doc_id, md5(string_agg(gram, '|' order by gram)) as key, count(*) as n from g group by doc_id),
+r as (select key, min(doc_id) as rep, count(*) as copies, min(n) as n from k group by key),
+rg as (select r.rep, g.gram from r join g on g.doc_id = r.rep),
+i as (select x.rep as a, y.rep as b, count(*) as common from rg x join rg y on x.gram = y.gram and x.rep < y.rep group by x.rep, y.rep),
+l as (select a, b from i join r ra on ra.rep = a join r rb on rb.rep = b where common * 10 >= 8 * (ra.n + rb.n - common)),
+e as (select a, b from l union all select b, a from l),
+c(node, label) as (select rep, rep from r union select e.b, c.label from c join e on e.a = c.node),
+m as (select node, min(label) as class_id from c group by node),
+d as (select e.a as rep, count(*) as text_links, sum(r.copies) as doc_links from e join r on r.rep = e.b group by e.a)
+select w.doc_id, coalesce(m.class_id, w.doc_id) as class_id, coalesce(r.rep, w.doc_id) as representative, coalesce(r.copies, 1)::bigint as n_copies,
+  coalesce(d.text_links, 0)::bigint as n_text_links, (coalesce(d.doc_links, 0) + coalesce(r.copies, 1) - 1)::bigint as n_links
+from w left join k on k.doc_id = w.doc_id left join r on r.key = k.key left join m on m.node = r.rep left join d on d.rep = r.rep
+"""
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files ``source/doc_id``."""
     files = documents(spark, sf_dir).select(F.col("doc_id").alias("file_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text")
@@ -86,7 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substrings": op4_substrings,
     "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
+    "op8_jaccard": op8_jaccard,
     "op9_licenses": op9_licenses,
     "op10_merkle": op10_merkle,
 }
-ORACLE: dict[str, str] = {"op4_substrings": OP4_SQL}
+ORACLE: dict[str, str] = {"op4_substrings": OP4_SQL, "op8_jaccard": OP8_SQL}
