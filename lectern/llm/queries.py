@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import jaccard, langid, licenses, merkle, packing, pii, quality, secret_scan, substrings
+from lectern.llm import decontaminate, jaccard, langid, licenses, merkle, packing, pii, quality, secret_scan, substrings
 from lectern.llm.storage import documents, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -69,6 +69,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(docs, secret_scan.train(docs))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir), 5, 0.8)
 
@@ -109,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substrings": op4_substrings,
     "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
+    "op7_decontamination": op7_decontamination,
     "op8_jaccard": op8_jaccard,
     "op9_licenses": op9_licenses,
     "op10_merkle": op10_merkle,
