@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.storage import hash_sample
+
 # The base rules.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -107,13 +109,13 @@ def _uniform_prior() -> np.ndarray:
 
 
 def train(docs: DataFrame, documents: int = 4000) -> Judge:
-    """Fit both chains on at most ``documents`` texts, chosen by the hash of their text.
+    """Fit both chains on about ``documents`` texts at most, chosen by the hash of their text.
 
     The labels come from the base rules. Transition counts are added up on the
     executors; the driver gets one 68 x 68 table for each model.
     """
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null and text <> ''")
-    sample = texts.select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(documents) if documents else texts
+    sample = hash_sample(texts, "text", documents)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         random, ordinary = np.zeros((STATES, STATES)), np.zeros((STATES, STATES))
