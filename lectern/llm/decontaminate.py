@@ -225,6 +225,8 @@ def _contains(text: list[int], words: list[int]) -> bool:
 
 def _search(texts: list[tuple], own: Index, rules: Rules) -> list[tuple]:
     """Rows of ``FOUND`` for some texts: (doc_id, word hashes)."""
+    if not texts:
+        return []
     latents = [own.windows(words) for _, words in texts]
     joined = np.concatenate(latents)
     owner = np.repeat(np.arange(len(texts)), [len(x) for x in latents])
@@ -301,7 +303,34 @@ def _searcher(own: Index, rules: Rules):
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rules: Rules | None = None) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark passage; all columns are kept."""
-    bad = leaks(docs, benchmark, rules).select(F.col("doc_id").alias("leak")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["leak"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, rules: Rules | None = None, rank: int = RANK) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark passage.
+
+    All columns are kept. Rows are judged where they lie, once for each block of
+    the benchmark, without a shuffle.
+    """
+    rules = rules or Rules()
+    text_at = docs.columns.index("text")
+    kept = docs
+    for block in _batches(benchmark):
+        own = index(docs, block, rank)
+        if own is not None:
+            kept = kept.mapInArrow(_filter(own, rules, text_at), docs.schema)
+    return kept
+
+
+def _filter(own: Index, rules: Rules, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean_rows, some, size = np.ones(batch.num_rows, dtype=bool), [], 0
+            for at, text in enumerate(batch.column(text_at).to_pylist()):
+                words = words_of(text or "")
+                if len(words):
+                    some.append((at, words))
+                    size += len(words)
+                if size >= 16_000 or at + 1 == batch.num_rows:
+                    clean_rows[[row[0] for row in _search(some, own, rules)]] = False
+                    some, size = [], 0
+            yield batch.filter(pa.array(clean_rows))
+
+    return run

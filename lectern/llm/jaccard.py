@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import graph, kernels
@@ -227,3 +227,15 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
         F.coalesce("text_links", F.lit(0)).alias("n_text_links"),
         (F.coalesce("doc_links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
     )
+
+
+def keep(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
+    """``docs`` with one row of each class: that of its least doc_id.
+
+    All columns are kept. Of rows that repeat a doc_id the first by text stays;
+    rows without a doc_id stay, as they are in no class.
+    """
+    least = join(docs, n, threshold, recall).where("doc_id = class_id").select(F.col("class_id").alias("__kept_id")).distinct()
+    number = F.row_number().over(Window.partitionBy("__kept_id").orderBy("text"))
+    kept = docs.join(least, docs["doc_id"].cast("long") == least["__kept_id"]).withColumn("__kept_number", number).where("__kept_number = 1").select([docs[c] for c in docs.columns])
+    return kept.unionByName(docs.where("doc_id is null"))

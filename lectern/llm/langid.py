@@ -250,3 +250,47 @@ def predict(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
             yield label(ids, found)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PREDICTED)
+
+
+def keep(docs: DataFrame, model: Model, min_score: float = 0.5, penalty: float = 12.0) -> DataFrame:
+    """``docs`` without rows that have no language, or none with ``min_score`` of their letters.
+
+    All columns are kept, and a missing lang is filled in with the prediction.
+    Rows are judged where they lie, without a shuffle.
+    """
+    text_at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch, found in _parts(whole, text_at):
+                labels = viterbi([model.scores(w) for w in found], penalty) if model.languages else []
+                kept, names = [], []
+                for at, (w, own) in enumerate(zip(found, labels, strict=False)):
+                    if len(own):
+                        weight = np.bincount(own, weights=w.ends - w.starts, minlength=len(model.languages))
+                        if weight.max() >= min_score * weight.sum():
+                            kept.append(at)
+                            names.append(model.languages[int(weight.argmax())])
+                batch = batch.take(pa.array(kept, pa.int64()))
+                if "lang" in batch.schema.names and len(kept):
+                    place = batch.schema.names.index("lang")
+                    lang = [old if old is not None else new for old, new in zip(batch.column(place).to_pylist(), names, strict=True)]
+                    columns = [pa.array(lang, c.type) if i == place else c for i, c in enumerate(batch.columns)]
+                    batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+                yield batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _parts(batch: pa.RecordBatch, text_at: int) -> Iterator[tuple[pa.RecordBatch, list[Words]]]:
+    """A batch in parts of a bounded number of words, with the words of each text."""
+    first, found, size = 0, [], 0
+    for at, text in enumerate(batch.column(text_at).to_pylist()):
+        w = words(lowered(text or ""))
+        found.append(w if w.letters else words(""))
+        size += len(w.starts) + len(w.grams) // 8
+        if size >= _WORDS_AT_ONCE:
+            yield batch.slice(first, at + 1 - first), found
+            first, found, size = at + 1, [], 0
+    if found:
+        yield batch.slice(first), found
