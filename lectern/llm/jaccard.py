@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm import graph, kernels
+from lectern.llm import kernels
 from lectern.llm.storage import stored
+from lectern.operators.components import components
 
 SIGNED = "doc_id long, key binary, n_grams long, bands array<long>"
 FOUND = "a long, b long, text_links long, doc_links long"
@@ -209,7 +210,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     slots = classes.select("representative", F.explode("bands").alias("band"))
     buckets = slots.groupBy("band").agg(F.min("representative").alias("hub"), F.max("representative").alias("last")).where("hub < last")
     candidates = slots.join(buckets.select("band", "hub"), "band").select(F.col("hub").alias("a"), F.col("representative").alias("b"))
-    connected = stored(graph.components(candidates), "candidates")
+    connected = stored(components(candidates), "candidates")
     nodes = classes.select("key", F.col("representative").alias("node"), "copies", "n_grams").join(connected, "node")
     sizes = nodes.groupBy("component").agg(F.ceil(F.sum("n_grams") / BLOCK).alias("blocks"))
     nodes = nodes.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
@@ -217,7 +218,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     members = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     found = stored(_verified(members, n, threshold), "links")
     links = found.where("b is null").groupBy(F.col("a").alias("representative")).agg(F.sum("text_links").alias("text_links"), F.sum("doc_links").alias("doc_links"))
-    grouped = graph.components(found.where("b is not null")).select(F.col("node").alias("representative"), F.col("component").alias("class_id"))
+    grouped = components(found.where("b is not null")).select(F.col("node").alias("representative"), F.col("component").alias("class_id"))
     per_class = classes.select("key", "representative", "copies").join(links, "representative", "left").join(grouped, "representative", "left")
     return signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(per_class, "key", "left").select(
         "doc_id",

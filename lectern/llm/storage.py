@@ -1,53 +1,13 @@
-"""Where intermediate tables live.
-
-Lineage is cut with Parquet tables in the shared folder that the session names
-in ``spark.checkpoint.dir``; only where that setting is unset (tests, a laptop)
-a folder of our own is used.
-"""
+"""Tables of the text-preparation operators, and bounded samples of them."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
-
+from lectern.storage import shared_dir, stored, table
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables of this session."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = os.path.join(tempfile.gettempdir(), "lectern-checkpoints")
-    return place.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    The schema is handed to the reader, so an empty result keeps its columns.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lectern-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _written:
-        atexit.register(_clean)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the JVM may be gone already; the folder is scratch space
-            return
+__all__ = ["documents", "hash_sample", "shared_dir", "stored", "table"]
 
 
 def hash_sample(df: DataFrame, column: str, bound: int) -> DataFrame:
@@ -64,7 +24,3 @@ def hash_sample(df: DataFrame, column: str, bound: int) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
