@@ -2,10 +2,10 @@
 
 Windows repeated at one length alone are extended to twice that length. The
 first level looks at windows of half the target length and, of those, at the
-winnowed ones: every window of the target length holds at least one, and equal
-windows hold equal ones, so nothing repeated is missed. Only where such a window
-occurs in two documents are the target's windows around it made; those that
-occur in two documents are the repeats. ``longest`` doubles on from there, until
+winnowed ones: every window of the target length has one, the least hash in it,
+and equal windows have equal ones, so nothing repeated is missed. Only the
+target's windows whose own winnowed window occurs in two texts are made; those
+that occur in two documents are the repeats. ``longest`` doubles on from there, until
 no candidates survive.
 
 Copies of a whole text are one class: its least doc_id stands for it, and every
@@ -26,6 +26,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,9 @@ from lectern.llm.storage import stored
 
 WORD = ~kernels.SPACE
 EMPTY = hashlib.sha256(b"").hexdigest()
-SCANNED = "doc_id long, key binary, n_words long, sha256 string, anchors array<long>, places array<int>"
+SCANNED = "doc_id long, key binary, n_words long, sha256 string, text_class long, anchors array<long>, places array<int>"
+#: Bits of the filter that spares the shuffle of texts without candidates: 8 MB at every size.
+FILTER_BITS = 1 << 26
 WINDOWS = "doc_id long, text string, starts array<int>, first array<long>, second array<long>"
 CUT = "doc_id long, key binary, n_removed long, kept_sha256 string"
 
@@ -56,32 +59,53 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, counts, digests, anchors, places = [], [], [], [], []
+            keys, counts, digests, classes, anchors, places = [], [], [], [], [], []
             for data in kernels.texts(batch.column(1)):
                 words, _, _ = kernels.hashed_words(data, WORD)
                 digest = hashlib.sha256(b" ".join(data.split()))
                 hashes = kernels.window_hashes(words, half)
                 at = kernels.winnowed(hashes, length - half + 1)
                 keys.append(digest.digest()[:16])
+                classes.append(int.from_bytes(digest.digest()[:8], "little", signed=True))
                 counts.append(len(words))
                 digests.append(digest.hexdigest())
                 anchors.append(hashes[at].view(np.int64))
                 places.append(at)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), _lists(anchors, np.int64), _lists(places, np.int32)],
-                ["doc_id", "key", "n_words", "sha256", "anchors", "places"],
+                [batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(classes, pa.int64()), _lists(anchors, np.int64), _lists(places, np.int32)],
+                ["doc_id", "key", "n_words", "sha256", "text_class", "anchors", "places"],
             )
 
     return _texts(docs).mapInArrow(run, SCANNED)
 
 
-def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys that two documents have, with the least doc_id; counted before they are shuffled."""
-    return rows.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(*keys, "least")
+def _repeated(rows: DataFrame, keys: list[str], of: str = "doc_id") -> DataFrame:
+    """The keys that two documents have, with the least of them; aggregated before they are shuffled."""
+    return rows.groupBy(*keys).agg(F.min(of).alias("least"), F.max(of).alias("most")).where("least < most").select(*keys, "least")
+
+
+def _among(ids: DataFrame):
+    """A column function: false only for doc_ids that are not in ``ids``.
+
+    A bit array of fixed size, made by one aggregation; it is there to keep
+    texts out of a shuffle, and the join after it is what decides.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    rows = ids.select(bit.alias("bit")).selectExpr("shiftright(bit, 6) as word", "shiftleft(1L, cast(bit & 63 as int)) as bit")
+    found = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # FILTER_BITS / 64 rows at most
+    filled = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    filled[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
+
+    @F.pandas_udf("boolean")
+    def among(bits: pd.Series) -> pd.Series:
+        at = bits.to_numpy(dtype=np.int64)
+        return pd.Series((filled[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return among(bit)
 
 
 def _extended(candidates: DataFrame, length: int) -> DataFrame:
-    """The windows of ``length`` that hold a repeated window of half the length."""
+    """The windows of ``length`` whose winnowed window of half the length is repeated."""
     half = (length + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,15 +113,18 @@ def _extended(candidates: DataFrame, length: int) -> DataFrame:
             starts, first, second = [], [], []
             for data, at in zip(kernels.texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 words, _, _ = kernels.hashed_words(data, WORD)
-                n = max(0, len(words) - length + 1)
-                near = np.zeros(n + 1, dtype=np.int64)
-                at = np.array(at, dtype=np.int64)
-                np.add.at(near, np.clip(at + half - length, 0, n), 1)
-                np.add.at(near, np.clip(at + 1, 0, n), -1)
-                own = np.flatnonzero(np.cumsum(near)[:n] > 0)
+                own = np.zeros(0, dtype=np.int64)
+                if len(words) >= length:
+                    halves = kernels.window_hashes(words, half)
+                    at = np.array(at, dtype=np.int64)
+                    at = at[at < len(halves)]
+                    repeated = np.full(len(halves), np.iinfo(np.uint64).max, dtype=np.uint64)
+                    repeated[at] = halves[at]
+                    width = length - half + 1
+                    own = np.flatnonzero(kernels.sliding(repeated, width, np.minimum) == kernels.sliding(halves, width, np.minimum))
                 starts.append(own)
-                first.append(kernels.window_hashes(words, length)[own].view(np.int64) if n else own)
-                second.append(kernels.window_hashes(words, length, other=True)[own].view(np.int64) if n else own)
+                first.append(kernels.window_hashes(words, length)[own].view(np.int64) if len(own) else own)
+                second.append(kernels.window_hashes(words, length, other=True)[own].view(np.int64) if len(own) else own)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(starts, np.int32), _lists(first, np.int64), _lists(second, np.int64)], ["doc_id", "text", "starts", "first", "second"])
 
     return candidates.select("doc_id", "text", "places").mapInArrow(run, WINDOWS)
@@ -127,11 +154,19 @@ def _cut(rows: DataFrame, length: int) -> DataFrame:
 
 
 def _windows(docs: DataFrame, scanned: DataFrame, length: int) -> DataFrame:
-    """Windows of ``length`` around the repeated windows of half the length, by document."""
-    single = scanned.where("least is null or least = doc_id")
-    anchors = single.select("doc_id", F.explode(F.arrays_zip("anchors", "places")).alias("a")).select("doc_id", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("place"))
-    places = anchors.join(_repeated(anchors, ["anchor"]).select("anchor"), "anchor").groupBy("doc_id").agg(F.collect_list("place").alias("places"))  # a document's own
-    return stored(_extended(_texts(docs).join(places, "doc_id"), length), "windows")
+    """Windows of ``length`` around the repeated windows of half the length, by document.
+
+    Half windows count as repeated if two different texts have them, so copies
+    of a whole text make no candidates of each other; of copies, the
+    representative alone goes on.
+    """
+    anchors = scanned.select("doc_id", "text_class", F.explode(F.arrays_zip("anchors", "places")).alias("a"))
+    anchors = anchors.select("doc_id", "text_class", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("place"))
+    repeated = _repeated(anchors.select("anchor", "text_class"), ["anchor"], "text_class").select("anchor")
+    places = anchors.select("anchor", "doc_id", "place").join(repeated, "anchor").groupBy("doc_id").agg(F.collect_list("place").alias("places"))  # a document's own
+    single = scanned.where("least is null or least = doc_id").select("doc_id").distinct()
+    places = stored(places.join(single, "doc_id"), "places")
+    return stored(_extended(_texts(docs).where(_among(places)).join(places, "doc_id"), length), "windows")
 
 
 def _classes(scanned: DataFrame) -> DataFrame:
