@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnLike = Column | str
@@ -41,16 +41,27 @@ def positions(text: ColumnLike, query: str) -> Column:
     return F.when(text.contains(query), F.concat(first, ends)).otherwise(F.array().cast("array<int>"))
 
 
-def grams(text: ColumnLike, n: int = 3) -> Column:
-    """Every window of n characters as struct(position, gram); shorter texts have none.
+def _joined(array: Column, step: int, count: int, length: Column) -> Column:
+    """Each element with those ``step``, 2 * ``step``... places on, as one text; incomplete ones are left out."""
+    shifted = F.arrays_zip(*[(F.slice(array, k * step + 1, length) if k else array).alias(f"c{k}") for k in range(count)])
+    made = F.transform(shifted, lambda z: F.concat(*[z[f"c{k}"] for k in range(count)]))
+    return F.filter(made, lambda g: g.isNotNull())
 
-    Characters are split off once for each place in a gram and zipped, so a long
-    text costs time in proportion.
+
+def exploded_grams(rows: DataFrame, n: int, keep: list[str]) -> DataFrame:
+    """(``keep``, position, gram): every window of n characters of ``text``; shorter texts have none.
+
+    Characters are split off once; windows of a part of the length are made
+    first and joined, so a long text costs time in proportion.
     """
-    chars = F.split(_c(text), "")
-    shifted = F.arrays_zip(*[(F.slice(chars, k + 1, F.length(_c(text))) if k else chars).alias(f"c{k}") for k in range(n)])
-    made = F.transform(shifted, lambda z, i: F.struct(i.alias("position"), F.concat(*[z[f"c{k}"] for k in range(n)]).alias("gram")))
-    return F.when(F.length(_c(text)) >= n, F.filter(made, lambda g: g["gram"].isNotNull()))
+    part = next(d for d in range(int(n**0.5), 0, -1) if n % d == 0)
+    size = F.length("text")
+    rows = rows.where(size >= n).select(*keep, size.alias("__n"), F.split("text", "").alias("__chars"))
+    if part > 1:
+        rows = rows.withColumn("__chars", _joined(F.col("__chars"), 1, part, F.col("__n")))
+    if n // part > 1:
+        rows = rows.withColumn("__chars", _joined(F.col("__chars"), part, n // part, F.col("__n")))
+    return rows.select(*keep, F.posexplode("__chars").alias("position", "gram"))
 
 
 def left_context(text: ColumnLike, start: Column, width: int) -> Column:

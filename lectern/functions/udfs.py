@@ -30,26 +30,27 @@ def _fold(text: str | None) -> str | None:
     return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_search(texts: pd.Series) -> pd.Series:
     return texts.map(_fold)
 
 
+BLOCKS = T.ArrayType(T.StructType([T.StructField("tag", T.StringType())] + [T.StructField(n, T.IntegerType()) for n in ("a_start", "a_end", "b_start", "b_end")]))
 PUA_BASE = 0x105000
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def expand_entities(texts: pd.Series) -> pd.Series:
     """``&KR0001;`` as its character of the private plane."""
     return texts.map(lambda t: t and re.sub(r"&KR(\d+);", lambda m: chr(PUA_BASE + int(m[1])), t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def entities(texts: pd.Series) -> pd.Series:
     """The inverse of ``expand_entities``."""
     return texts.map(lambda t: t and re.sub("[\U00105000-\U00108fff]", lambda m: f"&KR{ord(m[0]) - PUA_BASE:04d};", t))
@@ -79,7 +80,7 @@ def jcs(value) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def jcs_hash(documents: pd.Series) -> pd.Series:
     """The hash of a JSON text in canonical form."""
     import hashlib
@@ -87,7 +88,7 @@ def jcs_hash(documents: pd.Series) -> pd.Series:
     return documents.map(lambda d: d and "sha256:" + hashlib.sha256(jcs(json.loads(d)).encode()).hexdigest())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def self_hash(documents: pd.Series) -> pd.Series:
     """The hash of a JSON object whose own hash field is blank."""
     import hashlib
@@ -140,7 +141,7 @@ def align_ops(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([align(x, y) for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("array<struct<tag:string,a_start:int,a_end:int,b_start:int,b_end:int>>")
+@F.pandas_udf(BLOCKS)
 def opcodes(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching and differing blocks of two texts."""
     names = ("tag", "a_start", "a_end", "b_start", "b_end")

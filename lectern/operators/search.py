@@ -68,7 +68,7 @@ def search(sources: DataFrame, text: str, context: int = 20, distance: int = 20,
 
 def postings(sources: DataFrame, n: int = 3) -> DataFrame:
     """(gram, bucket_id, position) of every window of n characters."""
-    return sources.select("bucket_id", F.explode(fn.grams("text", n)).alias("g")).select(F.col("g.gram").alias("gram"), "bucket_id", F.col("g.position").alias("position"))
+    return fn.exploded_grams(sources, n, ["bucket_id"]).select("gram", "bucket_id", "position")
 
 
 def write_postings(sources: DataFrame, path: str, partitions: int) -> None:

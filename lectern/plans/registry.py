@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import search_queries
+from lectern.plans import passage_queries, search_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-for _module in (search_queries,):
+for _module in (search_queries, passage_queries):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
 FLAGSHIP = "kwic_literal"
