@@ -38,7 +38,10 @@ def winnow(sources: DataFrame, anchor_length: int = 12, min_length: int = 24) ->
     """
     width = min_length - anchor_length + 1
     by = Window.partitionBy("bucket_id").orderBy("position")
-    chosen = windows(sources.where(F.length("text") >= min_length), anchor_length).withColumn("best", F.struct("hash", (-F.col("position")).alias("place")))
+    # texts are dealt by source before they are blown up into windows, which then stay where they are
+    shares = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sources.where(F.length("text") >= min_length).select("bucket_id", "text").repartition(shares, "bucket_id")
+    chosen = windows(dealt, anchor_length).withColumn("best", F.struct("hash", (-F.col("position")).alias("place")))
     have = 1
     while have < width:  # least of runs twice as long each time, instead of a frame for each row
         step = min(have, width - have)
