@@ -65,11 +65,12 @@ def captured(text: str, spans: list[Span]) -> list[str]:
 
 
 class Markov:
-    """An order-1 chain over ``ALPHABET`` with additive smoothing."""
+    """An order-1 chain over ``ALPHABET``; what a character was seldom followed by leans on how frequent that is at all."""
 
-    def __init__(self, counts: np.ndarray):
-        smoothed = counts + 0.5
-        self.log = np.log(smoothed / smoothed.sum(axis=1, keepdims=True))
+    def __init__(self, counts: np.ndarray, lean: float = 5.0):
+        plain = counts.sum(axis=0) + 0.5
+        plain /= plain.sum()
+        self.log = np.log((counts + lean * plain) / (counts.sum(axis=1, keepdims=True) + lean))
 
     @staticmethod
     def counts(tokens: list[str]) -> np.ndarray:

@@ -39,7 +39,7 @@ EMPTY = hashlib.sha256(b"").hexdigest()
 SCANNED = "doc_id long, key binary, n_words long, sha256 string, text_class long, anchors array<long>, places array<int>"
 #: Bits of the filter that spares the shuffle of texts without candidates: 8 MB at every size.
 FILTER_BITS = 1 << 26
-WINDOWS = "doc_id long, text string, starts array<int>, first array<long>, second array<long>"
+WINDOWS = "doc_id long, text string, text_class long, starts array<int>, first array<long>, second array<long>"
 CUT = "doc_id long, key binary, n_removed long, kept_sha256 string"
 
 
@@ -53,6 +53,12 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def _digest(data: bytes):
+    """The hash of a text's words, and the first half of it as a number: texts with equal words are one class."""
+    digest = hashlib.sha256(b" ".join(data.split()))
+    return digest, int.from_bytes(digest.digest()[:8], "little", signed=True)
+
+
 def _scan(docs: DataFrame, length: int) -> DataFrame:
     """Each document's words in brief, and its winnowed windows of half the length."""
     half = (length + 1) // 2
@@ -62,11 +68,11 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
             keys, counts, digests, classes, anchors, places = [], [], [], [], [], []
             for data in kernels.texts(batch.column(1)):
                 words, _, _ = kernels.hashed_words(data, WORD)
-                digest = hashlib.sha256(b" ".join(data.split()))
+                digest, text_class = _digest(data)
                 hashes = kernels.window_hashes(words, half)
                 at = kernels.winnowed(hashes, length - half + 1)
                 keys.append(digest.digest()[:16])
-                classes.append(int.from_bytes(digest.digest()[:8], "little", signed=True))
+                classes.append(text_class)
                 counts.append(len(words))
                 digests.append(digest.hexdigest())
                 anchors.append(hashes[at].view(np.int64))
@@ -110,7 +116,7 @@ def _extended(candidates: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts, first, second = [], [], []
+            classes, starts, first, second = [], [], [], []
             for data, at in zip(kernels.texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 words, _, _ = kernels.hashed_words(data, WORD)
                 own = np.zeros(0, dtype=np.int64)
@@ -122,10 +128,13 @@ def _extended(candidates: DataFrame, length: int) -> DataFrame:
                     repeated[at] = halves[at]
                     width = length - half + 1
                     own = np.flatnonzero(kernels.sliding(repeated, width, np.minimum) == kernels.sliding(halves, width, np.minimum))
+                classes.append(_digest(data)[1])
                 starts.append(own)
                 first.append(kernels.window_hashes(words, length)[own].view(np.int64) if len(own) else own)
                 second.append(kernels.window_hashes(words, length, other=True)[own].view(np.int64) if len(own) else own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(starts, np.int32), _lists(first, np.int64), _lists(second, np.int64)], ["doc_id", "text", "starts", "first", "second"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(classes, pa.int64()), _lists(starts, np.int32), _lists(first, np.int64), _lists(second, np.int64)], ["doc_id", "text", "text_class", "starts", "first", "second"]
+            )
 
     return candidates.select("doc_id", "text", "places").mapInArrow(run, WINDOWS)
 
@@ -183,10 +192,10 @@ def deduplicate(docs: DataFrame, length: int = 50) -> DataFrame:
     """
     scanned = _classes(stored(_scan(docs, length), "substrings"))
     windows = _windows(docs, scanned, length)
-    each = windows.select("doc_id", F.explode(F.arrays_zip("starts", "first", "second")).alias("w")).select("doc_id", "w.*")
+    each = windows.select("doc_id", "text_class", F.explode(F.arrays_zip("starts", "first", "second")).alias("w")).select("doc_id", "text_class", "w.*")
     later = each.join(_repeated(each, ["first", "second"]), ["first", "second"]).where("doc_id > least")
-    starts = later.groupBy("doc_id").agg(F.collect_set("starts").alias("starts"))
-    cut = _cut(windows.select("doc_id", "text").join(starts, "doc_id"), length).dropDuplicates(["doc_id", "key"])
+    starts = later.groupBy("doc_id", "text_class").agg(F.collect_set("starts").alias("starts"))
+    cut = _cut(windows.select("doc_id", "text_class", "text").join(starts, ["doc_id", "text_class"]), length).dropDuplicates(["doc_id", "key"])
     whole = (F.col("least") < F.col("doc_id")) & (F.col("n_words") >= length)
     return scanned.join(cut, ["doc_id", "key"], "left").select(
         "doc_id",
