@@ -335,7 +335,7 @@ def minhash(sources: DataFrame, k: int = 5, size: int = 128) -> DataFrame:
                         least = np.minimum(least, (part[:, 0] + order * part[:, 1]).min(axis=1))
                     ids.append(bucket_id)
                     sketches.append(least.view(np.int64).tolist())
-            yield pd.DataFrame({"bucket_id": ids, "sketch": sketches})
+            yield pd.DataFrame({"bucket_id": pd.Series(ids, dtype="int64"), "sketch": pd.Series(sketches, dtype=object)})
 
     return sources.select(F.col("bucket_id").cast("long"), "text").where("text is not null").mapInPandas(run, "bucket_id long, sketch array<long>")
 

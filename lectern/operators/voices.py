@@ -82,7 +82,8 @@ def from_dictionary(rows: DataFrame, cues: tuple[str, ...] = ("曰", "云", "注
                     out.append((bucket_id, start, lemma_end, "lemma", f"l{n}", None))
                     if lemma_end < end:
                         out.append((bucket_id, lemma_end, end, "gloss", f"g{n}", None if near else "no cue"))
-            yield pd.DataFrame(out, columns=["bucket_id", "start", "end", "name", "id", "problem"])
+            if out:
+                yield pd.DataFrame(out, columns=["bucket_id", "start", "end", "name", "id", "problem"])
 
     return rows.select(F.col("bucket_id").cast("long"), "text", "heads").mapInPandas(derive, DERIVED)
 

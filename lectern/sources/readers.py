@@ -117,7 +117,8 @@ def manifests(found: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield _parsed(frame, parse, columns)
+            if len(made := _parsed(frame, parse, columns)):
+                yield made
 
     return found.select("textid", "path", "content").mapInPandas(run, schemas.MANIFEST)
 
@@ -151,7 +152,8 @@ def juans(found: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield _parsed(frame, parse, columns)
+            if len(made := _parsed(frame, parse, columns)):
+                yield made
 
     return named.select("textid", "juan_seq", "content").mapInPandas(run, schemas.BUCKET)
 
@@ -279,7 +281,8 @@ def translation_segments(found: DataFrame) -> DataFrame:
                     rows.extend(parse(row))
                 except Exception:  # a file that cannot be read has no segments
                     continue
-            yield pd.DataFrame(rows, columns=columns)
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     named = markdown(found).withColumns({"textid": F.regexp_extract("path", r"([^/]+?)(?:_\d+)?\.md$", 1), "juan_seq": F.coalesce(F.regexp_extract("path", r"_(\d+)\.md$", 1).try_cast("int"), F.lit(0))})
     return named.select("textid", "juan_seq", "header", "body").mapInPandas(run, schemas.TRANSLATION)
@@ -384,7 +387,8 @@ def krp(found: DataFrame, edition: str) -> DataFrame:
                 name = re.search(r"([^/]+?)_(\d+)[^/]*$", path)
                 made = krp_sections(content, name[1] if name else "", edition, int(name[2]) if name else 0)
                 rows += [{"path": path, "section": n, **s} for n, s in enumerate(made)]
-            yield pd.DataFrame(rows, columns=_columns(KRP))
+            if rows:
+                yield pd.DataFrame(rows, columns=_columns(KRP))
 
     return found.select("path", "content").mapInPandas(run, KRP)
 
@@ -451,7 +455,8 @@ def tei(found: DataFrame) -> DataFrame:
                     rows += [{"path": path, "section": n, **s} for n, s in enumerate(tei_sections(content))]
                 except ElementTree.ParseError:
                     continue
-            yield pd.DataFrame(rows, columns=_columns(TEI))
+            if rows:
+                yield pd.DataFrame(rows, columns=_columns(TEI))
 
     return found.select("path", "content").mapInPandas(run, TEI)
 
@@ -494,7 +499,8 @@ def lexicon(found: DataFrame, kind: str) -> DataFrame:
                 uuid = re.sub("^uuid-", "", (fields.get("@id") or [""])[0])
                 if uuid:
                     rows.append({"uuid": uuid, "type": kind, "path": path, "fields": fields})
-            yield pd.DataFrame(rows, columns=_columns(RECORD))
+            if rows:
+                yield pd.DataFrame(rows, columns=_columns(RECORD))
 
     return found.select("path", "content").mapInPandas(run, RECORD)
 
@@ -522,7 +528,8 @@ def translation_xml(found: DataFrame) -> DataFrame:
                     text = " ".join("".join(seg.itertext()).split())
                     if text:
                         rows.append({"translation_id": name, "juan_seq": int(juan[1]) if juan else 0, "ord": n, "corresp": [target] if target else [], "text": text})
-            yield pd.DataFrame(rows, columns=_columns(schemas.TRANSLATION))
+            if rows:
+                yield pd.DataFrame(rows, columns=_columns(schemas.TRANSLATION))
 
     return found.select("path", "content").mapInPandas(run, schemas.TRANSLATION)
 
