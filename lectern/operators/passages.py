@@ -9,10 +9,12 @@ cluster.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as fn
@@ -25,31 +27,42 @@ SPAN = ["bucket_a", "start_a", "end_a", "bucket_b", "start_b", "end_b"]
 _SPANS = "array<struct<start_a:int,end_a:int,start_b:int,end_b:int,edits:int>>"
 
 
-def windows(sources: DataFrame, length: int) -> DataFrame:
-    """(bucket_id, position, hash) of every window of a source."""
-    return fn.exploded_grams(sources, length, ["bucket_id"]).select("bucket_id", "position", F.md5(F.col("gram")).alias("hash"))
+def rightmost_least(values: np.ndarray, width: int) -> np.ndarray:
+    """For each run of ``width`` values the place of the least, the last of equals."""
+    place, have = np.arange(len(values)), 1
+    while have < width:
+        step = min(have, width - have)
+        left, right = place[:-step], place[step:]
+        place = np.where(values[right] <= values[left], right, left)
+        have += step
+    return place
 
 
 def winnow(sources: DataFrame, anchor_length: int = 12, min_length: int = 24) -> DataFrame:
     """(bucket_id, position, hash) of the anchors: the least hash of each run of windows, rightmost of equals.
 
     Any passage of ``min_length`` characters holds one. Sources shorter than
-    that have none; an anchor is listed when the choice moves to it.
+    that have none; an anchor is listed when the choice moves to it. A text is
+    read where it lies and gives its anchors alone: as window expressions every
+    position would be a row to hash, sort and look back on, which takes ten
+    times as long.
     """
     width = min_length - anchor_length + 1
-    by = Window.partitionBy("bucket_id").orderBy("position")
-    # texts are dealt by source before they are blown up into windows, which then stay where they are
-    shares = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = sources.where(F.length("text") >= min_length).select("bucket_id", "text").repartition(shares, "bucket_id")
-    chosen = windows(dealt, anchor_length).withColumn("best", F.struct("hash", (-F.col("position")).alias("place")))
-    have = 1
-    while have < width:  # least of runs twice as long each time, instead of a frame for each row
-        step = min(have, width - have)
-        chosen = chosen.withColumn("best", F.least("best", F.coalesce(F.lag("best", step).over(by), "best")))
-        have += step
-    chosen = chosen.where(F.col("position") >= width - 1)
-    moved = chosen.withColumn("before", F.lag("best.place").over(by)).where("before is null or before <> best.place")
-    return moved.select("bucket_id", (-F.col("best.place")).alias("position"), F.col("best.hash").alias("hash"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                digests = [md5(text[i : i + anchor_length].encode()).digest() for i in range(len(text) - anchor_length + 1)]
+                # equal windows have equal hashes, and others differ in their first half
+                values = np.frombuffer(b"".join(digests), dtype=">u8")[::2].astype(np.uint64)
+                chosen = rightmost_least(values, width)
+                moved = chosen[np.concatenate(([True], chosen[1:] != chosen[:-1]))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(moved), bucket_id), pa.int64()), pa.array(moved, pa.int32()), pa.array([digests[i].hex() for i in moved.tolist()], pa.string())], ["bucket_id", "position", "hash"]
+                )
+
+    long_enough = sources.where(F.length("text") >= min_length).select(F.col("bucket_id").cast("long"), "text")
+    return long_enough.mapInArrow(run, "bucket_id long, position int, hash string")
 
 
 def usable(anchors: DataFrame, most: int) -> DataFrame:

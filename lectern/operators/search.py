@@ -90,6 +90,16 @@ def intersect(index: DataFrame, query: str) -> DataFrame:
     return starts.where((F.col("n") == len(wanted)) & (F.col("start") >= 0)).select("bucket_id", "start")
 
 
+def by_postings(sources: DataFrame, query: str) -> DataFrame:
+    """``intersect`` without an index at hand: postings of the query's own grams, from sources that have them all."""
+    wanted = sorted({query[i : i + 3] for i in range(len(query) - 2)})
+    for gram in wanted:
+        sources = sources.where(F.col("text").contains(gram))
+    places = F.array(*[F.struct(F.lit(gram).alias("gram"), fn.positions("text", gram).alias("at")) for gram in wanted])
+    each = sources.select("bucket_id", F.explode(places).alias("g")).select("bucket_id", F.col("g.gram").alias("gram"), F.explode("g.at").alias("position"))
+    return intersect(each, query)
+
+
 def summary(hits: DataFrame) -> DataFrame:
     """Hits and sources by text: the overview of a query too large to list."""
     return hits.groupBy("textid").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("bucket_id").alias("sources"))

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.operators import intervals, order, search
-from lectern.storage import table
+from lectern.storage import spread, table
 
 CONTEXT = 20
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("bucket_id"), F.col("source").alias("textid"), F.col("lang").alias("kind"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("bucket_id"), F.col("source").alias("textid"), F.col("lang").alias("kind"), "text"))
 
 
 def _long(rows: DataFrame, *columns: str) -> DataFrame:
@@ -122,7 +122,7 @@ def gram_frequency_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def posting_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(search.intersect(search.postings(sources(spark, sf_dir)), "tionth"), "start")
+    return _long(search.by_postings(sources(spark, sf_dir), "tionth"), "start")
 
 
 def candidate_count(spark: SparkSession, sf_dir: str) -> DataFrame:

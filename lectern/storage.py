@@ -51,3 +51,19 @@ def _clean() -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Megabytes of input for each core below which texts are dealt out.
+SMALL_MB = 4
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows``, dealt out to all cores if there are too few megabytes for each of them.
+
+    Such a file has one row group or two, whatever its splits, and work on long
+    texts would wait for the one task that has them. Larger inputs are left as
+    they are, so nothing large is ever shuffled for this.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * (SMALL_MB << 20) else rows
