@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.storage import shared_dir, stored, table
+from lectern.storage import shared_dir, spread, stored, table
 
-__all__ = ["documents", "hash_sample", "shared_dir", "stored", "table"]
+__all__ = ["documents", "hash_sample", "shared_dir", "spread", "stored", "table"]
 
 
 def hash_sample(df: DataFrame, column: str, bound: int) -> DataFrame:
@@ -23,4 +23,4 @@ def hash_sample(df: DataFrame, column: str, bound: int) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
