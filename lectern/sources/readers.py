@@ -577,3 +577,77 @@ def plain_text(rows: DataFrame, column: str) -> DataFrame:
         return markup.map(plain)
 
     return rows.withColumn("text", of(column))
+
+
+LEAF = "path string, key string, value string"
+
+
+def leaves(value: Any, key: str = "") -> Iterator[tuple[str, str]]:
+    """(dotted key, text) of everything in a parsed document that is not a mapping or list."""
+    if isinstance(value, dict):
+        for name, inner in value.items():
+            yield from leaves(inner, f"{key}.{name}" if key else str(name))
+    elif isinstance(value, list):
+        for inner in value:
+            yield from leaves(inner, key)
+    elif value is not None:
+        yield key, value if isinstance(value, str) else str(value)
+
+
+def yaml_leaves(found: DataFrame, skip: tuple[str, ...] = ("hash",)) -> DataFrame:
+    """(path, key, value) of all leaves of YAML files, those named in ``skip`` left out."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml
+
+        for frame in frames:
+            rows = []
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    rows += [(path, key, value) for key, value in leaves(yaml.safe_load(content)) if key.rpartition(".")[2] not in skip]
+                except yaml.YAMLError:
+                    continue
+            if rows:
+                yield pd.DataFrame(rows, columns=_columns(LEAF))
+
+    return found.select("path", "content").mapInPandas(run, LEAF)
+
+
+def yaml_records(found: DataFrame) -> DataFrame:
+    """Records of YAML files, one to a file: uuid, type and all fields by their dotted keys."""
+    rows = yaml_leaves(found, ())
+    grouped = rows.groupBy("path", "key").agg(F.collect_list("value").alias("values")).groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("key", "values"))).alias("fields"))
+    first = lambda name: F.get(F.col("fields")[name], F.lit(0))
+    return grouped.select(fn.bare_uuid(first("uuid")).alias("uuid"), F.coalesce(first("type"), F.lit("")).alias("type"), "path", "fields").where("uuid <> ''")
+
+
+PARALLEL = "textid string, juan_seq int, bucket string, start int, end int, to_ref string"
+
+
+def parallel_assets(found: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Parallel markers of ``X_001.parallels.yaml`` files from any number of roots, each once; ranges outside their text are left out.
+
+    ``lengths`` has textid, juan_seq, bucket and chars.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml
+
+        for frame in frames:
+            rows = []
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                name = re.search(r"([^/]+?)_(\d+)[^/]*$", path)
+                try:
+                    buckets = (yaml.safe_load(content) or {}).get("markers") or {}
+                except (yaml.YAMLError, AttributeError):
+                    continue
+                for bucket, marks in buckets.items() if name and isinstance(buckets, dict) else ():
+                    for mark in marks or []:
+                        at, n = _number(mark.get("offset")), _number(mark.get("length"))
+                        if at is not None and n is not None and mark.get("ref"):
+                            rows.append((name[1], int(name[2]), bucket, at, at + n, str(mark["ref"])))
+            if rows:
+                yield pd.DataFrame(rows, columns=_columns(PARALLEL))
+
+    rows = found.select("path", "content").mapInPandas(run, PARALLEL).distinct()
+    return rows.join(lengths, ["textid", "juan_seq", "bucket"]).where("start >= 0 and end >= start and end <= chars").drop("chars")

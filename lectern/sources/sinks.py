@@ -104,3 +104,33 @@ def to_markdown(segments: DataFrame) -> DataFrame:
 def write_records(records: DataFrame, path: str) -> None:
     """Lexicon records, a folder for each type."""
     records.write.mode("overwrite").partitionBy("type").json(path)
+
+
+def bundle_documents(buckets: DataFrame) -> DataFrame:
+    """(path, content) of the YAML files of bundles: a file for each scroll, and a manifest with their hashes.
+
+    Every text carries its hash, every file's hash is that of its content; how
+    files get to a store is the caller's choice.
+    """
+
+    def juan(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        import hashlib
+
+        import yaml
+
+        textid, seq = key
+        doc: dict = {"seq": int(seq)}
+        for row in frame.sort_values("bucket").itertuples(index=False):
+            whole = lambda k, v: int(v) if k in ("offset", "length") else v
+            marks = [{k: whole(k, v) for k, v in m.items() if v is not None and v == v and v != ""} for m in row.markers]
+            doc[row.bucket] = {"text": row.text, "hash": "sha256:" + hashlib.sha256(row.text.encode()).hexdigest(), "markers": marks}
+        content = yaml.safe_dump(doc, allow_unicode=True, sort_keys=False)
+        return pd.DataFrame([(textid, int(seq), f"{textid}/{textid}_{int(seq):03d}.yaml", content)], columns=["textid", "seq", "path", "content"])
+
+    plain = buckets.select("textid", "juan_seq", "bucket", "text", F.transform("markers", lambda m: F.struct(m["offset"].alias("offset"), m["length"].alias("length"), m["type"].alias("type"), m["id"].alias("id"), m["content"].alias("content"))).alias("markers"))
+    files = plain.groupBy("textid", "juan_seq").applyInPandas(juan, "textid string, seq int, path string, content string")
+    part = F.struct("seq", F.substring_index("path", "/", -1).alias("filename"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("hash"))
+    line = lambda p: F.concat(F.lit("  - {seq: "), p["seq"].cast("string"), F.lit(", filename: "), p["filename"], F.lit(", hash: '"), p["hash"], F.lit("'}\n"))
+    listed = files.groupBy("textid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(part)), line), "").alias("parts"))
+    manifests = listed.select(F.concat("textid", F.lit("/"), "textid", F.lit(".manifest.yaml")).alias("path"), F.concat(F.lit("canonical_identifier: "), F.col("textid"), F.lit("\nassets:\n  parts:\n"), F.col("parts")).alias("content"))
+    return files.select("path", "content").unionByName(manifests)

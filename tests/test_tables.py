@@ -276,3 +276,29 @@ def test_curation_stream_falls_back_on_delete(spark, tmp_path):
 def test_judgments_are_clamped(spark):
     rows = spark.createDataFrame([(json.dumps({"subject": {"uri": "t"}, "state": "accepted", "rating": n, "createdAt": "1970-01-01T00:00:01Z"}),) for n in (2, 7, -1)] + [(json.dumps({"subject": {"uri": "t"}}),)], "record string")
     assert sorted(r["rating"] for r in curation.judgment(rows).collect()) == [0, 0, 2]
+
+
+def test_yaml_records_and_parallels(spark, tmp_path):
+    write(tmp_path / "core/a.yml", "uuid: uuid-1\ntype: word\nform: {orth: 乞}\nsenses:\n- {def: beg}\n- {def: ask}\nhash: x\n")
+    write(tmp_path / "core/b.yml", "[broken")
+    found = readers.files(spark, str(tmp_path / "core"), "*.yml")
+    assert {(r["key"], r["value"]) for r in readers.yaml_leaves(found).collect()} == {("uuid", "uuid-1"), ("type", "word"), ("form.orth", "乞"), ("senses.def", "beg"), ("senses.def", "ask")}
+    record = readers.yaml_records(found).first()
+    assert (record["uuid"], record["type"], sorted(record["fields"]["senses.def"])) == ("1", "word", ["ask", "beg"])
+    mark = "markers:\n  body:\n  - {offset: 2, length: 3, ref: 1h4/1/@0+3}\n  - {offset: 9, length: 3, ref: x}\n"
+    for root in ("p", "q"):
+        write(tmp_path / root / "T_001.parallels.yaml", mark)
+    both = readers.files(spark, str(tmp_path / "p"), "*.parallels.yaml").unionByName(readers.files(spark, str(tmp_path / "q"), "*.parallels.yaml"))
+    lengths = spark.createDataFrame([("T", 1, "body", 10)], "textid string, juan_seq int, bucket string, chars int")
+    assert [(r["start"], r["end"], r["to_ref"]) for r in readers.parallel_assets(both, lengths).collect()] == [(2, 5, "1h4/1/@0+3")]
+
+
+def test_bundles_round_trip(spark, corpus, tmp_path):
+    buckets = readers.juans(readers.files(spark, corpus, "*_001.yaml"))
+    for row in sinks.bundle_documents(buckets).collect():
+        write(tmp_path / "out" / row["path"], row["content"])
+    again = readers.juans(readers.files(spark, str(tmp_path / "out"), "*_001.yaml"))
+    key = lambda r: (r["textid"], r["bucket"], r["text"], [(m["offset"], m["length"], m["type"], m["id"]) for m in r["markers"]])
+    assert sorted(map(key, again.collect())) == sorted(map(key, buckets.collect()))
+    made = readers.manifests(readers.discover(spark, str(tmp_path / "out")))
+    assert {r["textid"] for r in made.where("parts[0].filename = concat(textid, '_001.yaml')").collect()} == {"KR1a0001", "KR1a0002", "KR2b0001"}
