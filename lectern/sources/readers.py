@@ -291,10 +291,10 @@ def translation_segments(found: DataFrame) -> DataFrame:
 # -- markup ----------------------------------------------------------------------
 
 PUNCTUATION = "()/，。、；：？！「」『』《》〈〉〔〕【】〖〗・…—–·"
-KRP = "path string, section int, head string, text string, markers array<struct<offset:int,type:string,id:string,content:string>>"
+SCROLL = "path string, section int, head string, text string, markers array<struct<offset:int,type:string,id:string,content:string>>"
 
 
-def krp_sections(content: str, text_id: str, edition: str, seq: int) -> list[dict]:
+def scroll_sections(content: str, text_id: str, edition: str, seq: int) -> list[dict]:
     """A plain-text scroll as sections of text and markers.
 
     The text keeps ideographs alone. Page breaks ``<pb:id>``, lines (ended by
@@ -377,7 +377,7 @@ def krp_sections(content: str, text_id: str, edition: str, seq: int) -> list[dic
     return sections
 
 
-def krp(found: DataFrame, edition: str) -> DataFrame:
+def scrolls(found: DataFrame, edition: str) -> DataFrame:
     """Sections of plain-text scrolls ``X_001.txt``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -385,12 +385,12 @@ def krp(found: DataFrame, edition: str) -> DataFrame:
             rows = []
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 name = re.search(r"([^/]+?)_(\d+)[^/]*$", path)
-                made = krp_sections(content, name[1] if name else "", edition, int(name[2]) if name else 0)
+                made = scroll_sections(content, name[1] if name else "", edition, int(name[2]) if name else 0)
                 rows += [{"path": path, "section": n, **s} for n, s in enumerate(made)]
             if rows:
-                yield pd.DataFrame(rows, columns=_columns(KRP))
+                yield pd.DataFrame(rows, columns=_columns(SCROLL))
 
-    return found.select("path", "content").mapInPandas(run, KRP)
+    return found.select("path", "content").mapInPandas(run, SCROLL)
 
 
 def _local(tag: Any) -> str:

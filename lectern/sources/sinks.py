@@ -84,7 +84,7 @@ def woven(rows: DataFrame, prefix: dict[str, str]) -> DataFrame:
     return rows.withColumn("exported", whole)
 
 
-KRP_MARKS = {"page-break": "<pb:{id}>", "line-break": "", "head": "\n"}
+SCROLL_MARKS = {"page-break": "<pb:{id}>", "line-break": "", "head": "\n"}
 
 
 def to_xml(rows: DataFrame, root: str = "text", row: str = "seg") -> DataFrame:

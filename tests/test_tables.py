@@ -13,7 +13,7 @@ def write(path, text):
     path.write_text(text, encoding="utf-8")
 
 
-MANIFEST = """canonical_identifier: bkk:krp/{id}/v1
+MANIFEST = """canonical_identifier: x:{id}
 hash: 'sha256:1'
 assets:
   parts: [{{seq: 1, filename: {id}_001.yaml, hash: 'sha256:2'}}]
@@ -123,12 +123,12 @@ def test_annotations_and_translations(spark, tmp_path):
     assert [(r["corresp"], r["text"]) for r in again] == [(["s1"], "Hello [x]"), (["s2", "s3"], "world")]
 
 
-KRP = "# -*- mode: mandoku-view; -*-\n#+PROPERTY: JUAN 卷一\n<pb:T_X_001-1a>¶\n** 序¶\n子曰，學&KR0012;而¶\n　時習之¶\n\n# note\n#+PROPERTY: JUAN 卷二\nabc不亦說乎¶\n"
+SCROLL = "# a scroll\n#+PROPERTY: JUAN 卷一\n<pb:T_X_001-1a>¶\n** 序¶\n子曰，學&KR0012;而¶\n　時習之¶\n\n# note\n#+PROPERTY: JUAN 卷二\nabc不亦說乎¶\n"
 
 
 def test_plain_text_scrolls(spark, tmp_path):
-    write(tmp_path / "T_001.txt", KRP)
-    one, two = readers.krp(readers.files(spark, str(tmp_path), "*.txt"), "X").orderBy("section").collect()
+    write(tmp_path / "T_001.txt", SCROLL)
+    one, two = readers.scrolls(readers.files(spark, str(tmp_path), "*.txt"), "X").orderBy("section").collect()
     assert (one["head"], one["text"]) == ("卷一", "子曰學" + chr(0x105000 + 12) + "而時習之")
     assert (two["head"], two["text"]) == ("卷二", "不亦說乎")
     kinds = [(m["type"], m["offset"]) for m in one["markers"] if m["type"] != "newline"]
@@ -141,7 +141,7 @@ def test_a_long_scroll_takes_linear_time():
     import time
 
     began = time.time()
-    readers.krp_sections("<pb:x>\n" + "子曰，學而時習之。" * 20_000, "T", "X", 1)
+    readers.scroll_sections("<pb:x>\n" + "子曰，學而時習之。" * 20_000, "T", "X", 1)
     assert time.time() - began < 6
 
 
@@ -165,7 +165,7 @@ def test_markup(spark, tmp_path):
 
 def test_exports(spark):
     rows = spark.createDataFrame([("子曰學", [(0, "page-break", "p1", ""), (2, "punctuation", "", "，")])], "text string, markers array<struct<offset:int,type:string,id:string,content:string>>")
-    assert sinks.woven(rows, sinks.KRP_MARKS).first()["exported"] == "<pb:p1>子曰，學"
+    assert sinks.woven(rows, sinks.SCROLL_MARKS).first()["exported"] == "<pb:p1>子曰，學"
     assert "<a>1</a>" in sinks.to_xml(spark.createDataFrame([(1,)], "a int")).first()["xml"]
     a, b = spark.createDataFrame([("x", 1)], "k string, v int"), spark.createDataFrame([("x", 2), ("y", 3)], "k string, v int")
     assert {tuple(r) for r in sinks.merged_corpus([a, b], "k").collect()} == {("x", 1), ("y", 3)}
