@@ -11,8 +11,11 @@ from lectern.llm.storage import table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without letters, and those no language has half of, go."""
-    return langid.keep(docs, langid.train(docs, F.lit(True)))
+    """Documents with a language: those without letters, and those of which no language has a third, go.
+
+    A document with a notice or a quotation in another language is kept.
+    """
+    return langid.keep(docs, langid.train(docs, F.lit(True)), 0.34)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
