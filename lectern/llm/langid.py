@@ -124,18 +124,18 @@ class Model:
 def train(docs: DataFrame, learnable: Column, documents: int = 2000, min_share: float = 0.01) -> Model:
     """Count trigrams by language in about ``documents`` texts of each language at most.
 
-    ``learnable`` marks the rows to learn from. Texts are taken by the hash of
-    their content, at a rate that meets the bound; counts are added up on the
+    ``learnable`` marks the rows to learn from. Texts are taken by hash, at a
+    rate that meets the bound (row by row, so copies do not come in as a group); counts are added up on the
     executors. A language may use the scripts that hold ``min_share`` of its
     letters.
     """
-    rows = docs.where(learnable).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
+    rows = docs.where(learnable).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.col("doc_id").alias("doc_id")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((_BUCKETS, 0), dtype=np.float32), np.zeros((OTHER_SCRIPT + 1, 0), dtype=bool))
     rate = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, documents / sizes[lang]))])
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20))
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20))
     number = {lang: i for i, lang in enumerate(languages)}
     cells = _BUCKETS + OTHER_SCRIPT + 1
 
@@ -151,7 +151,7 @@ def train(docs: DataFrame, learnable: Column, documents: int = 2000, min_share:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(flat[at], pa.int64())], ["cell", "n"])
 
     total = np.zeros(len(languages) * cells)
-    for row in sample.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most languages x cells rows
+    for row in sample.select("lang", "text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most languages x cells rows
         total[row["cell"]] = row["n"]
     total = total.reshape(len(languages), cells)
     grams, scripts = total[:, :_BUCKETS], total[:, _BUCKETS:]

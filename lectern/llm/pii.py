@@ -259,7 +259,7 @@ def train(docs: DataFrame, documents: int = 4000) -> Field:
     Mentions are found on the executors; the driver gets their features, a few
     hundred bytes each.
     """
-    texts = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
+    texts = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").alias("doc_id")).where(F.col("text").rlike("[0-9@]"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,7 +271,7 @@ def train(docs: DataFrame, documents: int = 4000) -> Field:
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.list_(pa.string())), pa.array(columns[1], pa.list_(pa.int64())), pa.array(columns[2], pa.list_(pa.float64()))], ["keys", "labels", "features"])
 
-    found = hash_sample(texts, "text", documents).mapInArrow(run, "keys array<string>, labels array<long>, features array<double>").toPandas()
+    found = hash_sample(texts, documents, "doc_id", "text").select("text").mapInArrow(run, "keys array<string>, labels array<long>, features array<double>").toPandas()
     made = []
     for keys, labels, feature in zip(found["keys"], found["labels"], found["features"], strict=True):
         rows = np.asarray(feature, dtype=float).reshape(len(keys), NODE_FEATURES)

@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, documents: int
     are made on the executors.
     """
     own = labels.where(learnable).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
-    sample = hash_sample(own, "doc_id", documents)
+    sample = hash_sample(own, documents, "doc_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -110,13 +110,13 @@ def _uniform_prior() -> np.ndarray:
 
 
 def train(docs: DataFrame, documents: int = 4000) -> Judge:
-    """Fit both chains on about ``documents`` texts at most, chosen by the hash of their text.
+    """Fit both chains on about ``documents`` texts at most, chosen by hash.
 
     The labels come from the base rules. Transition counts are added up on the
     executors; the driver gets one 68 x 68 table for each model.
     """
-    texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null and text <> ''")
-    sample = hash_sample(texts, "text", documents)
+    texts = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").alias("doc_id")).where("text is not null and text <> ''")
+    sample = hash_sample(texts, documents, "doc_id", "text").select("text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         random, ordinary = np.zeros((STATES, STATES)), np.zeros((STATES, STATES))

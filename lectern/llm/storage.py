@@ -10,16 +10,18 @@ from lectern.storage import shared_dir, spread, stored, table
 __all__ = ["documents", "hash_sample", "shared_dir", "spread", "stored", "table"]
 
 
-def hash_sample(df: DataFrame, column: str, bound: int) -> DataFrame:
-    """About ``bound`` rows of ``df`` at most, chosen by the hash of a column.
+def hash_sample(df: DataFrame, bound: int, *columns: str) -> DataFrame:
+    """About ``bound`` rows of ``df`` at most, chosen by the hash of some columns.
 
     Each row is judged alone, at a rate that the row count sets, so no rows meet
-    in one task; rows with equal values stay or go together.
+    in one task. Rows with equal values in all of ``columns`` stay or go
+    together, so these must tell rows apart: the text alone would let a large
+    group of copies in as a whole.
     """
     total = df.count()
     if total <= bound:
         return df
-    return df.where(F.pmod(F.xxhash64(column), F.lit(1 << 30)) < int(bound / total * (1 << 30)))
+    return df.where(F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) < int(bound / total * (1 << 30)))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
