@@ -192,3 +192,32 @@ def reusable(meta: DataFrame, wanted: dict[str, str]) -> bool:
 def covered(found: DataFrame) -> DataFrame:
     """(bucket_id, chars): characters of each source inside any passage."""
     return intervals.merged(found.select("bucket_id", "start", "end"), ["bucket_id"]).groupBy("bucket_id").agg(F.sum(F.col("end") - F.col("start")).alias("chars"))
+
+
+def corpus_info(bundles: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """(dim, value, n): bundles by section, and the rows of each table of an index."""
+    found = bundles.groupBy(F.lit("section").alias("dim"), F.coalesce(fn.section_code("textid"), F.lit("other")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    for name, rows in tables.items():
+        found = found.unionByName(rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit("table").alias("dim"), F.lit(name).alias("value"), "n"))
+    return found
+
+
+def bundle_counts(bundles: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """``bundles`` (textid) with the number of rows that each table (textid) has of them."""
+    for name, rows in tables.items():
+        counts = rows.groupBy("textid").agg(F.count(F.lit(1)).alias(name))
+        bundles = bundles.join(counts, "textid", "left").na.fill(0, [name])
+    return bundles
+
+
+def split_front(rows: DataFrame, kinds: tuple[str, ...] = ("indent",), head: str = "head") -> DataFrame:
+    """Sections as front (part 0) and body (part 1): the body opens at the first indented line or second-level heading.
+
+    Headings have their level in ``extras``; a section without either is all
+    front. ``rows`` has text and markers.
+    """
+    from lectern.operators.slices import split_at
+
+    opens = F.filter("markers", lambda m: m["type"].isin(*kinds) | ((m["type"] == head) & (m["extras"]["level"] == "2")))
+    at = F.coalesce(F.array_min(F.transform(opens, lambda m: m["offset"])), F.length("text"))
+    return split_at(rows.withColumn("__at", at), F.col("__at")).drop("__at")

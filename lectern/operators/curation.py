@@ -94,3 +94,22 @@ def materialised(archive: DataFrame, rows: DataFrame) -> DataFrame:
 def touched(rows: DataFrame) -> DataFrame:
     """``rows`` with the order in which they were last touched."""
     return rows.withColumn("touched", F.max("time_us").over(Window.partitionBy("uri")))
+
+
+def harvested(listing: DataFrame, markers: DataFrame, judgments: DataFrame, archive: DataFrame, editors: list[str] | None = None) -> DataFrame:
+    """An archive brought up to date with listed annotations.
+
+    Records (did, uri, cid, record) get their place from the marker they name
+    and their curation from the judgments; what is rejected stays out, and rows
+    with the same or a superseded content are replaced. ``archive`` has uri, cid,
+    textid, seq, bucket, bucket_offset, state, rating and supersedes.
+    """
+    from lectern.operators.annotations import marker_positions, merged_by_content
+
+    get = lambda p: F.get_json_object("record", p)
+    rows = listing.select(
+        "uri", "cid", get("$.anchor.marker_id").alias("marker_id"), get("$.anchor.offset").try_cast("int").alias("offset"), get("$.text_id").alias("textid"), get("$.supersedes").alias("supersedes")
+    ).where("marker_id is not null and offset is not null")
+    rows = rows.withColumn("seq", F.regexp_extract("marker_id", r"_(\d{3})-", 1).try_cast("int"))
+    placed = stamped(marker_positions(rows, markers), winners(judgments, editors)).where("state <> 'rejected'")
+    return merged_by_content(archive, placed.select(archive.columns))

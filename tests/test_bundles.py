@@ -88,3 +88,27 @@ def test_display_labels(spark):
     )
     got = [r[0] for r in rows.select(labels.display(F.col("kind"), F.col("fields"), F.col("concept"), F.col("word"), F.col("n"))).collect()]
     assert got == ["乞: BEG", "BEG", "乞: BEG (sense 2)", "ask", "x (standardised)", "Conv: a ↔ b", None]
+
+
+def test_info_and_opening(spark):
+    have = spark.createDataFrame([("KR1a0001",), ("KR1a0002",), ("X",)], "textid string")
+    juans = spark.createDataFrame([("KR1a0001",), ("KR1a0001",)], "textid string")
+    assert {tuple(r) for r in bundles.corpus_info(have, {"juan": juans}).collect()} == {("section", "KR1a", 2), ("section", "other", 1), ("table", "juan", 2)}
+    assert {tuple(r) for r in bundles.bundle_counts(have, {"juans": juans}).collect()} == {("KR1a0001", 2), ("KR1a0002", 0), ("X", 0)}
+    marked = "k int, text string, markers array<struct<offset:int,type:string,extras:map<string,string>>>"
+    rows = spark.createDataFrame([(1, "abcdef", [(0, "head", {"level": "1"}), (2, "head", {"level": "2"}), (4, "indent", {})]), (2, "abc", [])], marked)
+    assert [(r["k"], r["part"], r["text"]) for r in bundles.split_front(rows).orderBy("k", "part").collect()] == [(1, 0, "ab"), (1, 1, "cdef"), (2, 0, "abc"), (2, 1, "")]
+
+
+def test_harvest(spark):
+    import json
+
+    from lectern.operators import curation
+
+    record = lambda offset, old=None: json.dumps({"text_id": "T", "anchor": {"marker_id": "T_X_002-m", "offset": offset}, "supersedes": old})
+    listing = spark.createDataFrame([("d", "u1", "c1", record(1)), ("d", "u2", "c2", record(2, "c0")), ("d", "u3", "c3", record("x")), ("d", "u4", "c4", record(4))], "did string, uri string, cid string, record string")
+    markers = spark.createDataFrame([("T", 2, "T_X_002-m", "body", 10), ("T", 2, "T_X_002-m", "back", 0)], "textid string, seq int, marker_id string, bucket string, marker_offset int")
+    judged = spark.createDataFrame([("u1", "me", "e", "accepted", 2, 1), ("u4", "me", "e", "rejected", 0, 1)], "target string, author string, did string, state string, rating int, created long")
+    archive = spark.createDataFrame([("u0", "c0", "T", 2, "body", 0, "proposed", 0, None), ("u9", "c9", "T", 2, "body", 0, "proposed", 0, None)], "uri string, cid string, textid string, seq int, bucket string, bucket_offset int, state string, rating int, supersedes string")
+    got = {(r["cid"], r["bucket"], r["bucket_offset"], r["state"], r["rating"]) for r in curation.harvested(listing, markers, judged, archive, ["e"]).collect()}
+    assert got == {("c9", "body", 0, "proposed", 0), ("c1", "body", 11, "accepted", 2), ("c2", "body", 12, "proposed", 0)}
