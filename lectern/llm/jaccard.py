@@ -190,7 +190,9 @@ def _verified(members: DataFrame, n: int, threshold: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [()] * 4)], names)
 
     order = ["component", "low", "high"]
-    dealt = members.select(*order, "block", "doc_id", "key", "copies", "text").repartition(*order).sortWithinPartitions(*order, "doc_id", "key")
+    # as many tasks as the session sets, not as few as the bytes would do: comparing costs more than reading
+    shares = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.select(*order, "block", "doc_id", "key", "copies", "text").repartition(shares, *order).sortWithinPartitions(*order, "doc_id", "key")
     return dealt.mapInArrow(run, FOUND)
 
 
