@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import stages
-from lectern.llm.storage import documents, stored
+from lectern.llm.storage import bounded_batches, documents, stored
 from lectern.shipping import ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -16,6 +16,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def _shipped(stage: Stage) -> Stage:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
+        bounded_batches(spark)
         return stage(spark, docs, sf_dir)
 
     return run_stage
