@@ -10,7 +10,9 @@ passage but nearly all of its answer (a column ``answer`` if there is one, else
 the passage's last sentence).
 
 The benchmark is taken in blocks of a bounded number of passages and bytes, each
-held by every task, so its size bounds no memory. Passages shorter than
+held by every task, so its size bounds no memory. Passages longer than ``UNIT``
+words are searched for by parts of at most so many, as a window holds no more of
+them, and read as a whole wherever one part is a candidate. Passages shorter than
 ``SHORT`` words must occur whole and unbroken.
 
 Defined results: null or empty passages and texts match nothing; rows that
@@ -36,6 +38,7 @@ from lectern.llm import kernels
 BLOCK_ITEMS, BLOCK_BYTES = 2048, 8 << 20
 SHORT = 8
 STEP = 32  # words; a window has two steps
+UNIT = 60  # words that are searched for as one; a window has more than half of them
 RANK = 256
 
 FOUND = "doc_id long, item_id long, cosine double, lcs_ratio double, answer_ratio double, first_word long, end_word long"
@@ -77,19 +80,24 @@ class Pattern:
 
 @dataclass
 class Passage:
+    number: int
     item_id: int
     words: np.ndarray
     answer: np.ndarray
 
+    def units(self) -> list[np.ndarray]:
+        """Its words in parts of much the same length, ``UNIT`` at most."""
+        return np.array_split(self.words, -(-len(self.words) // UNIT))
+
 
 @dataclass
 class Index:
-    """A block of passages in latent space, with what a task needs to search it."""
+    """A block of passages' units in latent space, with what a task needs to search it."""
 
     vocabulary: np.ndarray  # sorted word hashes
     basis: np.ndarray  # terms x rank, scaled by idf
-    latent: np.ndarray  # passages x rank
-    passages: list[Passage]
+    latent: np.ndarray  # units x rank
+    passages: list[Passage]  # of each unit
 
     def __post_init__(self):
         self.norms = np.maximum(np.linalg.norm(self.latent, axis=1), 1e-9).astype(np.float32)
@@ -189,22 +197,22 @@ def randomised_svd(rows: DataFrame, width: int, rank: int, power: int = 2, seed:
 def index(docs: DataFrame, block: list, rank: int = RANK) -> Index | None:
     """Fit a block of passages: terms, their idf over all documents, and the latent basis."""
     spark = docs.sparkSession
-    passages = [Passage(i, words_of(t), words_of(a if a else answer_of(t))) for i, t, a in block]
-    passages = [p for p in passages if len(p.words)]
-    if not passages:
+    passages = [Passage(n, i, words_of(t), words_of(a if a else answer_of(t))) for n, (i, t, a) in enumerate(block)]
+    units = [(p, words) for p in passages if len(p.words) for words in p.units()]
+    if not units:
         return None
-    vocabulary = np.unique(np.concatenate([p.words for p in passages]))
+    vocabulary = np.unique(np.concatenate([words for _, words in units]))
     n, having = document_counts(docs, vocabulary)
     idf = np.log((n + 1) / (having + 0.5))
     idf = np.maximum(idf, 0.01)
     rows = []
-    for p in passages:
-        terms, counts = np.unique(np.searchsorted(vocabulary, p.words), return_counts=True)
+    for _, words in units:
+        terms, counts = np.unique(np.searchsorted(vocabulary, words), return_counts=True)
         rows.append((terms, counts * idf[terms]))
     table = spark.createDataFrame([(t.tolist(), w.tolist()) for t, w in rows], "terms array<int>, weights array<float>")
-    basis = randomised_svd(table, len(vocabulary), min(rank, len(passages)))
+    basis = randomised_svd(table, len(vocabulary), min(rank, len(units)))
     latent = np.stack([w @ basis[t] for t, w in rows])
-    return Index(vocabulary, (basis * idf[:, None]).astype(np.float32), latent.astype(np.float32), passages)
+    return Index(vocabulary, (basis * idf[:, None]).astype(np.float32), latent.astype(np.float32), [p for p, _ in units])
 
 
 @dataclass
@@ -236,12 +244,21 @@ def _search(texts: list[tuple], own: Index, rules: Rules) -> list[tuple]:
     # dot >= weight * |passage|^2 and dot >= cosine * |passage| * |window|
     need = np.maximum(rules.weight * own.norms[None, :], rules.cosine * length[:, None]) * own.norms[None, :]
     best: dict[tuple[int, int], tuple] = {}
+    seen: set[tuple[int, int]] = set()  # windows read for a passage, which may be candidates by several units
     for window, item in zip(*np.nonzero(dots >= need), strict=True):
         text, passage = int(owner[window]), own.passages[item]
+        key = (text, passage.number)
+        if (int(window), passage.number) in seen or key in best and best[key][3:5] == (1.0, 1.0):  # nothing is better
+            continue
+        seen.add((int(window), passage.number))
         words = texts[text][1]
         at = (int(window) - int(first[text])) * STEP
-        margin = max(SHORT, len(passage.words) - STEP // 2)
+        long = len(passage.words) > UNIT
+        margin = len(passage.words) if long else max(SHORT, len(passage.words) - STEP // 2)
         low, high = max(0, at - margin), min(len(words), at + 2 * STEP + margin)
+        # a common subsequence has no more words than the two share
+        if long and np.isin(passage.words, words[low:high]).sum() < rules.paraphrase * len(passage.words):
+            continue
         near = words[low:high].tolist()
         if len(passage.words) < SHORT:
             if not _contains(near, passage.words.tolist()):
@@ -256,8 +273,8 @@ def _search(texts: list[tuple], own: Index, rules: Rules) -> list[tuple]:
                 continue
         cosine = float(dots[window, item] / (own.norms[item] * length[window]))
         row = (texts[text][0], passage.item_id, min(1.0, cosine), ratio, answer, low, high)
-        if (text, int(item)) not in best or best[text, int(item)][3:5] < (ratio, answer):
-            best[text, int(item)] = row
+        if key not in best or best[key][3:5] < (ratio, answer):
+            best[key] = row
     return list(best.values())
 
 

@@ -62,6 +62,26 @@ def test_recall_against_brute_force(spark, make, monkeypatch, rank):
     assert not found - want
 
 
+@pytest.mark.parametrize("size", [61, 200, 300, 1000])
+def test_long_passages(spark, make, size):
+    """A passage that is longer than a window is found, whole and with a fifth of its words dropped; others are left alone."""
+    rng = random.Random(size)
+    items = passages(rng, 20, size)
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs, want = [], set()
+    for i in range(60):
+        words = " ".join(passages(rng, rng.randrange(1, 8), 100)).split()
+        if i % 3:
+            leak = items[i % 20].split()
+            at = rng.randrange(len(words))
+            words[at:at] = leak if i % 3 == 1 else [w for w in leak if rng.random() > 0.2]
+            want.add((i, i % 20))
+        docs.append((i, " ".join(words)))
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(make(docs), benchmark, decontaminate.Rules(lcs=0.65)).collect()}
+    assert found == want
+    assert {r["doc_id"] for r in decontaminate.clean(make(docs), benchmark, decontaminate.Rules(lcs=0.65)).collect()} == set(range(60)) - {i for i, _ in want}
+
+
 def test_answers_confirm_paraphrases():
     assert decontaminate.answer_of("What is it?\nAnswer: blue whale") == "blue whale"
     assert decontaminate.answer_of("First one. The second sentence.") == "The second sentence."
