@@ -9,8 +9,11 @@ of words must cover enough of the passage, or, for a paraphrase, less of the
 passage but nearly all of its answer (a column ``answer`` if there is one, else
 the passage's last sentence).
 
-The benchmark is taken in blocks of a bounded number of passages and bytes, each
-held by every task, so its size bounds no memory. Passages longer than ``UNIT``
+The benchmark is taken in blocks of a bounded number of passages and bytes, and a
+block in rounds of ``GROUPS`` groups of ``RANK`` units, a round held by every task,
+so its size bounds no memory. Each group has a basis of its own with as many
+dimensions as it has units, so cosines and weights are exact at any size. Passages
+longer than ``UNIT``
 words are searched for by parts of at most so many, as a window holds no more of
 them, and read as a whole wherever one part is a candidate. Passages shorter than
 ``SHORT`` words must occur whole and unbroken.
@@ -29,17 +32,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import kernels
 
 #: Passages and bytes of text in a block of the benchmark.
-BLOCK_ITEMS, BLOCK_BYTES = 2048, 8 << 20
+BLOCK_ITEMS, BLOCK_BYTES = 2048, 1 << 19
 SHORT = 8
 STEP = 32  # words; a window has two steps
 UNIT = 60  # words that are searched for as one; a window has more than half of them
-RANK = 256
+RANK = 256  # dimensions of a basis, and units that share it
+GROUPS = 8  # bases that a task holds at once
 
 FOUND = "doc_id long, item_id long, cosine double, lcs_ratio double, answer_ratio double, first_word long, end_word long"
 
@@ -92,7 +96,7 @@ class Passage:
 
 @dataclass
 class Index:
-    """A block of passages' units in latent space, with what a task needs to search it."""
+    """A group of passages' units in latent space, with what a task needs to search it."""
 
     vocabulary: np.ndarray  # sorted word hashes
     basis: np.ndarray  # terms x rank, scaled by idf
@@ -194,25 +198,30 @@ def randomised_svd(rows: DataFrame, width: int, rank: int, power: int = 2, seed:
     return span
 
 
-def index(docs: DataFrame, block: list, rank: int = RANK) -> Index | None:
-    """Fit a block of passages: terms, their idf over all documents, and the latent basis."""
-    spark = docs.sparkSession
+def indexes(docs: DataFrame, block: list, rank: int = RANK) -> Iterator[list[Index]]:
+    """Fit a block of passages, in rounds of ``GROUPS`` groups of ``rank`` units."""
     passages = [Passage(n, i, words_of(t), words_of(a if a else answer_of(t))) for n, (i, t, a) in enumerate(block)]
     units = [(p, words) for p in passages if len(p.words) for words in p.units()]
-    if not units:
-        return None
-    vocabulary = np.unique(np.concatenate([words for _, words in units]))
-    n, having = document_counts(docs, vocabulary)
-    idf = np.log((n + 1) / (having + 0.5))
-    idf = np.maximum(idf, 0.01)
+    for low in range(0, len(units), GROUPS * rank):
+        own = units[low : low + GROUPS * rank]
+        vocabulary = np.unique(np.concatenate([words for _, words in own]))
+        n, having = document_counts(docs, vocabulary)
+        idf = np.maximum(np.log((n + 1) / (having + 0.5)), 0.01)
+        yield [_group(docs.sparkSession, own[at : at + rank], vocabulary, idf) for at in range(0, len(own), rank)]
+
+
+def _group(spark: SparkSession, units: list[tuple[Passage, np.ndarray]], vocabulary: np.ndarray, idf: np.ndarray) -> Index:
+    """Some units' terms with their idf over all documents, and the latent basis that they span."""
+    own = np.unique(np.concatenate([words for _, words in units]))
+    idf = idf[np.searchsorted(vocabulary, own)]
     rows = []
     for _, words in units:
-        terms, counts = np.unique(np.searchsorted(vocabulary, words), return_counts=True)
+        terms, counts = np.unique(np.searchsorted(own, words), return_counts=True)
         rows.append((terms, counts * idf[terms]))
     table = spark.createDataFrame([(t.tolist(), w.tolist()) for t, w in rows], "terms array<int>, weights array<float>")
-    basis = randomised_svd(table, len(vocabulary), min(rank, len(units)))
+    basis = randomised_svd(table, len(own), len(units))
     latent = np.stack([w @ basis[t] for t, w in rows])
-    return Index(vocabulary, (basis * idf[:, None]).astype(np.float32), latent.astype(np.float32), [p for p, _ in units])
+    return Index(own, (basis * idf[:, None]).astype(np.float32), latent.astype(np.float32), [p for p, _ in units])
 
 
 @dataclass
@@ -231,10 +240,17 @@ def _contains(text: list[int], words: list[int]) -> bool:
     return any(text[i : i + len(words)] == words for i, w in enumerate(text) if w == first)
 
 
-def _search(texts: list[tuple], own: Index, rules: Rules) -> list[tuple]:
+def _search(texts: list[tuple], groups: list[Index], rules: Rules) -> list[tuple]:
     """Rows of ``FOUND`` for some texts: (doc_id, word hashes)."""
-    if not texts:
-        return []
+    best: dict[tuple[int, int], tuple] = {}
+    seen: set[tuple[int, int]] = set()  # windows read for a passage, which may be candidates by several units
+    if texts:
+        for own in groups:
+            _search_group(texts, own, rules, best, seen)
+    return list(best.values())
+
+
+def _search_group(texts: list[tuple], own: Index, rules: Rules, best: dict, seen: set) -> None:
     latents = [own.windows(words) for _, words in texts]
     joined = np.concatenate(latents)
     owner = np.repeat(np.arange(len(texts)), [len(x) for x in latents])
@@ -243,8 +259,6 @@ def _search(texts: list[tuple], own: Index, rules: Rules) -> list[tuple]:
     length = np.maximum(np.linalg.norm(joined, axis=1), 1e-9)
     # dot >= weight * |passage|^2 and dot >= cosine * |passage| * |window|
     need = np.maximum(rules.weight * own.norms[None, :], rules.cosine * length[:, None]) * own.norms[None, :]
-    best: dict[tuple[int, int], tuple] = {}
-    seen: set[tuple[int, int]] = set()  # windows read for a passage, which may be candidates by several units
     for window, item in zip(*np.nonzero(dots >= need), strict=True):
         text, passage = int(owner[window]), own.passages[item]
         key = (text, passage.number)
@@ -275,7 +289,6 @@ def _search(texts: list[tuple], own: Index, rules: Rules) -> list[tuple]:
         row = (texts[text][0], passage.item_id, min(1.0, cosine), ratio, answer, low, high)
         if key not in best or best[key][3:5] < (ratio, answer):
             best[key] = row
-    return list(best.values())
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules | None = None, rank: int = RANK) -> DataFrame:
@@ -284,24 +297,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules | None = None, ran
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
     for block in _batches(benchmark):
-        own = index(docs, block, rank)
-        if own is None:
-            continue
-        part = texts.mapInArrow(_searcher(own, rules), FOUND)
-        found = part if found is None else found.unionByName(part)
+        for groups in indexes(docs, block, rank):
+            part = texts.mapInArrow(_searcher(groups, rules), FOUND)
+            found = part if found is None else found.unionByName(part)
     if found is None:
         return docs.sparkSession.createDataFrame([], FOUND)
     best = F.max(F.struct("lcs_ratio", "answer_ratio", "cosine", (-F.col("first_word")).alias("place"), "end_word")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.cosine", "best.lcs_ratio", "best.answer_ratio", (-F.col("best.place")).alias("first_word"), "best.end_word")
 
 
-def _searcher(own: Index, rules: Rules):
+def _searcher(groups: list[Index], rules: Rules):
     names = [field.split()[0] for field in FOUND.split(", ")]
     types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(some: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*_search(some, own, rules), strict=True)) or [()] * len(names)
+            columns = list(zip(*_search(some, groups, rules), strict=True)) or [()] * len(names)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
         some, size = [], 0
@@ -323,20 +334,19 @@ def _searcher(own: Index, rules: Rules):
 def clean(docs: DataFrame, benchmark: DataFrame, rules: Rules | None = None, rank: int = RANK) -> DataFrame:
     """``docs`` without the documents that hold a benchmark passage.
 
-    All columns are kept. Rows are judged where they lie, once for each block of
+    All columns are kept. Rows are judged where they lie, once for each round of
     the benchmark, without a shuffle.
     """
     rules = rules or Rules()
     text_at = docs.columns.index("text")
     kept = docs
     for block in _batches(benchmark):
-        own = index(docs, block, rank)
-        if own is not None:
-            kept = kept.mapInArrow(_filter(own, rules, text_at), docs.schema)
+        for groups in indexes(docs, block, rank):
+            kept = kept.mapInArrow(_filter(groups, rules, text_at), docs.schema)
     return kept
 
 
-def _filter(own: Index, rules: Rules, text_at: int):
+def _filter(groups: list[Index], rules: Rules, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             clean_rows, some, size = np.ones(batch.num_rows, dtype=bool), [], 0
@@ -346,7 +356,7 @@ def _filter(own: Index, rules: Rules, text_at: int):
                     some.append((at, words))
                     size += len(words)
                 if size >= 16_000 or at + 1 == batch.num_rows:
-                    clean_rows[[row[0] for row in _search(some, own, rules)]] = False
+                    clean_rows[[row[0] for row in _search(some, groups, rules)]] = False
                     some, size = [], 0
             yield batch.filter(pa.array(clean_rows))
 

@@ -82,6 +82,22 @@ def test_long_passages(spark, make, size):
     assert {r["doc_id"] for r in decontaminate.clean(make(docs), benchmark, decontaminate.Rules(lcs=0.65)).collect()} == set(range(60)) - {i for i, _ in want}
 
 
+def test_more_passages_than_dimensions(spark, data):
+    """Cosines are exact at any size: 1,000 passages of real texts are all found where they come from."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(500)
+    texts = [(r["doc_id"], words) for r in docs.collect() if len(words := (r["text"] or "").split()) >= 65]
+    rng = random.Random(5)
+    items, want = [], set()
+    for item in range(1000):
+        doc_id, words = texts[item % len(texts)]
+        size = rng.randrange(15, 60)
+        at = rng.randrange(len(words) - size)
+        items.append((item, " ".join(words[at : at + size])))
+        want.add((doc_id, item))
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want - found) == 0
+
+
 def test_answers_confirm_paraphrases():
     assert decontaminate.answer_of("What is it?\nAnswer: blue whale") == "blue whale"
     assert decontaminate.answer_of("First one. The second sentence.") == "The second sentence."
