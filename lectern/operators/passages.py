@@ -353,17 +353,36 @@ def minhash(sources: DataFrame, k: int = 5, size: int = 128) -> DataFrame:
     return sources.select(F.col("bucket_id").cast("long"), "text").where("text is not null").mapInPandas(run, "bucket_id long, sketch array<long>")
 
 
-def band_pairs(sketches: DataFrame, bands: int = 16, size: int = 128) -> DataFrame:
-    """Distinct pairs of sources that agree in a band of their sketches, linked through the band's least source.
+def sketch_classes(sketches: DataFrame) -> DataFrame:
+    """(class_id, sketch): one row for each distinct sketch, under the least source that has it."""
+    return sketches.groupBy("sketch").agg(F.min("bucket_id").alias("class_id")).select("class_id", "sketch")
 
-    A group is a star and not all its pairs: two members of a group are linked
-    through its hub.
-    """
+
+def band_pairs(sketches: DataFrame, bands: int = 16, size: int = 128) -> DataFrame:
+    """All distinct pairs of sources that agree in a band of their sketches."""
     rows = size // bands
     band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("sketch", i * rows + 1, rows)))
     buckets = sketches.select("bucket_id", F.explode(band).alias("band"))
-    hubs = buckets.groupBy("band").agg(F.min("bucket_id").alias("hub"), F.max("bucket_id").alias("last")).where("hub < last")
-    return buckets.join(hubs.select("band", "hub"), "band").where("bucket_id <> hub").select(F.col("hub").alias("bucket_a"), F.col("bucket_id").alias("bucket_b")).distinct()
+    a, b = buckets.alias("a"), buckets.alias("b")
+    pairs = a.join(b, [F.col("a.band") == F.col("b.band"), F.col("a.bucket_id") < F.col("b.bucket_id")])
+    return pairs.select(F.col("a.bucket_id").alias("bucket_a"), F.col("b.bucket_id").alias("bucket_b")).distinct()
+
+
+def similar_pairs(sketches: DataFrame, bands: int = 16, size: int = 128) -> DataFrame:
+    """All pairs of ``band_pairs`` with their ``similarity``.
+
+    Sources with equal sketches are one class: classes are paired and compared,
+    and their members listed after that, so copies cost no comparisons.
+    """
+    classes = stored(sketch_classes(sketches), "classes").withColumnRenamed("class_id", "bucket_id")
+    links = similarity(band_pairs(classes, bands, size), classes)
+    members = stored(sketches.join(classes.withColumnRenamed("bucket_id", "class_id"), "sketch").select("class_id", "bucket_id").distinct(), "members")
+    copied = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    links = links.unionByName(copied.select(F.col("class_id").alias("bucket_a"), F.col("class_id").alias("bucket_b"), F.lit(1.0).alias("similarity")))
+    a = members.select(F.col("class_id").alias("bucket_a"), F.col("bucket_id").alias("x"))
+    b = members.select(F.col("class_id").alias("bucket_b"), F.col("bucket_id").alias("y"))
+    found = links.join(a, "bucket_a").join(b, "bucket_b").where((F.col("bucket_a") != F.col("bucket_b")) | (F.col("x") < F.col("y")))
+    return found.select(F.least("x", "y").alias("bucket_a"), F.greatest("x", "y").alias("bucket_b"), "similarity")
 
 
 def similarity(pairs: DataFrame, sketches: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def fuzzy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def minhash_lsh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     sketches = stored(passages.minhash(sources(spark, sf_dir)), "sketches")
-    return passages.similarity(passages.band_pairs(sketches), sketches)
+    return passages.similar_pairs(sketches)
 
 
 def dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,6 +158,28 @@ def test_sketches_find_near_copies(spark):
     assert pairs[0]["similarity"] > 0.85
 
 
+def test_sketch_pairs_against_brute_force(spark):
+    """Every pair that agrees in a band is given with its similarity, among copies and near copies too."""
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(300)}" for _ in range(120)]
+    texts = []
+    for i in range(8):
+        near = list(base)
+        for at in rng.sample(range(120), 3 * i):
+            near[at] = f"n{i}"
+        texts += [" ".join(near)] * (3 if i % 3 == 0 else 1)
+    sketches = passages.minhash(sources(spark, *texts, "zzzzzz", "ab"))
+    own = sorted((r["bucket_id"], r["sketch"]) for r in sketches.collect())
+    want = {}
+    for i, (a, x) in enumerate(own):
+        for b, y in own[i + 1 :]:
+            if any(x[k : k + 8] == y[k : k + 8] for k in range(0, 128, 8)):
+                want[a, b] = sum(p == q for p, q in zip(x, y, strict=True)) / 128
+    rows = [tuple(r) for r in passages.similar_pairs(sketches).collect()]
+    assert len(rows) == len(want) and {(a, b): s for a, b, s in rows} == want
+    assert {tuple(r) for r in passages.band_pairs(sketches).collect()} == set(want)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)
