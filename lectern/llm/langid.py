@@ -7,7 +7,9 @@ most of its letters.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0
 and no spans; rows without a lang are predicted but never learned from; with
-nothing to learn from every document is ``und``; repeated rows are predicted
+nothing to learn from every document is ``und``; words in a script that no
+learned language uses have no language: their spans are ``und``, they count in the
+score's letters, and a text of them alone is ``und`` with score 0; repeated rows are predicted
 each; an empty table returns no rows. Only doc_id, text and, for learning, lang
 are read.
 """
@@ -109,6 +111,15 @@ class Model:
     grams: np.ndarray  # buckets x languages
     scripts: np.ndarray  # scripts x languages, bool
 
+    def candidates(self, found: Words) -> np.ndarray:
+        """Per word: has it a language at all?"""
+        return self.scripts.any(axis=1)[found.script]
+
+    def shares(self, found: Words, labels: np.ndarray) -> np.ndarray:
+        """Per language: the share of the letters that have its label; words without a candidate add to none."""
+        lengths = found.ends - found.starts
+        return np.bincount(labels, weights=lengths * self.candidates(found), minlength=len(self.languages)) / lengths.sum()
+
     def scores(self, found: Words) -> np.ndarray:
         """Per word and language: 0 for the best candidate, less for others, ``FLOOR`` at least."""
         if not len(found.starts):
@@ -204,13 +215,16 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
 
 
 def spans(found: Words, labels: np.ndarray, languages: list[str]) -> list[tuple[str, int, int]]:
-    """Runs of one label as (language, start, end) in code points; a run ends where the next begins."""
+    """Runs of one label as (language, start, end) in code points; a run ends where the next begins.
+
+    The label after the last language is ``UNKNOWN``.
+    """
     if not len(labels):
         return []
     at = np.concatenate(([0], np.flatnonzero(labels[1:] != labels[:-1]) + 1))
     starts = found.starts[at]
     ends = np.concatenate((starts[1:], [found.ends[-1]]))
-    return [(languages[labels[i]], int(s), int(e)) for i, s, e in zip(at, starts, ends, strict=True)]
+    return [(languages[labels[i]] if labels[i] < len(languages) else UNKNOWN, int(s), int(e)) for i, s, e in zip(at, starts, ends, strict=True)]
 
 
 PREDICTED = "doc_id long, lang_pred string, score double, spans string"
@@ -227,9 +241,10 @@ def predict(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
             if not len(own) or not len(w.starts):
                 rows.append((doc_id, UNKNOWN, 0.0, ""))
                 continue
-            weight = np.bincount(own, weights=w.ends - w.starts, minlength=len(model.languages))
-            best = int(weight.argmax())
-            rows.append((doc_id, model.languages[best], float(weight[best] / weight.sum()), ",".join(f"{a}:{b}:{c}" for a, b, c in spans(w, own, model.languages))))
+            share = model.shares(w, own)
+            best = int(share.argmax())
+            labelled = spans(w, np.where(model.candidates(w), own, len(model.languages)), model.languages)
+            rows.append((doc_id, model.languages[best] if share[best] else UNKNOWN, float(share[best]), ",".join(f"{a}:{b}:{c}" for a, b, c in labelled)))
         columns = list(zip(*rows, strict=True)) or [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.float64(), pa.string()), strict=True)], ["doc_id", "lang_pred", "score", "spans"])
 
@@ -267,10 +282,10 @@ def keep(docs: DataFrame, model: Model, min_score: float = 0.5, penalty: float =
                 kept, names = [], []
                 for at, (w, own) in enumerate(zip(found, labels, strict=False)):
                     if len(own):
-                        weight = np.bincount(own, weights=w.ends - w.starts, minlength=len(model.languages))
-                        if weight.max() >= min_score * weight.sum():
+                        share = model.shares(w, own)
+                        if share.max() > 0 and share.max() >= min_score:
                             kept.append(at)
-                            names.append(model.languages[int(weight.argmax())])
+                            names.append(model.languages[int(share.argmax())])
                 batch = batch.take(pa.array(kept, pa.int64()))
                 if "lang" in batch.schema.names and len(kept):
                     place = batch.schema.names.index("lang")

@@ -75,3 +75,18 @@ def test_keep_drops_texts_without_language(nasty, model):
     assert not set(ids) & {2, 3, 6, 7}
     assert ids.count(1) == 3 and 4 in ids
     assert all(r["lang"] for r in kept.collect())
+
+
+def test_scripts_of_no_language_belong_to_none(make, model):
+    """Letters that no learned language uses add to none: und alone, and less score among others."""
+    thai, english = "ภาษาไทยเป็นภาษาที่มีระดับเสียง", "the quick brown fox"
+    half = english + " 語言語言語言語言語言語言語言語言"
+    docs = make([(1, thai, None), (2, "中文文本没有空格", None), (3, half, None), (4, english, None)])
+    rows = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
+    assert [(rows[i]["lang_pred"], rows[i]["score"]) for i in (1, 2)] == [("und", 0.0)] * 2
+    assert rows[1]["spans"].startswith("und:0:")
+    assert (rows[3]["lang_pred"], rows[3]["score"]) == ("en", 0.5)
+    assert [x.split(":")[0] for x in rows[3]["spans"].split(",")] == ["en", "und"]
+    assert (rows[4]["lang_pred"], rows[4]["score"]) == ("en", 1.0)
+    assert [(r["doc_id"], r["lang"]) for r in langid.keep(docs, model, 0.34).orderBy("doc_id").collect()] == [(3, "en"), (4, "en")]
+    assert [r["doc_id"] for r in langid.keep(docs, model, 0.6).collect()] == [4]
