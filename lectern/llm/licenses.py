@@ -1,7 +1,7 @@
 """License scans: TF-IDF cosine of notices to templates, then inheritance down the path.
 
-Lines that may be a notice, and whole texts that may be a licence file, are
-sparse TF-IDF vectors over the templates' words and a share for all others; a
+Lines, sentences, runs of neighbouring lines without their comment signs, and whole
+texts that may be a licence file, are sparse TF-IDF vectors over the templates' words and a share for all others; a
 cosine above the threshold names the licence. A file without a notice of its own
 takes that of the nearest ancestor directory that has a licence file, found by
 joins of directory paths.
@@ -68,7 +68,7 @@ TEMPLATES = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "proprietary": ("All rights reserved.", "Copyright. All rights reserved. Confidential and proprietary; no part may be reproduced without written permission."),
 }
-CUES = ("licen", "spdx", "copyright", "rights reserved", "public domain", "permission is hereby", "creative commons", "free software", "redistribution and use")
+LINES = 16  # lines that a wrapped notice has at most; the longest template has 43 words
 LICENSE_NAME = re.compile(r"(?:^|/)(?:licen[cs]e|copying|notice|unlicense)[^/]*\Z", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 
@@ -101,6 +101,19 @@ class Matcher:
                 names.append(name)
         return cls(idf, math.log(documents + 1) + 1, postings, names)
 
+    def reaches(self, text: str, threshold: float) -> bool:
+        """Can any part of a text have the cosine, which the root of a template's weight in its words bounds?
+
+        One word is no notice: "Mit." is a German sentence too.
+        """
+        held: dict[int, float] = {}
+        words: Counter = Counter()
+        for t in VOCABULARY.intersection(terms(text)):
+            for at, v in self.postings[t]:
+                held[at] = held.get(at, 0.0) + v * v
+                words[at] += 1
+        return any(w >= threshold * threshold - 1e-9 and words[at] > 1 for at, w in held.items())
+
     def best(self, text: str) -> tuple[float, str]:
         """The highest cosine, and the licence that has it (ties: the first by name)."""
         count = Counter(terms(text))
@@ -137,20 +150,71 @@ def matcher(files: DataFrame) -> Matcher:
     return Matcher.of(having.pop("", 0), having)
 
 
+_SENTENCE = re.compile(r"(?<=[a-z0-9][.;])\s+(?=[A-Z])")
+# what a comment's line begins with
+_LEAD = re.compile(r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|--+|;+|<!--|%+)[ \t]?")
+
+
+def _cut(text: str) -> Iterator[tuple[int, int]]:
+    """Starts and ends of a text's sentences."""
+    start = 0
+    for gap in _SENTENCE.finditer(text):
+        yield start, gap.start()
+        start = gap.end()
+    yield start, len(text)
+
+
+def _wrapped(text: str, match: Matcher, threshold: float) -> set[tuple[int, int]]:
+    """Places that may hold a notice over several lines: runs of neighbouring lines, and sentences of joined ones."""
+    plain = _LEAD.sub(lambda lead: " " * len(lead[0]), text)
+    found: set[tuple[int, int]] = set()
+    block: list[tuple[int, int]] = []
+    at = 0
+    for line in [*plain.split("\n"), ""]:
+        if _WORD.search(line.lower()):
+            block.append((at + len(line) - len(line.lstrip()), at + len(line.rstrip())))
+        elif block:
+            first, last = block[0][0], block[-1][1]
+            if not match.reaches(plain[first:last], threshold):  # so no part does
+                block, at = [], at + len(line) + 1
+                continue
+            for i in range(len(block)):
+                ends = [end for _, end in block[i + 1 : i + LINES]]
+                if ends and match.reaches(plain[block[i][0] : ends[-1]], threshold):
+                    found |= {(block[i][0], end) for end in ends}
+            found |= {(first + a, first + b) for a, b in _cut(plain[first:last]) if "\n" in plain[first + a : first + b]}
+            block = []
+        at += len(line) + 1
+    return found
+
+
 def notices(text: str, match: Matcher, threshold: float) -> list[tuple[float, str, int, int]]:
-    """Lines of a text that are licence notices: (cosine, licence, start, end)."""
-    low = text.lower()
-    if not any(cue in low for cue in CUES):
+    """Licence notices of a text: (cosine, licence, start, end).
+
+    Lines and their sentences are compared, and notices that are wrapped over
+    lines; of a wrapped one and others that it overlaps the highest cosine counts.
+    """
+    if not match.reaches(text, threshold):
         return []
     found, at = [], 0
     for line in text.split("\n"):
-        own = line.lower()
-        if any(cue in own for cue in CUES):
-            for sentence in {line, *re.split(r"(?<=[a-z][.;])\s+(?=[A-Z])", line)}:
+        if match.reaches(line, threshold):
+            for sentence in {line, *(line[a:b] for a, b in _cut(line))}:
                 cosine, name = match.best(sentence)
                 if cosine >= threshold:
                     found.append((cosine, name, at + line.index(sentence), at + line.index(sentence) + len(sentence)))
         at += len(line) + 1
+    if "\n" in text:
+        wrapped = []
+        for start, end in _wrapped(text, match, threshold):
+            if match.reaches(text[start:end], threshold):
+                cosine, name = match.best(text[start:end])
+                if cosine >= threshold:
+                    wrapped.append((cosine, name, start, end))
+        for one in sorted(wrapped, key=lambda x: (-round(x[0], 9), x[1], x[2], x[3])):
+            over = [x for x in found if x[2] < one[3] and one[2] < x[3]]
+            if all(round(x[0], 9) < round(one[0], 9) for x in over):
+                found = [x for x in found if x not in over] + [one]
     return sorted(found, key=lambda x: (-round(x[0], 9), x[1], x[2]))
 
 

@@ -73,3 +73,35 @@ def test_nasty_and_empty(spark, nasty, empty):
     assert len(rows) == nasty.count()
     assert all(r["license"] is None for r in rows)
     assert licenses.resolve(empty.select(F.col("doc_id").alias("file_id"), F.col("source").alias("path"), "text")).count() == 0
+
+
+WRAPPED = {
+    "MPL-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */
+
+int main() {}
+""",
+    "GPL-3.0": """# tool.py does something
+#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+
+import os
+""",
+    "Apache-2.0": """// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at
+""",
+    "CC-BY-4.0": "Some words first.\nReleased under CC BY 4.0.\nMore words.",
+}
+
+
+def test_wrapped_notices_and_notices_without_cue_words(spark):
+    files = [(i, f"src/{i}/a.c", text) for i, text in enumerate(WRAPPED.values())]
+    files += [(10 + i, f"plain/{i}/b.c", f"words of the text number {i}\nand the others of this one\nas it is") for i in range(300)]
+    rows = {r["file_id"]: r for r in licenses.resolve(spark.createDataFrame(files, "file_id long, path string, text string")).collect()}
+    assert [(rows[i]["license"], rows[i]["origin"]) for i in range(len(WRAPPED))] == [(name, "own") for name in WRAPPED]
+    assert all(rows[i]["origin"] == "none" for i in range(10, 310))
