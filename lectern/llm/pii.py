@@ -12,7 +12,8 @@ added to the base spans, which always stay.
 
 Weights are learned from documents in which some base mentions are hidden: the
 rules give the labels, and the field must recover them from shape, context and
-the repeated mentions that are still seen.
+the mentions that are still seen. All three tables are as fitted; the skip table
+is diagonal and not negative.
 
 Skip edges join each mention to the next one with its key, so a token repeated
 n times has n - 1 edges, and messages cost time in proportion to mentions.
@@ -36,17 +37,20 @@ from pyspark.sql import functions as F
 
 from lectern.llm.storage import hash_sample
 
-# The base rules, kinds in their order.
+# The base rules, kinds in their order. What precedes an address's sign is found from
+# the sign backwards, and no run of digits is entered twice, so long runs cost time in proportion.
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 #: What can be a mention beyond the base rules: addresses, also written out, and digits.
 #: Shapes of a whole telephone or card number come first, so that numbers which
 #: stand side by side (where a base rule takes both for one and drops it) are two mentions.
-ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+(?:@| ?[(\[]at[)\]] ?)[A-Za-z0-9-]+(?:(?:\.| ?[(\[]dot[)\]] ?)[A-Za-z0-9-]+)*", re.IGNORECASE)
+SIGN = re.compile(r"@| ?[(\[][aA][tT][)\]] ?")
+HOST = re.compile(r"[A-Za-z0-9-]++(?:(?:\.| ?[(\[][dD][oO][tT][)\]] ?)[A-Za-z0-9-]++)*+")
 NUMBER = re.compile(
     r"(?<![A-Za-z0-9])(?:"
     r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
@@ -76,14 +80,39 @@ def _digits(text: str) -> str:
     return re.sub(r"[^0-9]", "", text)
 
 
+def addresses(text: str, sign: re.Pattern, host: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Leftmost, non-overlapping places of local characters, a sign and a host, in linear time.
+
+    No local character is a sign, so the run before a sign belongs to it alone.
+    """
+    free = 0
+    for m in sign.finditer(text):
+        if m.start() < free:
+            continue
+        before = text[free : m.start()]
+        start = free + len(before.rstrip(LOCAL))
+        end = host.match(text, m.end()) if start < m.start() else None
+        free = end.end() if end else m.end()
+        if end:
+            yield start, free
+
+
+def _byte(part: str) -> bool:
+    digits = part.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
+_AT = re.compile("@")
+
+
 def base_spans(text: str) -> list[Span]:
     """Spans of the base rules, sorted by start, then kind."""
     found: list[Span] = []
     if "@" in text:
-        found += [("email", m.start(), m.end()) for m in EMAIL.finditer(text)]
+        found += [("email", start, end) for start, end in addresses(text, _AT, DOMAIN)]
     if re.search("[0-9]", text):
         # no part of a match has to be below 256 for it to be one, but above it drops the match
-        found += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        found += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(map(_byte, m[0].split(".")))]
         for m in CARD.finditer(text):
             digits = _digits(m[0])
             if 12 <= len(digits) <= 19 and luhn(digits):
@@ -94,6 +123,10 @@ def base_spans(text: str) -> list[Span]:
 
 
 NODE_FEATURES = 12 + len(CONTEXT)
+#: Features that base rules test: at sign, plus sign, three dots, checksum.
+TESTED = (1, 3, 5, 8)
+#: Those and what else a way of writing shows: parentheses, digits in groups of three and four, in fours.
+FORM = (*TESTED, 4, 9, 11)
 LABELS = len(KINDS) + 1
 
 
@@ -123,14 +156,15 @@ def mentions(text: str, base: list[Span]) -> list[Mention]:
     spans = {(s, e): KINDS.index(k) + 1 for k, s, e in reversed(base)}
     taken = sorted(spans)
     low = text.lower()
-    patterns = [ADDRESS] * ("@" in text or "(at)" in low or "[at]" in low) + [NUMBER] * bool(re.search("[0-9]", text))
-    for pattern in patterns:
+    written = addresses(text, SIGN, HOST) if "@" in text or "(at)" in low or "[at]" in low else ()
+    numbers = (m.span() for m in NUMBER.finditer(text)) if re.search("[0-9]", text) else ()
+    for places in (written, numbers):
         at = 0
-        for m in pattern.finditer(text):
-            while at < len(taken) and taken[at][1] <= m.start():
+        for start, end in places:
+            while at < len(taken) and taken[at][1] <= start:
                 at += 1
-            if at == len(taken) or taken[at][0] >= m.end():
-                spans.setdefault(m.span(), 0)
+            if at == len(taken) or taken[at][0] >= end:
+                spans.setdefault((start, end), 0)
     out = []
     for (start, end), label in sorted(spans.items()):
         own = text[start:end]
@@ -210,12 +244,15 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (np.log(np.exp(x - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
 
 
-def fit(documents: list[list[Mention]], hidden: float = 0.5, rounds: int = 120, rate: float = 0.5, ridge: float = 2e-3, seed: int = 3) -> Field:
+def fit(documents: list[list[Mention]], hidden: float = 0.5, rounds: int = 1500, rate: float = 1.0, ridge: float = 1e-3, seed: int = 3) -> Field:
     """Pseudo-likelihood: each mention's label given its features and its neighbours' labels.
 
-    Of a hidden mention the features that its rule tests (plus sign, at sign,
-    checksum) are also dropped half of the time, so that the field does not
-    lean on them alone.
+    Of a hidden mention the features that its rule tests are dropped, so that
+    the field learns how far the word before it and its neighbours tell its
+    kind. A hidden mention of a kind also stands for a second mention of its
+    entity in a form that no rule knows (bare digits, an address written out):
+    of that kind beside a seen mention, and of none in a text without one. This
+    is what skip weights are learned from, besides what texts repeat themselves.
     """
     rng = np.random.default_rng(seed)
     feats, labels, chain_sum, skip_sum = [], [], [], []
@@ -228,13 +265,15 @@ def fit(documents: list[list[Mention]], hidden: float = 0.5, rounds: int = 120,
                 np.add.at(around[which], pairs[:, 0], np.eye(LABELS)[own[pairs[:, 1]]])
                 np.add.at(around[which], pairs[:, 1], np.eye(LABELS)[own[pairs[:, 0]]])
         x = np.stack([m.features for m in nodes])
-        masked = (rng.random(len(nodes)) < hidden)[:, None] & np.isin(np.arange(NODE_FEATURES), (3, 8))
-        feats.append(np.where(masked, 0, x))
-        labels.append(own)
-        chain_sum.append(around[0])
-        skip_sum.append(around[1])
-    node, chain_w, skip_w = np.zeros((NODE_FEATURES, LABELS)), np.zeros((LABELS, LABELS)), np.eye(LABELS) * 4.0
-    skip_w[0] = skip_w[:, 0] = 0.0
+        unseen = rng.random(len(nodes)) < hidden
+        again = unseen & (own > 0)
+        other = np.where(np.isin(np.arange(NODE_FEATURES), FORM), 0, x[again])
+        other[:, 2], other[:, 10] = x[again][:, 1], 1 - x[again][:, 1]
+        feats += [np.where(unseen[:, None] & np.isin(np.arange(NODE_FEATURES), TESTED), 0, x), other, other]
+        labels += [own, own[again], np.zeros(len(other), dtype=np.int64)]
+        chain_sum += [around[0], np.zeros((2 * len(other), LABELS))]
+        skip_sum += [around[1], np.eye(LABELS)[own[again]], np.zeros((len(other), LABELS))]
+    node, chain_w, skip_w = np.zeros((NODE_FEATURES, LABELS)), np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS))
     if not feats:
         node[0, 0] = 2.0
         return Field(node, chain_w, skip_w)
@@ -242,15 +281,22 @@ def fit(documents: list[list[Mention]], hidden: float = 0.5, rounds: int = 120,
     c, s = np.concatenate(chain_sum), np.concatenate(skip_sum)
     target = np.eye(LABELS)[y]
     n = len(y)
+    tables = [node, chain_w, skip_w]
+    agree = np.diag([0.0] + [1.0] * len(KINDS))
+    moved = [np.full(t.shape, 1e-9) for t in tables]  # squared steps so far: what is seldom seen steps as far as the rest
     for _ in range(rounds):
         score = x @ node + c @ chain_w + s @ skip_w
         error = target - np.exp(score - _log_sum(score, axis=1)[:, None])
-        node += rate * (x.T @ error / n - ridge * node)
-        chain_w += rate * ((c.T @ error + error.T @ c) / (2 * n) - ridge * chain_w)
-        skip_w += rate * ((s.T @ error + error.T @ s) / (2 * n) - ridge * skip_w)
-    # mentions of one entity agree: a skip edge never speaks for different kinds
-    skip_w = np.maximum(skip_w, 0) * np.eye(LABELS) + np.eye(LABELS) * np.array([0.0] + [4.0] * len(KINDS))
-    return Field(node, chain_w, skip_w)
+        slopes = (x.T @ error / n, (c.T @ error + error.T @ c) / (2 * n), (s.T @ error + error.T @ s) / (2 * n))
+        for table, slope, far in zip(tables, slopes, moved, strict=True):
+            step = slope - ridge / n * table
+            far += step * step
+            table += rate * step / np.sqrt(far)
+        # mentions of one entity agree: a skip edge never speaks for different kinds, and none for no kind,
+        # as the rules' labels say nothing of what the rules miss
+        skip_w *= agree
+        np.maximum(skip_w, 0, out=skip_w)
+    return Field(*tables)
 
 
 def train(docs: DataFrame, documents: int = 4000) -> Field:

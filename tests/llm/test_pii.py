@@ -1,5 +1,10 @@
 import hashlib
 import re
+import time
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lectern.llm import pii
 from lectern.llm.queries import op1_pii
@@ -45,6 +50,50 @@ def test_base_rules():
         assert pii.base_spans(text) == brute(text)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b_", "@", ".", "1", "0", "25", "256", "+", "-", " ", "(", ")", "é", "a@b", ".c"]), max_size=40))
+def test_base_rules_of_odd_texts(parts):
+    assert pii.base_spans("".join(parts)) == brute("".join(parts))
+
+
+RUNS = {
+    "letters": "a" * 10**6 + "@",
+    "address": "a" * 10**6 + "@b.c" + "d" * 10**6,
+    "signs": "a@" * 500_000,
+    "digits": "1" * 10**6,
+    "dots": "1." * 500_000,
+    "zeros": "0" * 10**6 + ".1.2.3",
+    "spaced": "1 " * 500_000 + "a",
+    "written": "a(at)" * 200_000,
+    "plus": "+1" * 500_000,
+}
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_long_runs_take_linear_time(name):
+    """A megabyte without a space, with more digits than an integer may have, takes seconds and not hours."""
+    began = time.time()
+    base = pii.base_spans(RUNS[name])
+    pii.mentions(RUNS[name], base)
+    assert time.time() - began < 15
+    assert [k for k, _, _ in base][:1] == {"address": ["email"], "dots": ["ip"], "zeros": ["ip"]}.get(name, [])
+
+
+def test_zeros_before_a_part():
+    assert pii.base_spans("0" * 5000 + ".1.2.3") == [("ip", 0, 5006)]
+    assert pii.base_spans("0" * 5000 + "256.1.2.3") == []
+
+
+def test_skip_weights_are_learned():
+    """From hidden second mentions: kinds that were seen pull, others do not, and nothing is pulled apart."""
+    docs = [pii.mentions(t, pii.base_spans(t)) for t in ["call +1 (743) 555-3824 now", "mail x.y@mail1.example.com"] * 40]
+    skip = pii.fit(docs).skip
+    seen = [pii.KINDS.index(k) + 1 for k in ("email", "phone")]
+    assert all(skip[i, i] > 2 for i in seen)
+    assert skip.sum() == pytest.approx(sum(skip[i, i] for i in seen))
+    assert not pii.fit([]).skip.any()
+
+
 def test_field_makes_an_entity_consistent():
     docs = [pii.mentions(t, pii.base_spans(t)) for t in ["call +1 (743) 555-3824 now", "mail x.y@mail1.example.com", "host 10.1.2.3 is down", "card 4111111111111111 x", "total 1234567 items"] * 40]
     field = pii.fit([d for d in docs if d])
