@@ -125,8 +125,9 @@ def base_spans(text: str) -> list[Span]:
 NODE_FEATURES = 12 + len(CONTEXT)
 #: Features that base rules test: at sign, plus sign, three dots, checksum.
 TESTED = (1, 3, 5, 8)
-#: Those and what else a way of writing shows: parentheses, digits in groups of three and four, in fours.
-FORM = (*TESTED, 4, 9, 11)
+#: What a second mention need not share: those, what else a way of writing shows (parentheses, digits in
+#: groups of three and four, in fours), and the word before.
+FORM = (*TESTED, 4, 9, 11, *range(12, NODE_FEATURES))
 LABELS = len(KINDS) + 1
 
 
