@@ -16,7 +16,6 @@ def slow_ids(text):
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(vocabulary_path())
-    coder.encode_special_tokens = True
     return coder.encode(text, add_special_tokens=False).ids
 
 
@@ -61,7 +60,19 @@ def test_fast_ids_are_those_of_tokenizers(text):
     assert packing.coder(vocabulary_path()).ids(text).tolist() == slow_ids(text)
 
 
-@pytest.mark.parametrize("text", ["<|endoftext|>", " \n\n  x", "１２３ ٣٤ ²", " a\u0085b﻿", "don't I'LL we'Re", "\U0001f9d1‍\U0001f680" * 5, "a" * 5000])
+def test_special_strings_have_their_own_id():
+    """As the plain call has it, with the faster library or without."""
+    coder = packing.coder(vocabulary_path())
+    plain = slow_ids("a <|endoftext|> b")
+    assert 50256 in plain
+    assert coder.ids("a <|endoftext|> b").tolist() == plain
+    alone = packing.Coder(vocabulary_path())
+    alone.fast = None
+    for text in ("a <|endoftext|> b", "<|endoftext", "a b  c", ""):
+        assert alone.ids(text).tolist() == coder.ids(text).tolist() == slow_ids(text)
+
+
+@pytest.mark.parametrize("text", ["<|endoftext|>", "x<|endoftext|><|endoftext|> \n<|endoftext", " \n\n  x", "１２３ ٣٤ ²", " a\u0085b﻿", "don't I'LL we'Re", "\U0001f9d1‍\U0001f680" * 5, "a" * 5000])
 def test_odd_texts_have_the_ids_of_tokenizers(text):
     assert packing.coder(vocabulary_path()).ids(text).tolist() == slow_ids(text)
 
