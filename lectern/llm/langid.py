@@ -42,10 +42,12 @@ SCRIPTS = {
     "georgian": ((0x10A0, 0x10FF),),
     "hangul": ((0x1100, 0x11FF), (0xAC00, 0xD7AF)),
     "kana": ((0x3040, 0x30FF),),
-    "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x2FA1F)),
+    "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x3FFFF)),
 }
 OTHER_SCRIPT = len(SCRIPTS)
-_TABLE = 0x30000
+#: Planes 0 to 3 hold all letters. Of the others, the supplement of variation selectors is marks.
+_TABLE = 0x40000
+_SELECTORS = (0xE0100, 0xE01EF)
 _BUCKETS = 1 << 16
 #: The most that one word can speak against a language.
 FLOOR = np.float32(-8.0)
@@ -80,7 +82,7 @@ class Words:
 def words(text: str) -> Words:
     kind, scripts = _code_points()
     cps = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
-    cps = np.where(cps < _TABLE, cps, 32)
+    cps = np.where(cps < _TABLE, cps, np.where((cps >= _SELECTORS[0]) & (cps <= _SELECTORS[1]), 0xFE00, 32))
     kinds = kind[cps]
     inside = kinds > 0
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
@@ -181,10 +183,11 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     if not longest:
         return [np.zeros(0, dtype=np.uint8) for _ in scores]
     flat = np.concatenate([scores[i] for i in order])
+    kind = np.min_scalar_type(flat.shape[1])
     first = np.cumsum(lengths) - lengths
     active = np.searchsorted(-lengths, -np.arange(longest), side="left")  # texts with more than t words
-    back = np.empty(flat.shape, dtype=np.uint8)
-    own = np.arange(flat.shape[1], dtype=np.uint8)
+    back = np.empty(flat.shape, dtype=kind)
+    own = np.arange(flat.shape[1], dtype=kind)
     value = flat[first[: active[0]]].copy()
     for t in range(1, longest):
         n = active[t]
@@ -198,7 +201,7 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
         if t + 1 == longest or active[t + 1] < n:
             last = slice(0 if t + 1 == longest else active[t + 1], n)
             flat[first[last] + t] = value[last]  # kept for the end of these texts
-    label = np.empty(len(flat), dtype=np.uint8)
+    label = np.empty(len(flat), dtype=kind)
     ended = np.flatnonzero(lengths > 0)
     state = np.zeros(len(lengths), dtype=np.int64)
     state[ended] = flat[first[ended] + lengths[ended] - 1].argmax(axis=1)
@@ -208,7 +211,7 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
         label[at] = state[:n]
         if t:
             state[:n] = back[at, state[:n]]
-    out: list[np.ndarray] = [np.zeros(0, dtype=np.uint8)] * len(scores)
+    out: list[np.ndarray] = [np.zeros(0, dtype=kind)] * len(scores)
     for place, i in enumerate(order):
         out[i] = label[first[place] : first[place] + lengths[place]]
     return out
