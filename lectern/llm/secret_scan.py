@@ -53,6 +53,26 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def merged(spans: list[Span]) -> list[tuple[int, int]]:
+    """The places that sorted spans cover, without overlaps."""
+    places: list[tuple[int, int]] = []
+    for _, start, end in spans:
+        if places and start <= places[-1][1]:
+            places[-1] = (places[-1][0], max(end, places[-1][1]))
+        else:
+            places.append((start, end))
+    return places
+
+
+def without(text: str, spans: list[Span]) -> str:
+    """The text with a space for every place that spans cover."""
+    parts, at = [], 0
+    for start, end in merged(spans):
+        parts += [text[at:start], " "]
+        at = end
+    return "".join(parts) + text[at:]
+
+
 def captured(text: str, spans: list[Span]) -> list[str]:
     """The random strings inside base spans: a rule's value without its keyword."""
     out = []
@@ -93,9 +113,11 @@ class Judge:
         return float(self.ratio[code[:-1], code[1:]].mean()) if len(code) > 1 else 0.0
 
     def spans(self, text: str, base: list[Span]) -> list[Span]:
-        found, taken = [], [(s, e) for _, s, e in base]
+        found, taken, at = [], merged(base), 0
         for m in TOKEN.finditer(text):
-            if any(s < m.end() and m.start() < e for s, e in taken):
+            while at < len(taken) and taken[at][1] <= m.start():
+                at += 1
+            if at < len(taken) and taken[at][0] < m.end():
                 continue
             if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and self.score(m[0]) >= self.threshold:
                 found.append(("random", m.start(), m.end()))
@@ -124,9 +146,7 @@ def train(docs: DataFrame, documents: int = 4000) -> Judge:
             for text in batch.column(0).to_pylist():
                 spans = base_spans(text)
                 random += Markov.counts(captured(text, spans))
-                for _, start, end in reversed(spans):
-                    text = text[:start] + " " + text[end:]
-                ordinary += Markov.counts(re.findall(r"[A-Za-z0-9+/_=-]{4,}", text))
+                ordinary += Markov.counts(re.findall(r"[A-Za-z0-9+/_=-]{4,}", without(text, spans)))
         flat = np.concatenate((random.ravel(), ordinary.ravel()))
         at = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(flat[at])], ["cell", "n"])
