@@ -6,8 +6,8 @@ that find a pair at the threshold with the target recall. Representatives are
 shuffled on band hashes, and a bucket gives one edge from its least member to
 each other member, never all pairs. Documents that buckets connect are compared
 with each other on their whole n-gram sets, in tasks of bounded size: a
-connected group above the bound is split into blocks, and each pair of blocks is
-a task. A task counts links by matrix products and emits, instead of pairs, each
+connected group above the bound is split into blocks, and two blocks are a task
+of the members that share a bucket across them. A task counts links by matrix products and emits, instead of pairs, each
 document's number of links and a spanning forest of the links it found.
 
 Words are runs of ASCII letters and digits and other characters, lower case, so
@@ -26,6 +26,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -196,13 +197,31 @@ def _verified(members: DataFrame, n: int, threshold: float) -> DataFrame:
     return dealt.mapInArrow(run, FOUND)
 
 
-def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
-    """One row per document: doc_id, class_id, representative, n_copies, n_text_links, n_links.
+def _tasks(classes: DataFrame, slots: DataFrame, connected: DataFrame) -> DataFrame:
+    """Who is compared with whom: (component, low, high, block, doc_id, key, copies).
 
-    class_id: least doc_id of the documents that links connect. n_text_links:
-    other n-gram sets that reach the threshold; n_links: other documents, copies
-    included.
+    Every member goes to the task of its own block. A component of several
+    blocks has a task for two of them too, and that gets only the members that
+    share a bucket with the other block, so what is shipped grows with the
+    candidates and not with the square of a component.
     """
+    nodes = classes.select("key", F.col("representative").alias("node"), "copies", "n_grams").join(connected, "node")
+    sizes = nodes.groupBy("component").agg(F.ceil(F.sum("n_grams") / BLOCK).alias("blocks"))
+    nodes = stored(nodes.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")), "members")
+    own = nodes.select("component", F.col("block").alias("low"), F.col("block").alias("high"), "block", F.col("node").alias("doc_id"), "key", "copies")
+    several = nodes.where("blocks > 1").select("node", "component", "block")
+    if several.isEmpty():
+        return own
+    split = stored(slots.withColumnRenamed("representative", "node").join(several, "node"), "split")
+    # a bucket lies in one component and has each of its blocks once
+    reached = stored(split.groupBy("band").agg(F.collect_set("block").alias("others")).where(F.size("others") > 1), "reached")
+    shared = split.join(reached, "band").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    across = nodes.join(shared, "node").withColumn("other", F.explode("others")).where("other <> block")
+    return own.unionByName(across.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", F.col("node").alias("doc_id"), "key", "copies"))
+
+
+def _classed(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
+    """One row per row of ``docs``: the columns of ``join``, with the key of its n-gram set and their number."""
     bands, rows = banding(threshold, recall)
     signed = stored(_signed(docs, n, bands, rows), "signed")
     classes = signed.where("n_grams > 0 and doc_id is not null").groupBy("key").agg(
@@ -210,35 +229,60 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     )
     classes = stored(classes, "classes")
     slots = classes.select("representative", F.explode("bands").alias("band"))
-    buckets = slots.groupBy("band").agg(F.min("representative").alias("hub"), F.max("representative").alias("last")).where("hub < last")
-    candidates = slots.join(buckets.select("band", "hub"), "band").select(F.col("hub").alias("a"), F.col("representative").alias("b"))
+    # written, so that the join's sides are both shuffled as they are and a bucket of many can be split
+    buckets = stored(slots.groupBy("band").agg(F.min("representative").alias("hub"), F.max("representative").alias("last")).where("hub < last").select("band", "hub"), "buckets")
+    candidates = slots.join(buckets, "band").select(F.col("hub").alias("a"), F.col("representative").alias("b"))
     connected = stored(components(candidates), "candidates")
-    nodes = classes.select("key", F.col("representative").alias("node"), "copies", "n_grams").join(connected, "node")
-    sizes = nodes.groupBy("component").agg(F.ceil(F.sum("n_grams") / BLOCK).alias("blocks"))
-    nodes = nodes.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    texts = _texts(docs).join(nodes.select(F.col("node").alias("doc_id"), "key", "copies", "component", "block", "blocks"), "doc_id")
-    members = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    members = _texts(docs).join(_tasks(classes, slots, connected), "doc_id")
     found = stored(_verified(members, n, threshold), "links")
     links = found.where("b is null").groupBy(F.col("a").alias("representative")).agg(F.sum("text_links").alias("text_links"), F.sum("doc_links").alias("doc_links"))
     grouped = components(found.where("b is not null")).select(F.col("node").alias("representative"), F.col("component").alias("class_id"))
     per_class = classes.select("key", "representative", "copies").join(links, "representative", "left").join(grouped, "representative", "left")
-    return signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(per_class, "key", "left").select(
+    joined = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key"), "n_grams").join(stored(per_class, "by_key"), "key", "left")
+    return joined.select(
         "doc_id",
         F.coalesce("class_id", "representative", "doc_id").alias("class_id"),
         F.coalesce("representative", "doc_id").alias("representative"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("copies", F.lit(1))).alias("n_copies"),
         F.coalesce("text_links", F.lit(0)).alias("n_text_links"),
         (F.coalesce("doc_links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
+        "key",
+        "n_grams",
     )
 
 
+def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
+    """One row per document: doc_id, class_id, representative, n_copies, n_text_links, n_links.
+
+    class_id: least doc_id of the documents that links connect. n_text_links:
+    other n-gram sets that reach the threshold; n_links: other documents, copies
+    included.
+    """
+    return _classed(docs, n, threshold, recall).drop("key", "n_grams")
+
+
 def keep(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
     """``docs`` with one row of each class: that of its least doc_id.
 
-    All columns are kept. Of rows that repeat a doc_id the first by text stays;
-    rows without a doc_id stay, as they are in no class.
+    All columns are kept. Rows that repeat a doc_id count by their own text: of
+    the class's least doc_id the rows stay whose text is in the class and in no
+    smaller document, one for each n-gram set, the first by text. Texts without
+    a word stay once for each doc_id. Rows without a doc_id stay, as they are in
+    no class.
     """
-    least = join(docs, n, threshold, recall).where("doc_id = class_id").select(F.col("class_id").alias("__kept_id")).distinct()
-    number = F.row_number().over(Window.partitionBy("__kept_id").orderBy("text"))
-    kept = docs.join(least, docs["doc_id"].cast("long") == least["__kept_id"]).withColumn("__kept_number", number).where("__kept_number = 1").select([docs[c] for c in docs.columns])
+    rows = stored(_classed(docs, n, threshold, recall).select("doc_id", "class_id", "representative", "key", "n_grams"), "kept")
+    # doc_ids with several n-gram sets: only their rows are looked at again
+    many = rows.groupBy("doc_id").agg((F.min("key") != F.max("key")).alias("__kept_many"))
+    least = rows.where("doc_id = class_id and doc_id = representative").select("doc_id", F.col("key").alias("__kept_key"), (F.col("n_grams") == 0).alias("__kept_plain")).distinct()
+    least = least.join(many, "doc_id").withColumnRenamed("doc_id", "__kept_id")
+
+    @F.pandas_udf("binary")
+    def key(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else key_of(grams(t, n)))
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    joined = docs.join(least, docs["doc_id"].cast("long") == least["__kept_id"]).withColumn("__kept_own", key(F.when(F.col("__kept_many"), text)))
+    own = joined.where("not __kept_many or __kept_own = __kept_key")
+    number = F.row_number().over(Window.partitionBy("__kept_id", "__kept_key", F.when(F.col("__kept_plain"), text)).orderBy("text"))
+    kept = own.withColumn("__kept_number", number).where("__kept_number = 1").select([F.col(f"`{c}`") for c in docs.columns])
     return kept.unionByName(docs.where("doc_id is null"))
