@@ -15,6 +15,7 @@ rows. Further input columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -175,47 +176,50 @@ def _wrapped(text: str, match: Matcher, threshold: float) -> set[tuple[int, int]
             block.append((at + len(line) - len(line.lstrip()), at + len(line.rstrip())))
         elif block:
             first, last = block[0][0], block[-1][1]
-            if not match.reaches(plain[first:last], threshold):  # so no part does
-                block, at = [], at + len(line) + 1
-                continue
-            for i in range(len(block)):
-                ends = [end for _, end in block[i + 1 : i + LINES]]
-                if ends and match.reaches(plain[block[i][0] : ends[-1]], threshold):
-                    found |= {(block[i][0], end) for end in ends}
-            found |= {(first + a, first + b) for a, b in _cut(plain[first:last]) if "\n" in plain[first + a : first + b]}
+            if match.reaches(plain[first:last], threshold):  # else no part does
+                for i in range(len(block)):
+                    ends = [end for _, end in block[i + 1 : i + LINES]]
+                    if ends and match.reaches(plain[block[i][0] : ends[-1]], threshold):
+                        found |= {(block[i][0], end) for end in ends}
+                found |= {(first + a, first + b) for a, b in _cut(plain[first:last]) if "\n" in plain[first + a : first + b]}
             block = []
         at += len(line) + 1
     return found
 
 
+def _places(text: str, match: Matcher, threshold: float) -> set[tuple[int, int]]:
+    """Places that are compared: lines and their sentences, each where it stands, and what is wrapped over lines."""
+    found, at = set(), 0
+    for line in text.split("\n"):
+        if match.reaches(line, threshold):
+            found |= {(at, at + len(line)), *((at + a, at + b) for a, b in _cut(line))}
+        at += len(line) + 1
+    return found | _wrapped(text, match, threshold) if "\n" in text else found
+
+
 def notices(text: str, match: Matcher, threshold: float) -> list[tuple[float, str, int, int]]:
-    """Licence notices of a text: (cosine, licence, start, end).
+    """Licence notices of a text, none over another: (cosine, licence, start, end), the highest cosine first.
 
-    Lines and their sentences are compared, and notices that are wrapped over
-    lines; of a wrapped one and others that it overlaps the highest cosine counts.
+    Of places that overlap the one with the highest cosine counts, then the
+    first by name and by place; so a notice that stands twice in a line is two.
     """
     if not match.reaches(text, threshold):
         return []
-    found, at = [], 0
-    for line in text.split("\n"):
-        if match.reaches(line, threshold):
-            for sentence in {line, *(line[a:b] for a, b in _cut(line))}:
-                cosine, name = match.best(sentence)
-                if cosine >= threshold:
-                    found.append((cosine, name, at + line.index(sentence), at + line.index(sentence) + len(sentence)))
-        at += len(line) + 1
-    if "\n" in text:
-        wrapped = []
-        for start, end in _wrapped(text, match, threshold):
-            if match.reaches(text[start:end], threshold):
-                cosine, name = match.best(text[start:end])
-                if cosine >= threshold:
-                    wrapped.append((cosine, name, start, end))
-        for one in sorted(wrapped, key=lambda x: (-round(x[0], 9), x[1], x[2], x[3])):
-            over = [x for x in found if x[2] < one[3] and one[2] < x[3]]
-            if all(round(x[0], 9) < round(one[0], 9) for x in over):
-                found = [x for x in found if x not in over] + [one]
-    return sorted(found, key=lambda x: (-round(x[0], 9), x[1], x[2]))
+    compared = []
+    for start, end in _places(text, match, threshold):
+        part = text[start:end]
+        if match.reaches(part, threshold):
+            cosine, name = match.best(part)
+            if cosine >= threshold:
+                compared.append((cosine, name, start, end))
+    found: list[tuple[float, str, int, int]] = []
+    taken: list[tuple[int, int]] = []  # in order, none over another
+    for one in sorted(compared, key=lambda x: (-round(x[0], 9), x[1], x[2], x[3])):
+        at = bisect.bisect_left(taken, (one[2], one[3]))
+        if (at == 0 or taken[at - 1][1] <= one[2]) and (at == len(taken) or taken[at][0] >= one[3]):
+            taken.insert(at, (one[2], one[3]))
+            found.append(one)
+    return found
 
 
 SCANNED = "file_id long, dir string, is_license_file boolean, own_license string, cosine double, n_notices long, notices string"
@@ -273,7 +277,9 @@ def resolve(files: DataFrame, threshold: float = 0.7) -> DataFrame:
     shuffled: once for document counts, once for notices.
     """
     scanned = stored(scan(files, matcher(files), threshold), "licenses")
-    joined = scanned.join(inherited(scanned), "dir", "left")
+    # written, so that its size is known: a small one is broadcast, and beyond that a directory of very many
+    # files can be split, as both sides are shuffled as they are
+    joined = scanned.join(stored(inherited(scanned), "inherited"), "dir", "left")
     own = F.col("own_license").isNotNull()
     return joined.select(
         "file_id",

@@ -105,3 +105,49 @@ def test_wrapped_notices_and_notices_without_cue_words(spark):
     rows = {r["file_id"]: r for r in licenses.resolve(spark.createDataFrame(files, "file_id long, path string, text string")).collect()}
     assert [(rows[i]["license"], rows[i]["origin"]) for i in range(len(WRAPPED))] == [(name, "own") for name in WRAPPED]
     assert all(rows[i]["origin"] == "none" for i in range(10, 310))
+
+
+def test_a_notice_that_stands_twice_is_two():
+    match = licenses.Matcher.of(1000, dict.fromkeys(licenses.VOCABULARY, 5))
+    text = "Released under the MIT License. Foo. Released under the MIT License."
+    assert sorted((n, s, e) for _, n, s, e in licenses.notices(text, match, 0.7)) == [("MIT", 0, 31), ("MIT", 37, 68)]
+    assert sorted((s, e) for _, _, s, e in licenses.notices(f"{MIT}\n{MIT}\n\nwords\n{MIT}", match, 0.7)) == [(0, 31), (32, 63), (71, 102)]
+
+
+def test_notices_against_brute_force():
+    """Every run of words within neighbouring lines is compared: no better notice is missed where one is reported, and none overlap."""
+    match = licenses.Matcher.of(1000, dict.fromkeys(licenses.VOCABULARY, 5))
+    for text in [*WRAPPED.values(), "code\nAll rights reserved.\nmore", "words alone, of no licence\nat all"]:
+        found = licenses.notices(text, match, 0.7)
+        places = sorted((s, e) for _, _, s, e in found)
+        assert all(a[1] <= b[0] for a, b in zip(places, places[1:], strict=False))
+        lines = text.split("\n")
+        best = max(match.best("\n".join(lines[i:j]))[0] for i in range(len(lines)) for j in range(i + 1, min(len(lines), i + licenses.LINES) + 1))
+        assert (max((c for c, *_ in found), default=0.0) >= min(best, 1.0) - 1e-9) if best >= 0.7 else not found
+
+
+def test_inheritance_of_the_table_against_brute_force(spark):
+    """Files in directories of several levels: the nearest ancestor's licence file, by walking up."""
+    import random
+
+    rng = random.Random(3)
+    notice = {"MIT": MIT, "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3."}
+    dirs = ["/".join(rng.choice("ab") for _ in range(rng.randrange(0, 5))) for _ in range(40)]
+    files, own = [], {}
+    for i, folder in enumerate(dirs * 3):
+        name = rng.choice([None, *notice]) if i % 7 == 0 else None
+        files.append((i, (folder + "/" if folder else "") + (f"LICENSE.{i}" if name else f"f{i}.txt"), notice.get(name, "plain words")))
+        if name:
+            own.setdefault(folder, []).append(name)
+    got = {r["file_id"]: (r["license"], r["origin"], r["inherited_from"]) for r in licenses.resolve(spark.createDataFrame(files, FILES)).collect()}
+    for i, path, text in files:
+        folder = path.rpartition("/")[0]
+        if text != "plain words":
+            assert got[i][1] == "own"
+            continue
+        up = [folder]
+        while up[-1]:
+            up.append(up[-1].rpartition("/")[0])
+        nearest = next((d for d in up if d in own), None)
+        assert got[i][2] == nearest
+        assert got[i][0] in (own[nearest] if nearest is not None else (None,))
