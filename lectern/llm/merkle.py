@@ -99,13 +99,17 @@ def _surplus(nodes: list[Tree], other: Counter) -> list[Tree]:
     return out
 
 
-def likeness(a: Tree, b: Tree) -> float:
-    """1 for equal texts, 0 for texts without a common leaf."""
+def compared(a: Tree, b: Tree) -> tuple[float, list[Tree]]:
+    """Likeness (1 for equal texts, 0 for texts without a common leaf), and the leaves of ``a`` that differ."""
+    only_a, only_b = differences(a, b)
     size = a.end + b.end
     if a.digest == b.digest or not size:
-        return 1.0
-    only_a, only_b = differences(a, b)
-    return (size - sum(x.end - x.start for x in only_a) - sum(x.end - x.start for x in only_b)) / size
+        return 1.0, []
+    return (size - sum(x.end - x.start for x in only_a) - sum(x.end - x.start for x in only_b)) / size, only_a
+
+
+def likeness(a: Tree, b: Tree) -> float:
+    return compared(a, b)[0]
 
 
 def edited(text: str, following: str) -> str:
@@ -114,15 +118,22 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "differs_from", "differs_to"]
+TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, differs_from long, differs_to long"
 
 
 def _row(doc_id, text: str, own: Tree, following: str, next_tree: Tree) -> tuple:
     changed = edited(text, following)
     changed_tree = tree(changed)
-    return (doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), own.digest.hex(), changed_tree.digest.hex(), likeness(own, changed_tree), likeness(own, next_tree))
+    near, places = compared(own, changed_tree)
+    located = (min(x.start for x in places), max(x.end for x in places)) if places else (None, None)
+    return (doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), own.digest.hex(), changed_tree.digest.hex(), near, likeness(own, next_tree), *located)
+
+
+def _open(doc_id, text: str, own: Tree) -> tuple:
+    """The row of a document whose neighbour is not at hand yet."""
+    return (doc_id, len(text), "", own.digest.hex(), "", 0.0, 0.0, None, None)
 
 
 def _batch(rows: list[tuple], more: list[tuple] | None = None) -> pa.RecordBatch:
@@ -134,16 +145,28 @@ def _batch(rows: list[tuple], more: list[tuple] | None = None) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([*arrays, pa.array(extra[0], pa.string()), pa.array(extra[1], pa.string())], [*NAMES, "edge", "edge_text"])
 
 
+#: Characters of a text that order rows with the same doc_id between partitions.
+PREFIX = 64
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per document: ``RESULT``.
 
-    Texts are range partitioned by doc_id, the one shuffle of texts; each task
-    walks its documents in order with two of them in hand. The first and last
-    document of each partition are kept aside, and pairs that span partitions
-    are made from those, two rows for each partition.
+    ``fingerprint`` is the tree's root, so it tests equality; likeness and the
+    place of the edit (``differs_from``, ``differs_to``: the code points from the
+    first to the last leaf that the edited text lacks, null if none) come from
+    the two trees, whose differing branches are opened.
+
+    Texts are range partitioned by doc_id (rows that share one, by the text's
+    first characters), the one shuffle of texts; each task walks its documents
+    in order with two of them in hand. The first and last document of each
+    partition are kept aside, and pairs that span partitions are made from
+    those, two rows for each partition; their ids are put in order without
+    their texts.
     """
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ordered = ordered.repartitionByRange(F.col("doc_id").desc_nulls_last()).sortWithinPartitions(F.col("doc_id").desc_nulls_last(), "text")
+    down = F.col("doc_id").desc_nulls_last()
+    ordered = ordered.repartitionByRange(down, F.left("text", F.lit(PREFIX))).sortWithinPartitions(down, "text")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
@@ -152,7 +175,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = tree(text)
                 if before is None:
-                    rows.append((doc_id, len(text), "", own.digest.hex(), "", 0.0, 0.0))
+                    rows.append(_open(doc_id, text, own))
                     edges.append(("head", text))
                 else:
                     rows.append(_row(*before, text, own))
@@ -160,17 +183,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 before = (doc_id, text, own)
             yield _batch(rows, edges)
         if before is not None:
-            yield _batch([(before[0], len(before[1]), "", before[2].digest.hex(), "", 0.0, 0.0)], [("tail", before[1])])
+            yield _batch([_open(*before)], [("tail", before[1])])
 
     walked = stored(ordered.mapInArrow(walk, RESULT + ", edge string, edge_text string"), "fingerprints")
-    heads, tails = (walked.where(F.col("edge") == kind).select("doc_id", F.col("edge_text").alias("text")) for kind in ("head", "tail"))
+    begins = F.left("edge_text", F.lit(PREFIX)).alias("begins")
+    heads, tails = (walked.where(F.col("edge") == kind).select("doc_id", begins, F.col("edge_text").alias("text")) for kind in ("head", "tail"))
     # Partitions in order: the head of the next one follows each tail; the first head follows the last tail.
-    by = Window.orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    number = F.row_number().over(by)
-    heads, tails = heads.withColumn("part", number), tails.withColumn("part", number)
+    order = [down, F.col("begins")]
+    by = Window.orderBy(*order)
+    head_ids, tail_ids = (x.drop("text").withColumn("part", F.row_number().over(by)) for x in (heads, tails))
     parts = F.count(F.lit(1)).over(Window.partitionBy())
-    after = heads.withColumn("parts", parts).select(F.when(F.col("part") == 1, F.col("parts")).otherwise(F.col("part") - 1).alias("part"), F.col("text").alias("following"))
-    pairs = tails.join(after, "part").select("doc_id", "text", "following")
+    before_head = F.when(F.col("part") == 1, F.col("parts")).otherwise(F.col("part") - 1)
+    after = head_ids.withColumn("parts", parts).select(before_head.alias("part"), F.col("doc_id").alias("next_id"), F.col("begins").alias("next_begins"))
+    places = tail_ids.join(after, "part").select(F.col("doc_id").alias("tail_id"), F.col("begins").alias("tail_begins"), "next_id", "next_begins")
+    pairs = tails.join(places, F.col("doc_id").eqNullSafe(F.col("tail_id")) & (F.col("begins") == F.col("tail_begins"))).select("doc_id", "text", "next_id", "next_begins")
+    following = heads.select(F.col("doc_id").alias("head_id"), F.col("begins").alias("head_begins"), F.col("text").alias("following"))
+    pairs = pairs.join(following, F.col("next_id").eqNullSafe(F.col("head_id")) & (F.col("next_begins") == F.col("head_begins"))).select("doc_id", "text", "following")
 
     def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

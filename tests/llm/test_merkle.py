@@ -15,7 +15,9 @@ def brute(rows):
         half = len(text) // 2
         changed = text[: len(text) - half] + following[:half]
         a, b, c = merkle.tree(text), merkle.tree(changed), merkle.tree(following)
-        out.append((doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), a.digest.hex(), b.digest.hex(), merkle.likeness(a, b), merkle.likeness(a, c)))
+        gone = merkle.differences(a, b)[0] if text != changed else []
+        located = (min(x.start for x in gone), max(x.end for x in gone)) if gone else (None, None)
+        out.append((doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), a.digest.hex(), b.digest.hex(), merkle.likeness(a, b), merkle.likeness(a, c), *located))
     return sorted(out, key=repr)
 
 
@@ -56,6 +58,16 @@ def test_differing_branches_locate_the_edit():
     assert [new[x.start : x.end] for x in only_new] == ["This is paragraph twelve. "]
 
 
+def test_rows_that_share_an_id_span_partitions(spark, make):
+    """Neighbours go by doc_id, then text, wherever partitions end."""
+    rows = [(None if i % 3 == 0 else i // 40, f"text {i * 7919 % 200} here. More of it. {'x' * (i % 5)}") for i in range(200)] + [(4, "a"), (4, "a"), (None, "")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert rows_of(merkle.fingerprints(make(rows))) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_nasty_single_and_empty(make, nasty, empty):
     assert rows_of(merkle.fingerprints(nasty)) == brute([(r["doc_id"], r["text"] or "") for r in nasty.collect()])
     assert rows_of(merkle.fingerprints(make([(5, "alone here.")]))) == brute([(5, "alone here.")])
