@@ -7,14 +7,15 @@ it and compared with all passages by cosine and by how much of a passage's
 latent weight it holds. Candidates are then read: the longest common subsequence
 of words must cover enough of the passage, or, for a paraphrase, less of the
 passage but nearly all of its answer (a column ``answer`` if there is one, else
-the passage's last sentence).
+what follows "Answer:", else the last of several sentences, else the last third
+of the words of a passage of ``PLAIN`` words or more).
 
 The benchmark is taken in blocks of a bounded number of passages and bytes, and a
 block in rounds of ``GROUPS`` groups of ``RANK`` units, a round held by every task,
 so its size bounds no memory. Each group has a basis of its own with as many
-dimensions as it has units, so cosines and weights are exact at any size. Passages
-longer than ``UNIT``
-words are searched for by parts of at most so many, as a window holds no more of
+dimensions as it has units, so cosines and weights are exact at any size. Document
+frequencies are counted once, in a pass for every ``TERMS`` distinct words of the
+benchmark, and a round reads the documents once. Passages longer than ``UNIT`` words are searched for by parts of at most so many, as a window holds no more of
 them, and read as a whole wherever one part is a candidate. Passages shorter than
 ``SHORT`` words must occur whole and unbroken.
 
@@ -26,6 +27,7 @@ Further input columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import kernels
+from lectern.llm.storage import stored
 
 #: Passages and bytes of text in a block of the benchmark.
 BLOCK_ITEMS, BLOCK_BYTES = 2048, 1 << 19
@@ -44,6 +47,8 @@ STEP = 32  # words; a window has two steps
 UNIT = 60  # words that are searched for as one; a window has more than half of them
 RANK = 256  # dimensions of a basis, and units that share it
 GROUPS = 8  # bases that a task holds at once
+TERMS = 1 << 20  # distinct words that are counted in one pass over the documents
+PLAIN = 24  # words that a passage of one sentence has at least for its last third to be an answer
 
 FOUND = "doc_id long, item_id long, cosine double, lcs_ratio double, answer_ratio double, first_word long, end_word long"
 
@@ -53,12 +58,15 @@ def words_of(text: str) -> np.ndarray:
 
 
 def answer_of(text: str) -> str:
-    """What follows "Answer:" or "A:", else the last sentence."""
+    """What follows "Answer:" or "A:", else the last of several sentences, else the last third of a long one."""
     marked = re.search(r"(?:^|\n)\s*(?:answer|a)\s*:\s*(.+)\Z", text, re.IGNORECASE | re.DOTALL)
     if marked:
         return marked[1]
     sentences = [s for s in re.split(r"(?<=[.!?])\s+", text.strip()) if s]
-    return sentences[-1] if sentences else ""
+    if len(sentences) != 1:
+        return sentences[-1] if sentences else ""
+    words = text.split()
+    return " ".join(words[-(len(words) // 3) :]) if len(words) >= PLAIN else text
 
 
 class Pattern:
@@ -146,8 +154,8 @@ def _batches(benchmark: DataFrame) -> Iterator[list]:
         yield sorted(map(tuple, own.collect()), key=lambda r: (r[0] is None, r[0], r[1]))
 
 
-def document_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
-    """How many documents there are, and how many have each term; counted where they lie."""
+def document_counts(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    """(term, n): how many documents have each word of a sorted vocabulary, and as ``term`` null how many there are."""
     finder = Index(vocabulary, np.zeros((0, 0)), np.zeros((0, 0)), [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,12 +166,46 @@ def document_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.nd
                 if text:
                     total[np.unique(finder.known(words_of(text))[1])] += 1
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(total[at], n), pa.int64())], ["term", "n"])
+        terms = vocabulary[at].view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(terms), pa.nulls(1, pa.int64())]), pa.array(np.append(total[at], n), pa.int64())], ["term", "n"])
 
-    counts = np.zeros(len(vocabulary) + 1, dtype=np.int64)
-    for row in docs.select(F.col("text").cast("string")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        counts[row["term"]] = row["n"]  # -1: the last
-    return int(counts[-1]), counts[:-1]
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class Frequencies:
+    """Document frequencies of a benchmark's words, as a written table, and the number of documents."""
+
+    table: DataFrame
+    documents: int
+
+    @classmethod
+    def of(cls, docs: DataFrame, benchmark: DataFrame) -> Frequencies:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [words_of(text) for text in batch.column(0).to_pylist() if text]
+                terms = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64))], ["term"])
+
+        terms = stored(benchmark.select(F.col("text").cast("string")).mapInArrow(run, "term long").distinct(), "terms")
+        passes = -(-terms.count() // TERMS)
+        table = None
+        for part in range(passes):
+            own = terms if passes == 1 else terms.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == part)
+            counted = document_counts(docs, np.sort(own.toArrow().column(0).to_numpy().view(np.uint64)))
+            table = counted if table is None else table.unionByName(counted)
+        if table is None:
+            return cls(terms.withColumn("n", F.lit(0).cast("long")), 0)
+        table = stored(table, "frequencies")
+        return cls(table, table.where("term is null").agg(F.max("n")).first()[0] or 0)
+
+    def idf(self, vocabulary: np.ndarray) -> np.ndarray:
+        """The weights of a round's words, at most ``GROUPS * RANK * UNIT`` of them."""
+        own = self.table.sparkSession.createDataFrame(pa.table({"term": pa.array(vocabulary.view(np.int64))}))
+        found = self.table.join(F.broadcast(own), "term").select("term", "n").toArrow()
+        having = np.zeros(len(vocabulary), dtype=np.int64)
+        having[np.searchsorted(vocabulary, found.column(0).to_numpy().view(np.uint64))] = found.column(1).to_numpy()
+        return np.maximum(np.log((self.documents + 1) / (having + 0.5)), 0.01)
 
 
 def randomised_svd(rows: DataFrame, width: int, rank: int, power: int = 2, seed: int = 11) -> np.ndarray:
@@ -198,16 +240,18 @@ def randomised_svd(rows: DataFrame, width: int, rank: int, power: int = 2, seed:
     return span
 
 
-def indexes(docs: DataFrame, block: list, rank: int = RANK) -> Iterator[list[Index]]:
-    """Fit a block of passages, in rounds of ``GROUPS`` groups of ``rank`` units."""
-    passages = [Passage(n, i, words_of(t), words_of(a if a else answer_of(t))) for n, (i, t, a) in enumerate(block)]
-    units = [(p, words) for p in passages if len(p.words) for words in p.units()]
-    for low in range(0, len(units), GROUPS * rank):
-        own = units[low : low + GROUPS * rank]
-        vocabulary = np.unique(np.concatenate([words for _, words in own]))
-        n, having = document_counts(docs, vocabulary)
-        idf = np.maximum(np.log((n + 1) / (having + 0.5)), 0.01)
-        yield [_group(docs.sparkSession, own[at : at + rank], vocabulary, idf) for at in range(0, len(own), rank)]
+def rounds(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Iterator[list[Index]]:
+    """Fit the benchmark, block by block, in rounds of ``GROUPS`` groups of ``rank`` units."""
+    frequencies = None
+    for block in _batches(benchmark):
+        frequencies = frequencies or Frequencies.of(docs, benchmark)
+        passages = [Passage(n, i, words_of(t), words_of(a if a else answer_of(t))) for n, (i, t, a) in enumerate(block)]
+        units = [(p, words) for p in passages if len(p.words) for words in p.units()]
+        for low in range(0, len(units), GROUPS * rank):
+            own = units[low : low + GROUPS * rank]
+            vocabulary = np.unique(np.concatenate([words for _, words in own]))
+            idf = frequencies.idf(vocabulary)
+            yield [_group(docs.sparkSession, own[at : at + rank], vocabulary, idf) for at in range(0, len(own), rank)]
 
 
 def _group(spark: SparkSession, units: list[tuple[Passage, np.ndarray]], vocabulary: np.ndarray, idf: np.ndarray) -> Index:
@@ -296,10 +340,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules | None = None, ran
     rules = rules or Rules()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
-    for block in _batches(benchmark):
-        for groups in indexes(docs, block, rank):
-            part = texts.mapInArrow(_searcher(groups, rules), FOUND)
-            found = part if found is None else found.unionByName(part)
+    for groups in rounds(docs, benchmark, rank):
+        part = texts.mapInArrow(_searcher(groups, rules), FOUND)
+        found = part if found is None else found.unionByName(part)
     if found is None:
         return docs.sparkSession.createDataFrame([], FOUND)
     best = F.max(F.struct("lcs_ratio", "answer_ratio", "cosine", (-F.col("first_word")).alias("place"), "end_word")).alias("best")
@@ -334,30 +377,39 @@ def _searcher(groups: list[Index], rules: Rules):
 def clean(docs: DataFrame, benchmark: DataFrame, rules: Rules | None = None, rank: int = RANK) -> DataFrame:
     """``docs`` without the documents that hold a benchmark passage.
 
-    All columns are kept. Rows are judged where they lie, once for each round of
-    the benchmark, without a shuffle.
+    All columns are kept. Where the benchmark is one round, rows are judged where
+    they lie, without a shuffle. Each further round would be a Python worker more
+    in every task, so several rounds write the texts that go by their digests,
+    and those are joined: broadcast as long as they are few.
     """
     rules = rules or Rules()
     text_at = docs.columns.index("text")
-    kept = docs
-    for block in _batches(benchmark):
-        for groups in indexes(docs, block, rank):
-            kept = kept.mapInArrow(_filter(groups, rules, text_at), docs.schema)
-    return kept
+    found = rounds(docs, benchmark, rank)
+    first, second = next(found, None), next(found, None)
+    if second is None:
+        return docs if first is None else docs.mapInArrow(_filter(first, rules, text_at), docs.schema)
+    text = F.col("text").cast("string")
+    gone = None
+    for groups in itertools.chain([first, second], found):
+        part = stored(docs.select(F.md5(text).alias("__gone"), text.alias("text")).mapInArrow(_filter(groups, rules, 1, False), "__gone string, text string").select("__gone").distinct(), "gone")
+        gone = part if gone is None else gone.unionByName(part)
+    return docs.join(gone.distinct(), F.md5(text) == F.col("__gone"), "left_anti")
+
 
+def _filter(groups: list[Index], rules: Rules, text_at: int, keep: bool = True):
+    """Rows without a passage, or (not ``keep``) those with one."""
 
-def _filter(groups: list[Index], rules: Rules, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            clean_rows, some, size = np.ones(batch.num_rows, dtype=bool), [], 0
+            wanted, some, size = np.full(batch.num_rows, keep), [], 0
             for at, text in enumerate(batch.column(text_at).to_pylist()):
                 words = words_of(text or "")
                 if len(words):
                     some.append((at, words))
                     size += len(words)
                 if size >= 16_000 or at + 1 == batch.num_rows:
-                    clean_rows[[row[0] for row in _search(some, groups, rules)]] = False
+                    wanted[[row[0] for row in _search(some, groups, rules)]] = not keep
                     some, size = [], 0
-            yield batch.filter(pa.array(clean_rows))
+            yield batch.filter(pa.array(wanted))
 
     return run

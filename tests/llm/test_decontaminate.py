@@ -101,6 +101,76 @@ def test_more_passages_than_dimensions(spark, data):
 def test_answers_confirm_paraphrases():
     assert decontaminate.answer_of("What is it?\nAnswer: blue whale") == "blue whale"
     assert decontaminate.answer_of("First one. The second sentence.") == "The second sentence."
+    assert decontaminate.answer_of(" ".join(f"w{i}" for i in range(30)) + ".") == " ".join(f"w{i}" for i in range(20, 30)) + "."
+    assert decontaminate.answer_of("few words are their own answer") == "few words are their own answer"
+
+
+def test_verbatim_passages_of_all_sizes(spark, make):
+    """At the query's own rules, whole copies of 1 to 5,000 words are all found, and nothing else is."""
+    rng = random.Random(12)
+    sizes = [1, 3, 7, 8, 12, 20, 30, 59, 60, 61, 90, 150, 182, 200, 250, 300, 500, 1000, 2000, 5000]
+    items = [passages(rng, 1, n)[0] if n >= 8 else " ".join(f"short{n}x{i}" for i in range(n)) for n in sizes]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs, want = [], set()
+    for i in range(3 * len(items)):
+        words = " ".join(passages(rng, rng.randrange(1, 8), 60)).split()
+        if i < 2 * len(items):
+            at = rng.randrange(len(words))
+            words[at:at] = items[i % len(items)].split()
+            want.add((i, i % len(items)))
+        docs.append((i, " ".join(words)))
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(make(docs), benchmark).collect()} == want
+    assert {r["doc_id"] for r in decontaminate.clean(make(docs), benchmark).collect()} == {i for i, _ in docs} - {i for i, _ in want}
+
+
+def holds(text, passage, answer, width, rules):
+    """Does some run of at most ``width`` words of a text meet the rules? Every run is tried."""
+    for at in range(0, max(1, len(text) - width + 1)):
+        near = text[at : at + width]
+        ratio = lcs(passage, near) / len(passage)
+        if ratio >= rules.lcs or (ratio >= rules.paraphrase and lcs(answer, near) >= rules.answer * len(answer)):
+            return True
+    return False
+
+
+@pytest.mark.parametrize(("size", "dropped"), [(12, 0.1), (30, 0.2), (30, 0.35), (50, 0.25)])
+def test_paraphrases_against_brute_force(spark, make, size, dropped):
+    """At the query's own rules: what every run of a text, tried one by one, says is a leak is found, to 0.95 at least."""
+    rules = decontaminate.Rules()
+    rng = random.Random(size)
+    items = passages(rng, 12, size)
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = []
+    for i in range(72):
+        words = " ".join(passages(rng, rng.randrange(1, 3), 40)).split()
+        if i % 4:
+            leak = [w for j, w in enumerate(items[i % 12].split()) if rng.random() > dropped or j > 0.6 * size and i % 2]
+            at = rng.randrange(len(words))
+            words[at:at] = leak
+        docs.append((i, " ".join(words)))
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(make(docs), benchmark).collect()}
+    own = [(decontaminate.words_of(t).tolist(), decontaminate.words_of(decontaminate.answer_of(t)).tolist()) for t in items]
+    texts = [decontaminate.words_of(t).tolist() for _, t in docs]
+    want = {(i, k) for i, text in enumerate(texts) for k, (p, a) in enumerate(own) if i % 12 == k and holds(text, p, a, size, rules)}
+    most = {(i, k) for i, text in enumerate(texts) for k, (p, a) in enumerate(own) if holds(text, p, a, 2 * decontaminate.STEP + 2 * size, rules)}
+    assert len(want) > 20
+    assert len(found & want) >= 0.95 * len(want)
+    assert found <= most
+
+
+def test_many_rounds_and_passes(spark, make, monkeypatch):
+    """Several passes for the words and several rounds for the units change no result."""
+    rng = random.Random(21)
+    items = passages(rng, 40)
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = make([(i, "before it " + t + " and after") for i, t in enumerate(items)] + [(98, None), (99, "clean words alone here"), (None, items[3])])
+    once = sorted(map(repr, decontaminate.leaks(docs, benchmark).select("doc_id", "item_id", "lcs_ratio").collect()))
+    monkeypatch.setattr(decontaminate, "TERMS", 50)
+    monkeypatch.setattr(decontaminate, "GROUPS", 2)
+    assert sorted(map(repr, decontaminate.leaks(docs, benchmark, rank=8).select("doc_id", "item_id", "lcs_ratio").collect())) == once
+    kept = decontaminate.clean(docs, benchmark, rank=8)
+    assert kept.schema == docs.schema
+    assert sorted(r["doc_id"] for r in kept.collect()) == [98, 99]
 
 
 def test_whole_table(spark, data):
