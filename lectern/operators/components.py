@@ -16,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     before it shuffles and its edges never outnumber the round's before. Least
     neighbours are written before they are joined: then both sides of the join
     are shuffled as they are, and adaptive execution can split a node of many
-    neighbours, or broadcast a small side whose size it knows.
+    neighbours. They are merged at every size.
     """
     edges = stored(_ordered(edges.select("a", "b")), "edges")
     state = None
@@ -37,10 +37,10 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     least = stored(least, "least")
-    return _ordered(both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b"))
+    return _ordered(both.where("b > a").join(least.hint("merge"), "a").select(F.col("m").alias("a"), "b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = stored(edges.groupBy("b").agg(F.min("a").alias("m")), "least")
-    joined = edges.join(least, "b")
+    joined = edges.join(least.hint("merge"), "b")
     return _ordered(joined.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(least.select(F.col("m").alias("a"), "b")))
