@@ -215,7 +215,7 @@ def _tasks(classes: DataFrame, slots: DataFrame, connected: DataFrame) -> DataFr
     split = stored(slots.withColumnRenamed("representative", "node").join(several, "node"), "split")
     # a bucket lies in one component and has each of its blocks once
     reached = stored(split.groupBy("band").agg(F.collect_set("block").alias("others")).where(F.size("others") > 1), "reached")
-    shared = split.join(reached, "band").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    shared = split.join(reached.hint("merge"), "band").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
     across = nodes.join(shared, "node").withColumn("other", F.explode("others")).where("other <> block")
     return own.unionByName(across.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", F.col("node").alias("doc_id"), "key", "copies"))
 
@@ -229,16 +229,17 @@ def _classed(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFr
     )
     classes = stored(classes, "classes")
     slots = classes.select("representative", F.explode("bands").alias("band"))
-    # written, so that the join's sides are both shuffled as they are and a bucket of many can be split
+    # written, so that the join's sides are both shuffled as they are and a bucket of many can be split; merged at
+    # every size, so that a small run has the plan of a large one
     buckets = stored(slots.groupBy("band").agg(F.min("representative").alias("hub"), F.max("representative").alias("last")).where("hub < last").select("band", "hub"), "buckets")
-    candidates = slots.join(buckets, "band").select(F.col("hub").alias("a"), F.col("representative").alias("b"))
+    candidates = slots.join(buckets.hint("merge"), "band").select(F.col("hub").alias("a"), F.col("representative").alias("b"))
     connected = stored(components(candidates), "candidates")
-    members = _texts(docs).join(_tasks(classes, slots, connected), "doc_id")
+    members = _texts(docs).join(_tasks(classes, slots, connected).hint("merge"), "doc_id")
     found = stored(_verified(members, n, threshold), "links")
     links = found.where("b is null").groupBy(F.col("a").alias("representative")).agg(F.sum("text_links").alias("text_links"), F.sum("doc_links").alias("doc_links"))
     grouped = components(found.where("b is not null")).select(F.col("node").alias("representative"), F.col("component").alias("class_id"))
     per_class = classes.select("key", "representative", "copies").join(links, "representative", "left").join(grouped, "representative", "left")
-    joined = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key"), "n_grams").join(stored(per_class, "by_key"), "key", "left")
+    joined = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key"), "n_grams").join(stored(per_class, "by_key").hint("merge"), "key", "left")
     return joined.select(
         "doc_id",
         F.coalesce("class_id", "representative", "doc_id").alias("class_id"),
