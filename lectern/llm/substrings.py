@@ -173,7 +173,7 @@ def _windows(docs: DataFrame, scanned: DataFrame, length: int) -> DataFrame:
     anchors = anchors.select("doc_id", "text_class", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("place"))
     # repeated keys are written before they are joined: then both sides of the join are shuffled as they are,
     # and adaptive execution can split a passage that very many documents share
-    repeated = stored(_repeated(anchors.select("anchor", "text_class"), ["anchor"], "text_class").select("anchor"), "anchors")
+    repeated = stored(_repeated(anchors.select("anchor", "text_class"), ["anchor"], "text_class").select("anchor"), "anchors").hint("merge")
     places = anchors.select("anchor", "doc_id", "place").join(repeated, "anchor").groupBy("doc_id").agg(F.collect_list("place").alias("places"))  # a document's own
     single = scanned.where("least is null or least = doc_id").select("doc_id").distinct()
     places = stored(places.join(single, "doc_id"), "places")
@@ -182,7 +182,7 @@ def _windows(docs: DataFrame, scanned: DataFrame, length: int) -> DataFrame:
 
 def _classes(scanned: DataFrame) -> DataFrame:
     """``scanned`` with the least doc_id of copies of the whole text (null: no copies)."""
-    copies = stored(scanned.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "least"), "copies")
+    copies = stored(scanned.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "least"), "copies").hint("merge")
     return scanned.join(copies, "key", "left")
 
 
@@ -195,7 +195,7 @@ def deduplicate(docs: DataFrame, length: int = 50) -> DataFrame:
     scanned = _classes(stored(_scan(docs, length), "substrings"))
     windows = _windows(docs, scanned, length)
     each = windows.select("doc_id", "text_class", F.explode(F.arrays_zip("starts", "first", "second")).alias("w")).select("doc_id", "text_class", "w.*")
-    repeats = stored(_repeated(each, ["first", "second"]), "repeats")
+    repeats = stored(_repeated(each, ["first", "second"]), "repeats").hint("merge")
     later = each.join(repeats, ["first", "second"]).where("doc_id > least")
     starts = later.groupBy("doc_id", "text_class").agg(F.collect_set("starts").alias("starts"))
     cut = _cut(windows.select("doc_id", "text_class", "text").join(starts, ["doc_id", "text_class"]), length).dropDuplicates(["doc_id", "key"])
@@ -220,7 +220,7 @@ def longest(docs: DataFrame, length: int = 50) -> DataFrame:
     level = windows.select("doc_id", F.explode(F.arrays_zip("starts", "first", "second")).alias("w")).select("doc_id", F.col("w.starts").alias("start"), F.col("w.first").alias("first"), F.col("w.second").alias("second"))
     found = None
     while True:
-        repeats = stored(_repeated(level, ["first", "second"]).select("first", "second"), "repeats")
+        repeats = stored(_repeated(level, ["first", "second"]).select("first", "second"), "repeats").hint("merge")
         level = stored(level.join(repeats, ["first", "second"]), "level")
         best = level.select("doc_id").distinct().withColumn("repeated", F.lit(length).cast("long"))
         if level.isEmpty():
