@@ -22,6 +22,29 @@ def quoted(literal: str) -> str:
     return "".join("\\" + c if c in r"\.[]{}()*+-?^$|&~#" else c for c in literal)
 
 
+#: Parts of a text that one running sum takes; sums of so many are summed in turn.
+_PART = 512
+
+
+def _running(sizes: Column) -> Column:
+    """Running sums of an array of integers.
+
+    An array grows by copying, so the sums are made in parts of a bounded size,
+    each from the sum of those before it: time in proportion to the array.
+    """
+    ints = "array<int>"
+
+    def sums(values: Column, start: Column) -> Column:
+        zero = F.struct(start.cast("int").alias("at"), F.array().cast(ints).alias("found"))
+        return F.aggregate(values, zero, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["found"], F.array(acc["at"] + n)).alias("found")), lambda acc: acc["found"])
+
+    count = F.ceil(F.size(sizes) / _PART).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.slice(sizes, i * _PART + 1, _PART))
+    totals = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda acc, n: acc + n))
+    starts = F.concat(F.array(F.lit(0)), sums(totals, F.lit(0)))
+    return F.flatten(F.transform(parts, lambda part, i: sums(part, F.get(starts, i))))
+
+
 def positions(text: ColumnLike, query: str) -> Column:
     """Offsets of every, also overlapping, occurrence of a literal; one pass over the text.
 
@@ -31,12 +54,7 @@ def positions(text: ColumnLike, query: str) -> Column:
     text = _c(text)
     parts = F.split(text, f"(?={quoted(query)})")
     inner = F.slice(parts, 1, F.size(parts) - 1)
-    ends = F.aggregate(
-        inner,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found")),
-        lambda acc, part: F.struct((acc["at"] + F.length(part)).alias("at"), F.concat(acc["found"], F.array(acc["at"] + F.length(part))).alias("found")),
-        lambda acc: acc["found"],
-    )
+    ends = _running(F.transform(inner, lambda part: F.length(part)))
     first = F.when(text.startswith(query), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
     return F.when(text.contains(query), F.concat(first, ends)).otherwise(F.array().cast("array<int>"))
 

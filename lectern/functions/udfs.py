@@ -11,6 +11,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +76,26 @@ def regex_spans(pattern: str, flags: int = 0):
     return spans
 
 
+def near_offsets(left: int, right: int, distance: int, negate: bool = False):
+    """Of two sorted arrays of offsets, those of the first with (or without) one of the second nearby.
+
+    ``left`` and ``right`` are the lengths of what stands there; spans that touch or overlap are 0 apart.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def of(own: pd.Series, other: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(own, other, strict=True):
+            a, b = np.asarray(a, dtype=np.int64), np.asarray(b, dtype=np.int64)
+            # the first that does not end too far before, and whether it begins too far after
+            at = np.searchsorted(b, a - distance - right)
+            close = np.append(b, np.iinfo(np.int64).max)[at] <= a + left + distance
+            out.append(a[close != negate].astype(np.int32))
+        return pd.Series(out)
+
+    return of
+
+
 def jcs(value) -> str:
     """Canonical JSON: sorted keys, no white space, plain characters."""
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
@@ -101,39 +122,44 @@ def self_hash(documents: pd.Series) -> pd.Series:
     return documents.map(of)
 
 
+def _costs(a: str, b: str) -> np.ndarray:
+    """The least edits between every prefix of a and every prefix of b, row by row."""
+    n, m = len(a), len(b)
+    points = np.frombuffer(b.encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    whole = np.empty((n + 1, m + 1), dtype=np.int32)
+    along = np.arange(m + 1, dtype=np.int32)
+    whole[0] = along
+    for i, c in enumerate(a, 1):
+        row = whole[i - 1] + 1  # deleted
+        row[1:] = np.minimum(row[1:], whole[i - 1, :-1] + (points != ord(c)))  # kept or substituted
+        whole[i] = np.minimum.accumulate(row - along) + along  # or characters of b inserted after any of these
+    return whole
+
+
+#: What a step back does to the places in both texts, in the order in which steps of equal cost are taken.
+_STEPS = (("=", 1, 1, 0), ("s", 1, 1, 1), ("d", 1, 0, 1), ("i", 0, 1, 1))
+
+
 def align(a: str, b: str) -> list[dict]:
     """A least-edit script from a to b: runs of kept characters, else substitutions, deletions, insertions.
 
     Traced from the end; of equal costs a substitution goes before a deletion
     before an insertion.
     """
-    rows = [list(range(len(b) + 1))]
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            row.append(min(rows[i - 1][j - 1] + (x != y), rows[i - 1][j] + 1, row[j - 1] + 1))
-        rows.append(row)
-    i, j, steps = len(a), len(b), []
-    while i or j:
-        if i and j and a[i - 1] == b[j - 1] and rows[i][j] == rows[i - 1][j - 1]:
-            i, j = i - 1, j - 1
-            steps.append(("=", a[i], b[j]))
-        elif i and j and rows[i][j] == rows[i - 1][j - 1] + 1:
-            i, j = i - 1, j - 1
-            steps.append(("s", a[i], b[j]))
-        elif i and rows[i][j] == rows[i - 1][j] + 1:
-            i -= 1
-            steps.append(("d", a[i], ""))
-        else:
-            j -= 1
-            steps.append(("i", "", b[j]))
-    out: list[dict] = []
-    for op, x, y in reversed(steps):
-        if out and op == "=" and out[-1]["op"] == "=":
-            out[-1]["n"] += 1
-        else:
-            out.append({"op": op, "n": 1, "a": "" if op == "=" else x, "b": "" if op == "=" else y})
-    return out
+    cost = _costs(a, b)
+    at, out = (len(a), len(b)), []
+    while at != (0, 0):
+        for op, back_a, back_b, edits in _STEPS:
+            to = (at[0] - back_a, at[1] - back_b)
+            if min(to) < 0 or cost[at] != cost[to] + edits or op in "=s" and (a[to[0]] == b[to[1]]) != (op == "="):
+                continue
+            if op == "=" and out and out[-1]["op"] == "=":
+                out[-1]["n"] += 1
+            else:
+                out.append({"op": op, "n": 1, "a": a[to[0]] if op in "sd" else "", "b": b[to[1]] if op in "si" else ""})
+            at = to
+            break
+    return out[::-1]
 
 
 @F.pandas_udf(OPS)

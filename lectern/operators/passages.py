@@ -9,7 +9,7 @@ cluster.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import md5
+from hashlib import md5, sha256
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,6 @@ from lectern.operators.components import components
 from lectern.storage import stored
 
 SPAN = ["bucket_a", "start_a", "end_a", "bucket_b", "start_b", "end_b"]
-_SPANS = "array<struct<start_a:int,end_a:int,start_b:int,end_b:int,edits:int>>"
 
 
 def rightmost_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -38,31 +37,34 @@ def rightmost_least(values: np.ndarray, width: int) -> np.ndarray:
     return place
 
 
-def winnow(sources: DataFrame, anchor_length: int = 12, min_length: int = 24) -> DataFrame:
+def winnow(sources: DataFrame, anchor_length: int = 12, min_length: int = 24, numbers: bool = False) -> DataFrame:
     """(bucket_id, position, hash) of the anchors: the least hash of each run of windows, rightmost of equals.
 
     Any passage of ``min_length`` characters holds one. Sources shorter than
     that have none; an anchor is listed when the choice moves to it. A text is
     read where it lies and gives its anchors alone: as window expressions every
     position would be a row to hash, sort and look back on, which takes ten
-    times as long.
+    times as long. ``numbers``: the first half of the hash as a number, for
+    those who compare the texts themselves afterwards.
     """
     width = min_length - anchor_length + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids, places, hashes = [], [np.zeros(0, dtype=np.int64)], []
             for bucket_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 digests = [md5(text[i : i + anchor_length].encode()).digest() for i in range(len(text) - anchor_length + 1)]
                 # equal windows have equal hashes, and others differ in their first half
                 values = np.frombuffer(b"".join(digests), dtype=">u8")[::2].astype(np.uint64)
                 chosen = rightmost_least(values, width)
                 moved = chosen[np.concatenate(([True], chosen[1:] != chosen[:-1]))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(moved), bucket_id), pa.int64()), pa.array(moved, pa.int32()), pa.array([digests[i].hex() for i in moved.tolist()], pa.string())], ["bucket_id", "position", "hash"]
-                )
+                ids += [bucket_id] * len(moved)
+                places.append(moved)
+                hashes += values[moved].view(np.int64).tolist() if numbers else [digests[i].hex() for i in moved.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(places), pa.int32()), pa.array(hashes, pa.int64() if numbers else pa.string())], ["bucket_id", "position", "hash"])
 
     long_enough = sources.where(F.length("text") >= min_length).select(F.col("bucket_id").cast("long"), "text")
-    return long_enough.mapInArrow(run, "bucket_id long, position int, hash string")
+    return long_enough.mapInArrow(run, f"bucket_id long, position int, hash {'long' if numbers else 'string'}")
 
 
 def usable(anchors: DataFrame, most: int) -> DataFrame:
@@ -107,102 +109,168 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
+#: What no frontier can reach, far enough from zero to stay so after steps.
+_NEVER = -(1 << 40)
+
+
 def reach(a: np.ndarray, b: np.ndarray, edits: int) -> list[tuple[int, int, int]]:
-    """For each budget up to ``edits``: how far a and b agree, and the edits used.
+    """For each budget up to ``edits``: how far a and b agree from their start, and the edits used.
 
-    The frontier keeps, for each shift between the texts, the farthest place
-    that a number of edits gets to. A span may only end on agreement, or where a
-    text ends.
+    ``far[d]`` is the farthest place in a that a number of edits gets to on the
+    diagonal d (places in a minus places in b); one more edit is a step from it
+    (both texts go on), from d - 1 (a alone) or from d + 1 (b alone), after which
+    the texts are followed as long as they agree. All diagonals step at once. A
+    span ends on agreement or where a text ends.
     """
-    first = _common(a, b)
-    best = [(first, first, 0)]
-    frontier = {0: first}
+    n, m = len(a), len(b)
+    start = _common(a, b)
+    ends = [(start, start, 0)]
+    if not n or not m:
+        return ends * (edits + 1)
+    diagonals = np.arange(-edits, edits + 1)
+    far = np.full(len(diagonals) + 2, _NEVER)
+    far[edits + 1] = start
     for used in range(1, edits + 1):
-        top, after = best[-1], {}
-        if not len(a) or not len(b):
-            best.append(top)
-            continue
-        for shift in range(-used, used + 1):
-            ways = []
-            same, over, under = frontier.get(shift), frontier.get(shift - 1), frontier.get(shift + 1)
-            if same is not None and same < len(a) and same - shift < len(b):
-                ways.append(same + 1)
-            if over is not None and over < len(a):
-                ways.append(over + 1)
-            if under is not None and under - shift <= len(b):
-                ways.append(under)
-            ways = [w for w in ways if 0 <= w - shift <= len(b) and w <= len(a)]
-            if not ways:
-                continue
-            at = max(ways)
-            to = at + _common(a[at:], b[at - shift :])
-            after[shift] = to
-            if (to > at or to == len(a) or to - shift == len(b)) and 2 * to - shift > top[0] + top[1]:
-                top = (to, to - shift, used)
-        frontier = after
-        best.append(top)
-    return best
+        steps = np.stack((far[1:-1] + 1, far[:-2] + 1, far[2:]))
+        steps[(steps < 0) | (steps > n) | (steps < diagonals) | (steps - diagonals > m)] = _NEVER
+        at = steps.max(axis=0)
+        to = np.array([i + _common(a[i:], b[i - d :]) if i >= 0 else _NEVER for i, d in zip(at.tolist(), diagonals.tolist(), strict=True)])
+        far[1:-1] = to
+        total = np.where((to > at) | (to == n) | (to - diagonals == m), 2 * to - diagonals, _NEVER)
+        best = int(total.argmax())
+        longer = total[best] > ends[-1][0] + ends[-1][1]
+        ends.append((int(to[best]), int(to[best] - diagonals[best]), used) if longer else ends[-1])
+    return ends
 
 
 def extended(a: np.ndarray, at_a: int, b: np.ndarray, at_b: int, seed: int, edits: int) -> tuple[int, int, int, int, int]:
     """(start_a, end_a, start_b, end_b, edits) of the longest span around a shared seed."""
     right = reach(a[at_a + seed :], b[at_b + seed :], edits)
     left = reach(a[:at_a][::-1], b[:at_b][::-1], edits)
-    choice = max(((left[i], right[edits - i]) for i in range(edits + 1)), key=lambda lr: (lr[0][0] + lr[0][1] + lr[1][0] + lr[1][1], -(lr[0][2] + lr[1][2])))
-    (la, lb, le), (ra, rb, re) = choice
-    return at_a - la, at_a + seed + ra, at_b - lb, at_b + seed + rb, le + re
-
-
-def _extender(seed: int, edits: int, least: int):
-    @F.pandas_udf(_SPANS)
-    def extend(text_a: pd.Series, text_b: pd.Series, places: pd.Series, same: pd.Series) -> pd.Series:
-        out = []
-        for x, y, own, one in zip(text_a, text_b, places, same, strict=True):
-            a, b = (np.frombuffer(t.encode("utf-32-le"), dtype="<u4") for t in (x, y))
-            found, seen = {}, {}
-            for place in sorted((int(p["pos_a"]), int(p["pos_b"])) for p in own):
-                shift = place[0] - place[1]
-                if not edits and place[0] + seed <= seen.get(shift, -1):
-                    continue  # inside a span of this shift
-                if not np.array_equal(a[place[0] : place[0] + seed], b[place[1] : place[1] + seed]):
-                    continue
-                sa, ea, sb, eb, used = extended(a, place[0], b, place[1], seed, edits)
-                seen[shift] = max(seen.get(shift, -1), ea)
-                if one and sa < eb and sb < ea:
-                    continue
-                if min(ea - sa, eb - sb) >= least:
-                    if one and (sb, eb) < (sa, ea):
-                        sa, ea, sb, eb = sb, eb, sa, ea
-                    found[sa, ea, sb, eb] = min(used, found.get((sa, ea, sb, eb), used))
-            out.append([dict(zip(("start_a", "end_a", "start_b", "end_b", "edits"), (*k, v), strict=True)) for k, v in sorted(found.items())])
-        return pd.Series(out)
+    # the budget is shared out in every way; the longest span counts, then the one with fewer edits
+    shared = [(sum(before[:2]) + sum(after[:2]), -before[2] - after[2], -i) for i, (before, after) in enumerate(zip(left, reversed(right), strict=True))]
+    split = -max(shared)[2]
+    (back_a, back_b, used), (on_a, on_b, more) = left[split], right[edits - split]
+    return at_a - back_a, at_a + seed + on_a, at_b - back_b, at_b + seed + on_b, used + more
+
+
+#: Characters of text that a block of sources has, about (a task holds two blocks), and blocks at least.
+BLOCK, LEAST_BLOCKS = 1_000_000, 6
+_FOUND = "bucket_a long, start_a int, end_a int, bucket_b long, start_b int, end_b int, edits int, passage string"
+
 
-    return extend
+class _Spans:
+    """Spans of the places that one task is given, in order of sources, diagonal and place.
+
+    Places in one run of equal characters have the same span, so of each run
+    the first is followed and the others are passed over.
+    """
+
+    def __init__(self, texts: dict[int, np.ndarray], seed: int, least: int, edits: int):
+        self.texts, self.seed, self.least, self.edits = texts, seed, least, edits
+        self.line, self.end = None, -1  # a diagonal of two sources, and how far its last run goes
+        self.pair, self.found = None, {}
+
+    def rows(self, a: np.ndarray, b: np.ndarray, place: np.ndarray, shift: np.ndarray) -> Iterator[tuple]:
+        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1]) & (shift[1:] == shift[:-1])
+        # an anchor that touches the one before on its diagonal is in its run
+        first = np.concatenate(([True], ~(same & (place[1:] - place[:-1] <= self.seed))))
+        for x, y, at, d in zip(*(v[first].tolist() for v in (a, b, place, shift)), strict=True):
+            if (x, y) != self.pair:
+                yield from self.close()
+                self.pair = (x, y)
+            if self.line == (x, y, d) and at + self.seed <= self.end:
+                continue
+            one, other = self.texts.get(x), self.texts.get(y)
+            if one is None or other is None or not np.array_equal(one[at : at + self.seed], other[at - d : at - d + self.seed]):
+                continue
+            self.line, self.end = (x, y, d), at + self.seed + _common(one[at + self.seed :], other[at - d + self.seed :])
+            span = extended(one, at, other, at - d, self.seed, self.edits)
+            sa, ea, sb, eb, used = span
+            if min(ea - sa, eb - sb) < self.least or x == y and sa < eb and sb < ea:
+                continue
+            if x == y and (sb, eb) < (sa, ea):
+                sa, ea, sb, eb = sb, eb, sa, ea
+            self.found[sa, ea, sb, eb] = min(used, self.found.get((sa, ea, sb, eb), used))
+            if not self.edits:  # no other run has this span
+                yield from self.close()
+
+    def close(self) -> Iterator[tuple]:
+        for (sa, ea, sb, eb), used in self.found.items():
+            x, y = self.pair
+            passage = None if self.edits else sha256(self.texts[x][sa:ea].tobytes().decode("utf-32-le").encode()).hexdigest()
+            yield x, sa, ea, y, sb, eb, used, passage
+        self.found = {}
 
 
 def spans(sources: DataFrame, pairs: DataFrame, seed: int, min_length: int, edits: int = 0) -> DataFrame:
-    """Maximal spans of pairs: ``SPAN`` and edits, each once.
+    """Maximal spans of pairs: ``SPAN``, edits, and the hash of the passage (exact spans), each once.
 
-    Places are gathered by pair of sources, so two texts meet once however many
-    anchors they share.
+    Sources are dealt to blocks by their id. A task is two blocks, and gets the
+    texts of those sources alone that share an anchor across them, once however
+    many pairs and places they have, and then its places one after the other, so
+    nothing is gathered by pair.
     """
-    places = pairs.groupBy("bucket_a", "bucket_b").agg(F.collect_list(F.struct("pos_a", "pos_b")).alias("places"))
-    texts = sources.select("bucket_id", "text")
-    met = places.join(texts.select(F.col("bucket_id").alias("bucket_a"), F.col("text").alias("text_a")), "bucket_a").join(
-        texts.select(F.col("bucket_id").alias("bucket_b"), F.col("text").alias("text_b")), "bucket_b"
-    )
-    made = met.select("bucket_a", "bucket_b", F.explode(_extender(seed, edits, min_length)("text_a", "text_b", "places", F.col("bucket_a") == F.col("bucket_b"))).alias("s"))
-    return made.select("bucket_a", F.col("s.start_a").alias("start_a"), F.col("s.end_a").alias("end_a"), "bucket_b", F.col("s.start_b").alias("start_b"), F.col("s.end_b").alias("end_b"), F.col("s.edits").alias("edits"))
+    texts = sources.select(F.col("bucket_id").cast("long").alias("bucket_id"), "text").where("text is not null")
+    blocks = max(LEAST_BLOCKS, -(-(texts.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    own, other = block(F.col("bucket_a")), block(F.col("bucket_b"))
+    places = pairs.select(F.least(own, other).alias("low"), F.greatest(own, other).alias("high"), "bucket_a", "bucket_b", (F.col("pos_a") - F.col("pos_b")).cast("int").alias("shift"), F.col("pos_a").cast("int").alias("place"))
+    places = stored(places, "places")
+    wanted = places.select("low", "high", F.explode(F.array_distinct(F.array("bucket_a", "bucket_b"))).alias("bucket_id")).distinct()
+    empty = {"bucket_b": F.lit(None).cast("long"), "shift": F.lit(None).cast("int"), "place": F.lit(None).cast("int")}
+    needed = texts.join(wanted, "bucket_id").select("low", "high", F.lit(0).alias("kind"), F.col("bucket_id").alias("bucket_a"), *[c.alias(n) for n, c in empty.items()], "text")
+    rows = needed.unionByName(places.withColumns({"kind": F.lit(1), "text": F.lit(None).cast("string")}))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [field.split()[0] for field in _FOUND.split(", ")]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+        task, made = None, None
+
+        def batch_of(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [()] * len(names), types, strict=True)], names)
 
-def _occurrences(found: DataFrame) -> DataFrame:
-    a = found.select(F.col("bucket_a").alias("bucket_id"), F.col("start_a").alias("start"), F.col("end_a").alias("end"))
-    return a.unionByName(found.select(F.col("bucket_b").alias("bucket_id"), F.col("start_b").alias("start"), F.col("end_b").alias("end"))).distinct()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found: list[tuple] = []
+            low, high, kind, a = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            b, shift, place = (batch.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in range(4, 7))
+            cuts = np.flatnonzero((low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if (low[start], high[start]) != task:
+                    found += made.close() if made else ()
+                    task, made = (low[start], high[start]), _Spans({}, seed, min_length, edits)
+                if kind[start] == 0:
+                    for bucket, text in zip(a[start:end].tolist(), batch.column(7).slice(start, end - start).to_pylist(), strict=True):
+                        made.texts[bucket] = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+                else:
+                    found += made.rows(a[start:end], b[start:end], place[start:end], shift[start:end])
+            yield batch_of(found)
+        yield batch_of(list(made.close()) if made else [])
+
+    shares = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["low", "high"]
+    dealt = rows.select(*order, "kind", "bucket_a", "bucket_b", "shift", "place", "text").repartition(shares, *order)
+    found = dealt.sortWithinPartitions(*order, "kind", "bucket_a", "bucket_b", "shift", "place").mapInArrow(run, _FOUND)
+    return found.select(*SPAN, "edits", "passage")
+
+
+def _occurrences(found: DataFrame, *more: str) -> DataFrame:
+    a = found.select(F.col("bucket_a").alias("bucket_id"), F.col("start_a").alias("start"), F.col("end_a").alias("end"), *more)
+    return a.unionByName(found.select(F.col("bucket_b").alias("bucket_id"), F.col("start_b").alias("start"), F.col("end_b").alias("end"), *more)).distinct()
 
 
 def exact_occurrences(sources: DataFrame, found: DataFrame, min_occurrences: int = 2) -> DataFrame:
-    """(cluster, length, bucket_id, start, end): spans grouped by the hash of their text."""
-    cut = _occurrences(found).join(sources.select("bucket_id", "text"), "bucket_id").withColumn("cluster", F.sha2(fn.slice_text("text", F.col("start"), F.col("end") - F.col("start")), 256))
+    """(cluster, length, bucket_id, start, end): spans grouped by the hash of their text.
+
+    ``spans`` gives exact ones with that hash; only spans from elsewhere are cut from their texts here.
+    """
+    if "passage" in found.columns:
+        cut = _occurrences(found, "passage").withColumnRenamed("passage", "cluster")
+    else:
+        texts = sources.select("bucket_id", "text")
+        cut = _occurrences(found).join(texts, "bucket_id").withColumn("cluster", F.sha2(fn.slice_text("text", F.col("start"), F.col("end") - F.col("start")), 256))
     rows = cut.select("cluster", (F.col("end") - F.col("start")).alias("length"), "bucket_id", "start", "end")
     many = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_occurrences).select("cluster")
     return rows.join(many, "cluster")
@@ -250,7 +318,7 @@ def listed(occurrences: DataFrame) -> DataFrame:
 
 def scan(sources: DataFrame, anchor_length: int = 12, min_length: int = 24, most: int = 200, edits: int = 0, target: DataFrame | None = None) -> DataFrame:
     """Spans of all pairs that winnowed anchors find."""
-    return spans(sources, anchor_pairs(winnow(sources, anchor_length, min_length), most, target), anchor_length, min_length, edits)
+    return spans(sources, anchor_pairs(winnow(sources, anchor_length, min_length, True), most, target), anchor_length, min_length, edits)
 
 
 def fuzzy_occurrences(sources: DataFrame, found: DataFrame, max_edits: int, min_occurrences: int = 2) -> DataFrame:
@@ -329,28 +397,39 @@ def lookup(occurrences: DataFrame, bucket_id: int, offset: int, mode: str = "ove
     return all_ if include_self else all_.join(here.select("cluster", "bucket_id", "start", "end"), ["cluster", "bucket_id", "start", "end"], "left_anti")
 
 
-def minhash(sources: DataFrame, k: int = 5, size: int = 128) -> DataFrame:
-    """(bucket_id, sketch): least values of ``size`` hash functions a + i * b over the source's k-grams."""
+_rng = np.random.Generator(np.random.PCG64(77))
+_BASES = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
 
+def _mixed(x: np.ndarray, by: int) -> np.ndarray:
+    """A 64-bit finaliser."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(by)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(by)
+    return x ^ (x >> np.uint64(32))
+
+
+def minhash(sources: DataFrame, k: int = 5, size: int = 128) -> DataFrame:
+    """(bucket_id, sketch): least values of ``size`` hash functions a + i * b over the source's k-grams (k up to 64)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.arange(size, dtype=np.uint64)[:, None]
-        for frame in frames:
+        for batch in batches:
             ids, sketches = [], []
-            for bucket_id, text in zip(frame["bucket_id"], frame["text"], strict=True):
-                grams = {text[i : i + k] for i in range(len(text) - k + 1)}
-                if grams:
-                    pairs = np.array([(xxhash.xxh64_intdigest(g), xxhash.xxh64_intdigest(g, 1) | 1) for g in grams], dtype=np.uint64)
-                    least = np.full(size, np.iinfo(np.uint64).max, dtype=np.uint64)
-                    for at in range(0, len(pairs), 4096):
-                        part = pairs[at : at + 4096]
-                        least = np.minimum(least, (part[:, 0] + order * part[:, 1]).min(axis=1))
-                    ids.append(bucket_id)
-                    sketches.append(least.view(np.int64).tolist())
-            yield pd.DataFrame({"bucket_id": pd.Series(ids, dtype="int64"), "sketch": pd.Series(sketches, dtype=object)})
-
-    return sources.select(F.col("bucket_id").cast("long"), "text").where("text is not null").mapInPandas(run, "bucket_id long, sketch array<long>")
+            for bucket_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+                n = len(points) - k + 1
+                if n <= 0:
+                    continue
+                grams = np.unique(_mixed(sum(points[i : i + n] * _BASES[i] for i in range(k)), 0xD6E8FEB86659FD93))
+                a, b = _mixed(grams, 0x9E3779B97F4A7C15 | 1), _mixed(grams, 0xA0761D6478BD642F) | np.uint64(1)
+                least = np.full(size, np.iinfo(np.uint64).max, dtype=np.uint64)
+                for at in range(0, len(grams), 4096):
+                    least = np.minimum(least, (a[at : at + 4096] + order * b[at : at + 4096]).min(axis=1))
+                ids.append(bucket_id)
+                sketches.append(least.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], ["bucket_id", "sketch"])
+
+    return sources.select(F.col("bucket_id").cast("long"), "text").where("text is not null").mapInArrow(run, "bucket_id long, sketch array<long>")
 
 
 def sketch_classes(sketches: DataFrame) -> DataFrame:

@@ -6,11 +6,12 @@ offset in it; postings are an index of trigrams that can be kept sorted by gram.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as fn
-from lectern.functions.udfs import regex_spans
+from lectern.functions.udfs import near_offsets, regex_spans
 from lectern.operators import intervals
 from lectern.plans.parse import Query, check_scope, parse
 
@@ -31,26 +32,44 @@ def regex_hits(sources: DataFrame, query: Query) -> DataFrame:
     return found.withColumns({"master_offset": F.col("span.s"), "master_length": F.col("span.e") - F.col("span.s")}).drop("span")
 
 
+def _context(text: Column, at: Column, length: Column, context: int) -> dict[str, Column]:
+    return {"left": fn.left_context(text, at, context), "match": fn.slice_text(text, at, length), "right": fn.slice_text(text, at + length, F.lit(context))}
+
+
 def kwic(hits: DataFrame, context: int = 20) -> DataFrame:
     """``hits`` with left, match and right in place of their text."""
-    at, length = F.col("master_offset"), F.col("master_length")
-    return hits.withColumns(
-        {"left": fn.left_context("text", at, context), "match": fn.slice_text("text", at, length), "right": fn.slice_text("text", at + length, F.lit(context))}
-    ).drop("text")
+    return hits.withColumns(_context(F.col("text"), F.col("master_offset"), F.col("master_length"), context)).drop("text")
+
+
+def concordance(sources: DataFrame, offsets: Column, length: int, context: int = 20) -> DataFrame:
+    """``kwic`` of hits of one length, given as arrays of offsets beside the texts.
+
+    Contexts are cut where the text lies, before its hits become rows, so no
+    row carries a text.
+    """
+    text = F.col("text")
+    entry = lambda at: F.struct(at.alias("master_offset"), F.lit(length).alias("master_length"), *[c.alias(n) for n, c in _context(text, at, F.lit(length), context).items()])
+    rest = [c for c in sources.columns if c != "text"]
+    return sources.select(*rest, F.explode(F.transform(offsets, entry)).alias("__hit")).select(*rest, "__hit.*")
+
+
+def _near(sources: DataFrame, left: str, right: str, distance: int, negate: bool) -> DataFrame:
+    """Sources with the offsets (``__at``) of left hits with or without a right hit nearby."""
+    held = sources.where(F.col("text").contains(left))
+    if not negate:
+        held = held.where(F.col("text").contains(right))
+    close = near_offsets(len(left), len(right), distance, negate)
+    return held.withColumn("__at", close(fn.positions("text", left), fn.positions("text", right)))
 
 
 def near(sources: DataFrame, left: str, right: str, distance: int, negate: bool = False) -> DataFrame:
     """Left hits with (or without) a right hit in the same source within ``distance``, either way round.
 
     The gap of spans that touch or overlap is 0. Right hits are looked up in the
-    source's own array, so rows are neither joined nor shuffled.
+    source's own sorted offsets, so rows are neither joined nor shuffled.
     """
-    right_at = fn.positions("text", right)
-    with_right = hits_of(sources.withColumn("__right", right_at), left)
-    at, n, m = F.col("master_offset"), len(left), len(right)
-    gap = lambda p: F.greatest(at - (p + m), p - (at + n), F.lit(0))
-    close = F.exists("__right", lambda p: gap(p) <= distance)
-    return with_right.where(~close if negate else close).drop("__right")
+    found = _near(sources, left, right, distance, negate)
+    return found.withColumn("master_offset", F.explode("__at")).drop("__at").withColumn("master_length", F.lit(len(left)))
 
 
 def search(sources: DataFrame, text: str, context: int = 20, distance: int = 20, scope: list[str] | None = None) -> DataFrame:
@@ -62,8 +81,10 @@ def search(sources: DataFrame, text: str, context: int = 20, distance: int = 20,
     if query.mode == "regex":
         return kwic(regex_hits(sources, query), context)
     if query.mode in ("near", "not"):
-        return kwic(near(sources, query.literal, query.right, distance, query.mode == "not"), context)
-    return kwic(hits_of(sources, query.literal), context)
+        found = _near(sources, query.literal, query.right, distance, query.mode == "not")
+        return concordance(found, F.col("__at"), len(query.literal), context).drop("__at")
+    held = sources.where(F.col("text").contains(query.literal))
+    return concordance(held, fn.positions("text", query.literal), len(query.literal), context)
 
 
 def postings(sources: DataFrame, n: int = 3) -> DataFrame:
@@ -134,6 +155,32 @@ def order_keys(sort: str) -> list[Column]:
     raise ValueError(f"no such sort: {sort}")
 
 
+def _chain(contexts: list[str], drop: set[str]) -> list[int]:
+    """The order of a chain of hits by shared context characters.
+
+    Each character has the hits that it occurs around as one row of a matrix of
+    bytes; what a hit shares with all others is the sum of its characters' rows,
+    made when the hit is reached. The first is the one that shares most with all
+    others; of equals the earlier counts.
+    """
+    sets = [sorted(set(context) - drop) for context in contexts]
+    number = {c: i for i, c in enumerate(sorted({c for own in sets for c in own}))}
+    around = np.zeros((len(number), len(sets)), dtype=np.uint8)
+    for hit, own in enumerate(sets):
+        around[[number[c] for c in own], hit] = 1
+    frequent = around.sum(axis=1, dtype=np.int64)
+    totals = np.array([int(frequent[[number[c] for c in own]].sum()) - len(own) for own in sets])
+    scale = int(totals.max(initial=0)) + 1
+    rank, order = totals.copy(), []
+    taken = np.zeros(len(sets), dtype=bool)
+    for _ in sets:
+        hit = int(np.where(taken, -1, rank).argmax())
+        taken[hit] = True
+        order.append(hit)
+        rank = around[[number[c] for c in sets[hit]]].sum(axis=0, dtype=np.int64) * scale + totals
+    return order
+
+
 def closeness(hits: DataFrame, query: str, cap: int = 20_000) -> DataFrame:
     """``hits`` with their place in a chain of most shared context characters.
 
@@ -149,18 +196,7 @@ def closeness(hits: DataFrame, query: str, cap: int = 20_000) -> DataFrame:
 
     def chain(frame):
         frame = frame[columns].sort_values(["textid", "bucket_id", "master_offset"]).reset_index(drop=True)
-        sets = [frozenset(a + b) - drop for a, b in zip(frame["left"], frame["right"], strict=True)]
-        share = [[len(a & b) for b in sets] for a in sets]
-        totals = [sum(row) - row[i] for i, row in enumerate(share)]
-        left, order = set(range(len(sets))), []
-        now = min(left, key=lambda i: (-totals[i], i))
-        while True:
-            left.discard(now)
-            order.append(now)
-            if not left:
-                break
-            now = min(left, key=lambda i: (-share[order[-1]][i], -totals[i], i))
-        frame = frame.iloc[order].reset_index(drop=True)
+        frame = frame.iloc[_chain([a + b for a, b in zip(frame["left"], frame["right"], strict=True)], drop)].reset_index(drop=True)
         frame["position"] = range(1, len(frame) + 1)
         return frame
 

@@ -14,6 +14,10 @@ except ImportError:  # older interpreters
     import sre_parse as _parser
 
 FLAGS = {"i": re.IGNORECASE, "m": re.MULTILINE, "s": re.DOTALL}
+COMPOUND = {"NEAR": "near", "NOT": "not"}
+#: A slash, a body in which a backslash takes the next character along, the last slash left, and letters.
+_EXPRESSION = re.compile(r"/((?:[^\\]|\\.)*)/([^/]*)", re.DOTALL)
+_TERMS = re.compile(r"\s*(\S+)\s+(" + "|".join(COMPOUND) + r")\s+(\S+)\s*")
 
 
 class QueryError(ValueError):
@@ -37,9 +41,8 @@ class Query:
 
 
 def is_escaped(text: str, at: int) -> bool:
-    """Whether an odd number of backslashes stands before a place."""
-    before = text[:at]
-    return (len(before) - len(before.rstrip("\\"))) % 2 == 1
+    """Whether the backslashes before a place leave one over for it."""
+    return re.search(r"(?<!\\)(?:\\\\)*\\\Z", text[:at]) is not None
 
 
 def anchor(pattern: str, flags: int = 0) -> str | None:
@@ -47,8 +50,9 @@ def anchor(pattern: str, flags: int = 0) -> str | None:
 
     Read from the parsed expression: only characters outside groups,
     alternatives and repetitions count, so a row without the run has no match.
+    An expression that ignores case, by a letter or by itself, has none.
     """
-    if flags & re.IGNORECASE:
+    if re.compile(pattern, flags).flags & re.IGNORECASE:
         return None
     runs, run = [], ""
     for op, value in _parser.parse(pattern, flags):
@@ -67,37 +71,36 @@ def anchor(pattern: str, flags: int = 0) -> str | None:
     return best if len(best) >= 2 else None
 
 
-def parse(text: str) -> Query:
-    """Read a query; a compound one is exactly TERM NEAR TERM or TERM NOT TERM."""
-    text = unicodedata.normalize("NFC", text)
-    if not text.startswith("/"):
-        return _compound(text) or Query("literal", text)
-    end = next((i for i in range(len(text) - 1, 0, -1) if text[i] == "/" and not is_escaped(text, i)), 0)
-    if not end:
+def _expression(text: str) -> Query:
+    """A query that begins with a slash."""
+    found = _EXPRESSION.fullmatch(text)
+    if found is None:
         raise QueryError("invalid_regex", "no closing slash")
-    pattern, letters = text[1:end], text[end + 1 :]
-    if set(letters) - set(FLAGS):
-        raise QueryError("invalid_regex", f"unknown flags {sorted(set(letters) - set(FLAGS))}")
-    flags = 0
-    for letter in letters:
-        flags |= FLAGS[letter]
+    pattern, letters = found.groups()
+    unknown = "".join(sorted(set(letters).difference(FLAGS)))
+    if unknown:
+        raise QueryError("invalid_regex", f"no such flags: {unknown}")
+    flags = sum(FLAGS[letter] for letter in set(letters))
     try:
-        compiled = re.compile(pattern, flags)
-    except re.error as error:
+        matches_nothing = re.compile(pattern, flags).match("")
+    except (re.error, OverflowError, RecursionError) as error:
         raise QueryError("invalid_regex", str(error)) from error
-    empty = compiled.search("")
-    if empty is not None and empty.end() == 0:
+    if matches_nothing:
         raise QueryError("zero_length_regex", "the expression matches the empty text")
     return Query("regex", text, pattern, flags, anchor(pattern, flags))
 
 
-def _compound(text: str) -> Query | None:
-    words = text.split()
-    if not {"NEAR", "NOT"} & set(words):
-        return None
-    if len(words) != 3 or words[1] not in ("NEAR", "NOT") or {words[0], words[2]} & {"NEAR", "NOT"}:
+def parse(text: str) -> Query:
+    """Read a query; a compound one is exactly TERM NEAR TERM or TERM NOT TERM."""
+    text = unicodedata.normalize("NFC", text)
+    if text.startswith("/"):
+        return _expression(text)
+    if not COMPOUND.keys() & set(text.split()):
+        return Query("literal", text)
+    terms = _TERMS.fullmatch(text)
+    if terms is None or COMPOUND.keys() & {terms[1], terms[3]}:
         raise QueryError("invalid_compound_query", "a compound query is TERM NEAR TERM or TERM NOT TERM")
-    return Query("near" if words[1] == "NEAR" else "not", words[0], right=words[2])
+    return Query(COMPOUND[terms[2]], terms[1], right=terms[3])
 
 
 def check_scope(query: Query, scoped: bool) -> None:

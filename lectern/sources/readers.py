@@ -50,12 +50,24 @@ def _parsed(frame: pd.DataFrame, parse: Callable[..., Any], columns: list[str])
         try:
             rows.extend(parse(row))
         except Exception as error:  # reported in the row
-            rows.append({"parse_error": f"{type(error).__name__}: {error}", **_identity(row)})
+            rows.append({k: v for k, v in {"parse_error": f"{type(error).__name__}: {error}", **_identity(row)}.items() if k in columns})
     return pd.DataFrame(rows, columns=columns).astype(object).where(lambda f: f.notna(), None)
 
 
+def _runner(parse: Callable[..., Any], columns: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``parse`` over the rows of frames, for ``mapInPandas``."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(made := _parsed(frame, parse, columns)):
+                yield made
+
+    return run
+
+
 def _identity(row: Any) -> dict[str, Any]:
-    return {k: getattr(row, k) for k in ("textid", "path", "juan_seq") if hasattr(row, k)}
+    known = {k: getattr(row, k) for k in ("textid", "path", "juan_seq") if hasattr(row, k)}
+    return known | {"translation_id": known.get("textid") or known.get("path")}
 
 
 def _columns(ddl: str) -> list[str]:
@@ -115,12 +127,7 @@ def manifests(found: DataFrame) -> DataFrame:
             }
         ]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(made := _parsed(frame, parse, columns)):
-                yield made
-
-    return found.select("textid", "path", "content").mapInPandas(run, schemas.MANIFEST)
+    return found.select("textid", "path", "content").mapInPandas(_runner(parse, columns), schemas.MANIFEST)
 
 
 def marker(raw: dict) -> dict:
@@ -150,12 +157,7 @@ def juans(found: DataFrame) -> DataFrame:
                 )
         return out
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(made := _parsed(frame, parse, columns)):
-                yield made
-
-    return named.select("textid", "juan_seq", "content").mapInPandas(run, schemas.BUCKET)
+    return named.select("textid", "juan_seq", "content").mapInPandas(_runner(parse, columns), schemas.BUCKET)
 
 
 def with_assets(inline: DataFrame, assets: DataFrame, keys: list[str]) -> DataFrame:
@@ -252,10 +254,11 @@ SEGMENT = r"\[((?:[^\[\]\\]|\\.)*)\]\{([^}]*)\}"
 
 
 def translation_segments(found: DataFrame) -> DataFrame:
-    """(translation_id, juan_seq, ord, corresp, text) of ``[text]{attributes}`` spans.
+    """(translation_id, juan_seq, ord, corresp, text, parse_error) of ``[text]{attributes}`` spans.
 
     Spans go with the markers of the front matter by their order; blank ones are
-    left out, and a backslash keeps the character after it.
+    left out, and a backslash keeps the character after it. A file that cannot
+    be read is a row with ``parse_error``.
     """
     columns = _columns(schemas.TRANSLATION)
 
@@ -273,19 +276,8 @@ def translation_segments(found: DataFrame) -> DataFrame:
                 out.append({"translation_id": row.textid, "juan_seq": row.juan_seq, "ord": n, "corresp": [corresp] if isinstance(corresp, str) else [c for c in corresp or [] if isinstance(c, str)], "text": text})
         return out
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for row in frame.itertuples(index=False):
-                try:
-                    rows.extend(parse(row))
-                except Exception:  # a file that cannot be read has no segments
-                    continue
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
-
     named = markdown(found).withColumns({"textid": F.regexp_extract("path", r"([^/]+?)(?:_\d+)?\.md$", 1), "juan_seq": F.coalesce(F.regexp_extract("path", r"_(\d+)\.md$", 1).try_cast("int"), F.lit(0))})
-    return named.select("textid", "juan_seq", "header", "body").mapInPandas(run, schemas.TRANSLATION)
+    return named.select("textid", "juan_seq", "path", "header", "body").mapInPandas(_runner(parse, columns), schemas.TRANSLATION)
 
 
 # -- markup ----------------------------------------------------------------------
@@ -294,16 +286,24 @@ PUNCTUATION = "()/，。、；：？！「」『』《》〈〉〔〕【】〖
 SCROLL = "path string, section int, head string, text string, markers array<struct<offset:int,type:string,id:string,content:string>>"
 
 
+_BODY = "㐀-鿿豈-﫿\U00020000-\U000323af\U00105000-\U00108fff"
+#: What a line is made of, each at its place: a private character, white space, a mark, other signs, a body character.
+_PIECE = re.compile(rf"&KR(?P<private>\d+);|(?P<blank>[\s\u3000]+)|(?P<mark>[{re.escape(PUNCTUATION)}])|(?P<other>[^\s\u3000&{re.escape(PUNCTUATION)}{_BODY}]+)|(?P<plain>.)", re.DOTALL)
+_JUAN = re.compile(r"#\+PROPERTY:\s+JUAN\s+(.*)")
+_HEAD = re.compile(r"(\*+)\s+(.*)")
+_TAG = re.compile(r"<(pb|md):([^>]+)>")
+
+
 def scroll_sections(content: str, text_id: str, edition: str, seq: int) -> list[dict]:
     """A plain-text scroll as sections of text and markers.
 
     The text keeps ideographs alone. Page breaks ``<pb:id>``, lines (ended by
     the pilcrow), headings at the start of a line, comments, newlines, indents
     and punctuation are markers; ``&KR0001;`` is a private character. A JUAN
-    property opens a section.
+    property opens a section. Each character is looked at once.
     """
     sections: list[dict] = []
-    state = {"page": "", "line": 0, "heads": 0, "title": ""}
+    state = {"page": "", "line": 0, "heads": 0, "title": "", "broken": None}
     text: list[str] = []
     marks: list[dict] = []
 
@@ -315,35 +315,34 @@ def scroll_sections(content: str, text_id: str, edition: str, seq: int) -> list[
             sections.append({"head": state["title"] or f"juan {seq:03d}", "text": "".join(text), "markers": list(marks)})
         text.clear()
         marks.clear()
+        state["broken"] = None
 
     def characters(line: str) -> None:
-        at = 0
-        while at < len(line):
-            entity = re.match(r"&KR(\d+);", line[at:])
-            run = re.match(r"[\s　]+", line[at:])
-            other = re.match(r"[^\s　&" + re.escape(PUNCTUATION) + r"㐀-鿿豈-﫿\U00020000-\U000323af\U00105000-\U00108fff]+", line[at:])
-            if entity:
-                text.append(chr(0x105000 + int(entity[1])))
-                at += entity.end()
-            elif run:
-                mark("indent" if not at else "space", run[0])
-                at += run.end()
-            elif line[at] in PUNCTUATION:
-                mark("punctuation", line[at])
-                at += 1
-            elif other:
-                mark("non-cjk", other[0])
-                at += other.end()
+        for piece in _PIECE.finditer(line):
+            kind, found = piece.lastgroup, piece[piece.lastgroup]
+            if kind == "private":
+                text.append(chr(0x105000 + int(found)))
+            elif kind == "plain":
+                text.append(found)
             else:
-                text.append(line[at])
-                at += 1
+                mark({"blank": "space" if piece.start() else "indent", "mark": "punctuation", "other": "non-cjk"}[kind], found)
+
+    def page(ident: str) -> None:
+        state["page"], state["line"] = ident, 0
+        if state["broken"] != (ident, len(text)):  # a page that is named twice at one place breaks once
+            mark("page-break", "", ident)
+            state["broken"] = (ident, len(text))
+
+    def run(part: str) -> None:
+        if part:
+            state["line"] += 1
+            mark("line-break", "", f"{state['page'] or f'{text_id}_{edition}_{seq:03d}-front'}{state['line']:02d}")
+            characters(part)
 
     lines = content.split("\n")
     body = next((i for i, line in enumerate(lines) if line and not line.startswith("#")), len(lines))
-    for line in lines[:body]:
-        title = re.match(r"#\+PROPERTY:\s+JUAN\s+(.*)", line)
-        if title and not state["title"]:
-            state["title"] = title[1].strip()
+    titles = (_JUAN.match(line) for line in lines[:body])
+    state["title"] = next((title[1].strip() for title in titles if title and title[1].strip()), "")
     newlines = 0
     for line in lines[body:]:
         if not line:
@@ -352,8 +351,7 @@ def scroll_sections(content: str, text_id: str, edition: str, seq: int) -> list[
         if newlines:
             mark("newline" if newlines == 1 else "paragraph-break", "\n" * newlines)
         newlines = 1
-        head = re.match(r"(\*+)\s+(.*)", line)
-        title = re.match(r"#\+PROPERTY:\s+JUAN\s+(.*)", line)
+        title, head = _JUAN.match(line), _HEAD.match(line)
         if title:
             close()
             state["title"] = title[1].strip()
@@ -363,16 +361,14 @@ def scroll_sections(content: str, text_id: str, edition: str, seq: int) -> list[
             state["heads"] += 1
             mark("head", head[2].strip().rstrip("¶").strip(), f"{text_id}_{edition}_{seq:03d}-h{state['heads']}")
         else:
-            for chunk in re.sub(r"(<(?:pb|md):[^>]+>)", r"¶\1¶", line).split("¶"):
-                page = re.match(r"<pb:([^>]+)>", chunk)
-                if page:
-                    state["page"], state["line"] = page[1], 0
-                    if not any(m["type"] == "page-break" and m["id"] == page[1] and m["offset"] == len(text) for m in marks):
-                        mark("page-break", "", page[1])
-                elif chunk and not chunk.startswith("<md:"):
-                    state["line"] += 1
-                    mark("line-break", "", f"{state['page'] or f'{text_id}_{edition}_{seq:03d}-front'}{state['line']:02d}")
-                    characters(chunk)
+            for chunk in line.split("¶"):
+                at = 0
+                for tag in _TAG.finditer(chunk):
+                    run(chunk[at : tag.start()])
+                    if tag[1] == "pb":
+                        page(tag[2])
+                    at = tag.end()
+                run(chunk[at:])
     close()
     return sections
 
@@ -397,7 +393,7 @@ def _local(tag: Any) -> str:
     return tag.rpartition("}")[2] if isinstance(tag, str) else ""
 
 
-TEI = "path string, section int, head string, text string, markers array<struct<offset:int,type:string,id:string,content:string>>, variants array<struct<offset:int,length:int,witness:string,form:string>>"
+TEI = "path string, section int, head string, text string, markers array<struct<offset:int,type:string,id:string,content:string>>, variants array<struct<offset:int,length:int,witness:string,form:string>>, parse_error string"
 
 
 def tei_sections(content: str) -> list[dict]:
@@ -445,23 +441,15 @@ def tei_sections(content: str) -> list[dict]:
 
 
 def tei(found: DataFrame) -> DataFrame:
-    """Sections of TEI files; one that is not XML is skipped."""
+    """Sections of TEI files."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    rows += [{"path": path, "section": n, **s} for n, s in enumerate(tei_sections(content))]
-                except ElementTree.ParseError:
-                    continue
-            if rows:
-                yield pd.DataFrame(rows, columns=_columns(TEI))
+    def parse(row: Any) -> list[dict]:
+        return [{"path": row.path, "section": n, **section} for n, section in enumerate(tei_sections(row.content))]
 
-    return found.select("path", "content").mapInPandas(run, TEI)
+    return found.select("path", "content").mapInPandas(_runner(parse, _columns(TEI)), TEI)
 
 
-RECORD = "uuid string, type string, path string, fields map<string,array<string>>"
+RECORD = "uuid string, type string, path string, fields map<string,array<string>>, parse_error string"
 
 
 def record_fields(content: str) -> dict[str, list[str]]:
@@ -488,21 +476,12 @@ def lexicon(found: DataFrame, kind: str) -> DataFrame:
     graph's label and link rules pick their fields.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    fields = record_fields(content)
-                except ElementTree.ParseError:
-                    continue
-                uuid = re.sub("^uuid-", "", (fields.get("@id") or [""])[0])
-                if uuid:
-                    rows.append({"uuid": uuid, "type": kind, "path": path, "fields": fields})
-            if rows:
-                yield pd.DataFrame(rows, columns=_columns(RECORD))
+    def parse(row: Any) -> list[dict]:
+        fields = record_fields(row.content)
+        uuid = re.sub("^uuid-", "", (fields.get("@id") or [""])[0])
+        return [{"uuid": uuid, "type": kind, "path": row.path, "fields": fields}] if uuid else []
 
-    return found.select("path", "content").mapInPandas(run, RECORD)
+    return found.select("path", "content").mapInPandas(_runner(parse, _columns(RECORD)), RECORD)
 
 
 def xml_rows(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
@@ -511,27 +490,20 @@ def xml_rows(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataF
 
 
 def translation_xml(found: DataFrame) -> DataFrame:
-    """(translation_id, juan_seq, ord, corresp, text) of ``seg`` elements; the scroll is part of the segment's target."""
+    """(translation_id, juan_seq, ord, corresp, text, parse_error) of ``seg`` elements; the scroll is part of the segment's target."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    root = ElementTree.fromstring(content)
-                except ElementTree.ParseError:
-                    continue
-                name = re.sub(r"^.*/|\.xml$", "", path)
-                for n, seg in enumerate(e for e in root.iter() if _local(e.tag) == "seg"):
-                    target = (seg.get("corresp") or "").lstrip("#")
-                    juan = re.search(r"_(\d{3})[-_]", target)
-                    text = " ".join("".join(seg.itertext()).split())
-                    if text:
-                        rows.append({"translation_id": name, "juan_seq": int(juan[1]) if juan else 0, "ord": n, "corresp": [target] if target else [], "text": text})
-            if rows:
-                yield pd.DataFrame(rows, columns=_columns(schemas.TRANSLATION))
+    def parse(row: Any) -> list[dict]:
+        name = re.sub(r"^.*/|\.xml$", "", row.path)
+        rows = []
+        for n, seg in enumerate(e for e in ElementTree.fromstring(row.content).iter() if _local(e.tag) == "seg"):
+            target = (seg.get("corresp") or "").lstrip("#")
+            juan = re.search(r"_(\d{3})[-_]", target)
+            text = " ".join("".join(seg.itertext()).split())
+            if text:
+                rows.append({"translation_id": name, "juan_seq": int(juan[1]) if juan else 0, "ord": n, "corresp": [target] if target else [], "text": text})
+        return rows
 
-    return found.select("path", "content").mapInPandas(run, schemas.TRANSLATION)
+    return found.select("path", "content").mapInPandas(_runner(parse, _columns(schemas.TRANSLATION)), schemas.TRANSLATION)
 
 
 class _Plain(HTMLParser):
@@ -579,7 +551,7 @@ def plain_text(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("text", of(column))
 
 
-LEAF = "path string, key string, value string"
+LEAF = "path string, key string, value string, parse_error string"
 
 
 def leaves(value: Any, key: str = "") -> Iterator[tuple[str, str]]:
@@ -595,27 +567,19 @@ def leaves(value: Any, key: str = "") -> Iterator[tuple[str, str]]:
 
 
 def yaml_leaves(found: DataFrame, skip: tuple[str, ...] = ("hash",)) -> DataFrame:
-    """(path, key, value) of all leaves of YAML files, those named in ``skip`` left out."""
+    """(path, key, value, parse_error) of all leaves of YAML files, those named in ``skip`` left out."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(row: Any) -> list[dict]:
         import yaml
 
-        for frame in frames:
-            rows = []
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    rows += [(path, key, value) for key, value in leaves(yaml.safe_load(content)) if key.rpartition(".")[2] not in skip]
-                except yaml.YAMLError:
-                    continue
-            if rows:
-                yield pd.DataFrame(rows, columns=_columns(LEAF))
+        return [{"path": row.path, "key": key, "value": value} for key, value in leaves(yaml.safe_load(row.content)) if key.rpartition(".")[2] not in skip]
 
-    return found.select("path", "content").mapInPandas(run, LEAF)
+    return found.select("path", "content").mapInPandas(_runner(parse, _columns(LEAF)), LEAF)
 
 
 def yaml_records(found: DataFrame) -> DataFrame:
     """Records of YAML files, one to a file: uuid, type and all fields by their dotted keys."""
-    rows = yaml_leaves(found, ())
+    rows = yaml_leaves(found, ()).where("parse_error is null")
     grouped = rows.groupBy("path", "key").agg(F.collect_list("value").alias("values")).groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("key", "values"))).alias("fields"))
     first = lambda name: F.get(F.col("fields")[name], F.lit(0))
     return grouped.select(fn.bare_uuid(first("uuid")).alias("uuid"), F.coalesce(first("type"), F.lit("")).alias("type"), "path", "fields").where("uuid <> ''")

@@ -11,7 +11,7 @@ MANIFEST = (
     "identifiers map<string,array<string>>, keys array<string>, path string, parse_error string"
 )
 ANNOTATION = "id string, uri string, cid string, text_id string, edition string, anchor struct<marker_id:string,offset:string,length:string>, payload string, curation_state string, rating string, provenance struct<did:string,cid:string,created_at:string,supersedes:string>"
-TRANSLATION = "translation_id string, juan_seq int, ord int, corresp array<string>, text string"
+TRANSLATION = "translation_id string, juan_seq int, ord int, corresp array<string>, text string, parse_error string"
 SCAN = "cluster_id string, length int, occurrence_count int, text string, locations array<struct<textid:string,juan_seq:int,bucket:string,bucket_id:bigint,start:int,end:int>>"
 FRONTMATTER = "id string, title string, titlePinyin string, titleEnglish string, notBefore string, notAfter string, dzt_date string"
 DUPLICATIONS = (

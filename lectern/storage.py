@@ -1,8 +1,9 @@
 """Where intermediate tables live.
 
 Lineage is cut with Parquet tables in the shared folder that the session names
-in ``spark.checkpoint.dir``; only where that setting is unset (tests, a laptop)
-a folder of our own is used.
+in ``spark.checkpoint.dir``; only where that setting is unset and Spark is local
+(tests, a laptop) a folder of our own is used. On a cluster without it there is
+no folder that all executors share, and that is an error.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables of this session."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
+            raise RuntimeError(f"spark.checkpoint.dir has to name a folder that all executors of {master or 'this cluster'} share")
         place = os.path.join(tempfile.gettempdir(), "lectern-checkpoints")
     return place.rstrip("/")
 

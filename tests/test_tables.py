@@ -121,6 +121,9 @@ def test_annotations_and_translations(spark, tmp_path):
     write(tmp_path / "tr2/tr1_001.md", back)
     again = readers.translation_segments(readers.files(spark, str(tmp_path / "tr2"), "*.md")).orderBy("ord").collect()
     assert [(r["corresp"], r["text"]) for r in again] == [(["s1"], "Hello [x]"), (["s2", "s3"], "world")]
+    write(tmp_path / "tr3/bad_002.md", "---\nid: [broken\n---\n[a]{.seg}")
+    bad = readers.translation_segments(readers.files(spark, str(tmp_path / "tr3"), "*.md")).collect()
+    assert [(r["translation_id"], r["juan_seq"], r["text"]) for r in bad] == [("bad", 2, None)] and "ParserError" in bad[0]["parse_error"]
 
 
 SCROLL = "# a scroll\n#+PROPERTY: JUAN 卷一\n<pb:T_X_001-1a>¶\n** 序¶\n子曰，學&KR0012;而¶\n　時習之¶\n\n# note\n#+PROPERTY: JUAN 卷二\nabc不亦說乎¶\n"
@@ -142,6 +145,7 @@ def test_a_long_scroll_takes_linear_time():
 
     began = time.time()
     readers.scroll_sections("<pb:x>\n" + "子曰，學而時習之。" * 20_000, "T", "X", 1)
+    readers.scroll_sections("".join(f"<pb:{i}>子曰¶\n" for i in range(20_000)), "T", "X", 1)
     assert time.time() - began < 6
 
 
@@ -149,7 +153,9 @@ def test_markup(spark, tmp_path):
     tei = '<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><x>no</x></teiHeader><text><body><div><head>一</head><pb n="1a"/>子<app><lem>曰</lem><rdg wit="#A #B">云</rdg></app>學</div><div><lb n="1"/>二</div></body></text></TEI>'
     write(tmp_path / "a.xml", tei)
     write(tmp_path / "bad.xml", "<a>")
-    one, two = readers.tei(readers.files(spark, str(tmp_path), "*.xml")).orderBy("section").collect()
+    read = readers.tei(readers.files(spark, str(tmp_path), "*.xml"))
+    one, two = read.where("parse_error is null").orderBy("section").collect()
+    assert [r["path"].rpartition("/")[2] for r in read.where("parse_error is not null").collect()] == ["bad.xml"]
     assert (one["head"], one["text"], two["text"]) == ("一", "一子曰學".replace("一", "", 1) if one["text"] == "子曰學" else "一子曰學", "二")
     assert {(v["witness"], v["form"]) for v in one["variants"]} == {("A", "云"), ("B", "云")}
     write(tmp_path / "lex/w.xml", '<superEntry xml:id="uuid-1"><form><orth>乞</orth></form><entry><def>beg</def></entry></superEntry>')
@@ -282,7 +288,8 @@ def test_yaml_records_and_parallels(spark, tmp_path):
     write(tmp_path / "core/a.yml", "uuid: uuid-1\ntype: word\nform: {orth: 乞}\nsenses:\n- {def: beg}\n- {def: ask}\nhash: x\n")
     write(tmp_path / "core/b.yml", "[broken")
     found = readers.files(spark, str(tmp_path / "core"), "*.yml")
-    assert {(r["key"], r["value"]) for r in readers.yaml_leaves(found).collect()} == {("uuid", "uuid-1"), ("type", "word"), ("form.orth", "乞"), ("senses.def", "beg"), ("senses.def", "ask")}
+    assert {r["path"].rpartition("/")[2] for r in readers.yaml_leaves(found).where("parse_error is not null").collect()} == {"b.yml"}
+    assert {(r["key"], r["value"]) for r in readers.yaml_leaves(found).where("parse_error is null").collect()} == {("uuid", "uuid-1"), ("type", "word"), ("form.orth", "乞"), ("senses.def", "beg"), ("senses.def", "ask")}
     record = readers.yaml_records(found).first()
     assert (record["uuid"], record["type"], sorted(record["fields"]["senses.def"])) == ("1", "word", ["ask", "beg"])
     mark = "markers:\n  body:\n  - {offset: 2, length: 3, ref: 1h4/1/@0+3}\n  - {offset: 9, length: 3, ref: x}\n"
