@@ -9,12 +9,33 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.sources import schemas
 
 
+def write_files(rows: DataFrame, root: str) -> int:
+    """Write (path, content) rows as files below a folder of any store that Arrow knows; how many there are.
+
+    Each task writes its own files, and one that runs again writes the same ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                target = f"{base.rstrip('/')}/{path}"
+                store.create_dir(target.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(target) as out:
+                    out.write(content.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return rows.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def write_index(tables: dict[str, DataFrame], path: str, partition_by: dict[str, list[str]] | None = None) -> None:
     """All tables of an index, with the schema version beside them."""
     spark = next(iter(tables.values())).sparkSession

@@ -29,17 +29,23 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, removed when the session ends."""
+    path = f"{shared_dir(spark)}/lectern-{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_clean)
+    _written.append((spark, path))
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     The schema is handed to the reader, so an empty result keeps its columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lectern-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    if not _written:
-        atexit.register(_clean)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
