@@ -30,6 +30,16 @@ def tokens(label: str, morphemes: frozenset[str]) -> list[tuple[str, str, int, i
     return out
 
 
+def tokenised(label: Column, morphemes: frozenset[str]) -> Column:
+    """``tokens`` of a column of labels."""
+
+    @F.pandas_udf("array<struct<kind:string,text:string,start:int,end:int>>")
+    def of(labels: pd.Series) -> pd.Series:
+        return labels.map(lambda x: [dict(zip(("kind", "text", "start", "end"), t, strict=True)) for t in tokens(x or "", morphemes)])
+
+    return of(label)
+
+
 def diagnose(label: str, morphemes: frozenset[str]) -> list[tuple[str, str, int, int]]:
     """(severity, kind, start, end) of what is odd about a label."""
     found = []

@@ -116,10 +116,11 @@ def mapped_offsets(rows: DataFrame, offsets: str) -> DataFrame:
     return blocks.withColumn("mapped", F.transform(offsets, place)).drop("__b")
 
 
-def marker_parts(marker_id: str = "marker_id") -> Column:
+def marker_parts(marker_id: Column | str = "marker_id") -> Column:
     """struct(edition, seq) of a marker id ``text_edition_001-rest``; null when it is none."""
     pattern = r"_([^_]+)_(\d{3})-"
-    return F.when(F.col(marker_id).rlike(pattern), F.struct(F.regexp_extract(marker_id, pattern, 1).alias("edition"), F.regexp_extract(marker_id, pattern, 2).cast("int").alias("seq")))
+    marker_id = F.col(marker_id) if isinstance(marker_id, str) else marker_id
+    return F.when(marker_id.rlike(pattern), F.struct(F.regexp_extract(marker_id, pattern, 1).alias("edition"), F.regexp_extract(marker_id, pattern, 2).cast("int").alias("seq")))
 
 
 def repaired_attestations(rows: DataFrame, edits: Column) -> DataFrame:

@@ -394,11 +394,11 @@ def lexicon_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def device_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat elements of one file as rows, and those without a record they belong to."""
-    items = table(spark, sf_dir, "customer").select(_text('<ann id="', F.col("c_custkey"), '" device="', F.col("c_nationkey"), '">', F.col("c_name"), "</ann>").alias("value"))
-    path = scratch(spark, "devices")
-    items.write.text(path)
-    found = readers.xml_rows(spark, path, "ann", "_id long, _device int, _VALUE string").withColumnsRenamed({"_id": "id", "_device": "n_nationkey", "_VALUE": "name"})
+    """Flat elements of files as rows: those without a record they belong to."""
+    items = table(spark, sf_dir, "customer").select("c_mktsegment", _text('<ann id="', F.col("c_custkey"), '" device="', F.col("c_nationkey"), '">', F.col("c_name"), "</ann>").alias("ann"))
+    files = items.groupBy("c_mktsegment").agg(F.array_join(F.collect_list("ann"), "\n").alias("anns"))
+    root = _put(spark, "devices", files.select(_text(F.col("c_mktsegment"), ".xml").alias("path"), _text("<all>\n", F.col("anns"), "\n</all>").alias("content")))
+    found = readers.xml_rows(spark, root, "ann", "_id long, _device int, _VALUE string").withColumnsRenamed({"_id": "id", "_device": "n_nationkey", "_VALUE": "name"})
     return catalog.missing(found, table(spark, sf_dir, "nation").where("n_regionkey <> 2"), "n_nationkey").select("id", F.col("n_nationkey").alias("device"), "name")
 
 
@@ -499,8 +499,8 @@ ORACLE = {
     "scan_report": "select o_custkey::varchar as cluster_id, 'text of' || chr(10) || o_custkey as text, count(*) as occurrence_count, sum(dayofyear(o_orderdate))::bigint as starts from orders group by o_custkey",
     "scan_report_table": "select o_custkey::varchar as cluster_id, count(*) over (partition by o_custkey) as occurrence_count, o_orderpriority as textid, o_orderkey as bucket_id, dayofyear(o_orderdate) as \"start\" from orders",
     "duplication_round_trip": "select s_name as textid_a, 'N' || s_nationkey as textid_b, s_suppkey + 100 as chars_a, s_acctbal as coverage_a, '[' || s_nationkey || ']' as spans_a_json, if(n = 5, 'delete', null) as action, if(n = 5, 'me', null) as action_actor from (select *, row_number() over (order by s_suppkey) as n from supplier)",
-    "parallel_assets": "with " + BUCKETS + """, m as (select textid, juan_seq, bucket, length(text) as n, turn, unnest([{'s': 3, 'n': greatest(if(turn % 3 = 1, length(text) + turn - 3, 5) - 3, 0), 'r': textid || '/1/@0+5'}, {'s': 0, 'n': 1, 'r': 'x'}]) as m from b where bucket = 'body')
-  select textid, juan_seq, bucket, m.s::bigint as "start", (m.s + m.n)::bigint as "end", m.r as to_ref from m where m.s + m.n <= n""",
+    "parallel_assets": "with " + BUCKETS + """, m as (select textid, juan_seq, bucket, length(text) as chars, turn, unnest([{'s': 3, 'n': greatest(if(turn % 3 = 1, length(text) + turn - 3, 5) - 3, 0), 'r': textid || '/1/@0+5'}, {'s': 0, 'n': 1, 'r': 'x'}]) as m from b where bucket = 'body')
+  select textid, juan_seq, bucket, m.s::bigint as "start", (m.s + m.n)::bigint as "end", m.r as to_ref from m where m.s + m.n <= chars""",
     "scroll_import": f"select 'T' || s_suppkey as textid, '卷' || {NAME} as head, {NAME} || {NAME} || chr(1069068) || {NAME} || {NAME} || {NAME} as text from supplier",
     "scroll_markers": """with p as (select unnest(['page-break', 'line-break', 'punctuation', 'head', 'line-break', 'line-break', 'indent', 'non-cjk', 'page-break', 'line-break']) as type, unnest([0, 0, 6, 12, 12, 19, 19, 19, 25, 25]) as "offset",
     unnest(['a', 'a01', '', 'h', 'a02', 'a03', '', '', 'b', 'b01']) as i, unnest(['', '', '，', '序', '', '', '　', 'abc', '', '']) as content)
