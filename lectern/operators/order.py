@@ -52,7 +52,7 @@ def stratified(rows: DataFrame, stratum: str, key: str, target: int, seed: int =
     """An exact stratified sample: within a stratum by the hash of the key and the seed."""
     counts = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
     chosen = F.row_number().over(Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key))
-    return rows.withColumn("__rank", chosen).join(F.broadcast(quotas(counts, stratum, target).drop("n")), stratum).where("__rank <= quota").drop("__rank", "quota")
+    return rows.withColumn("__rank", chosen).join(quotas(counts, stratum, target).drop("n"), stratum).where("__rank <= quota").drop("__rank", "quota")
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:

@@ -37,11 +37,11 @@ def kwic_sql(q: str) -> str:
 
 
 def kwic_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(search.kwic(search.hits_of(sources(spark, sf_dir), "the ")), "master_offset").select(HIT)
+    return _long(search.search(sources(spark, sf_dir), "the "), "master_offset").select(HIT)
 
 
 def kwic_short_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(search.kwic(search.hits_of(sources(spark, sf_dir), "ßu")), "master_offset").select(HIT)
+    return _long(search.search(sources(spark, sf_dir), "ßu"), "master_offset").select(HIT)
 
 
 def kwic_textid_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def kwic_textid_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sorted(spark: SparkSession, sf_dir: str, sort: str) -> DataFrame:
-    hits = search.kwic(search.hits_of(sources(spark, sf_dir), "tionth"))
+    hits = search.search(sources(spark, sf_dir), "tionth")
     if sort == "date":
         # the smallest document of a source stands in for its date; sources without one are last
         dates = table(spark, sf_dir, "documents").where("n_chars < 400").groupBy(F.col("source").alias("textid")).agg(F.min("n_chars").alias("index_date"))
@@ -79,7 +79,7 @@ def sorted_sql(keys: str, dates: bool = False) -> str:
 
 
 def kwic_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(search.kwic(search.near(sources(spark, sf_dir), "with", "from", 30)), "master_offset").select(HIT)
+    return _long(search.search(sources(spark, sf_dir), "with NEAR from", distance=30), "master_offset").select(HIT)
 
 
 def kwic_not(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +103,7 @@ REGEX_SQL = """with h as (select doc_id as bucket_id, source as textid, lang as
 
 
 def kwic_closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.kwic(search.hits_of(sources(spark, sf_dir), "555-5"))
+    hits = search.search(sources(spark, sf_dir), "555-5")
     return _long(search.closeness(hits, "555-5"), "master_offset").select(*HIT, "position")
 
 
@@ -138,7 +138,7 @@ def extensions_right(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _faceted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.neighbours(search.kwic(search.hits_of(sources(spark, sf_dir), "tion")))
+    hits = search.neighbours(search.search(sources(spark, sf_dir), "tion"))
     return search.facets(hits, ["textid", "kind", "left_char", "right_char", "left_bigram", "right_bigram", "around"])
 
 
@@ -175,14 +175,14 @@ def search_textids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hit_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.neighbours(search.kwic(search.hits_of(sources(spark, sf_dir), "tion")))
+    hits = search.neighbours(search.search(sources(spark, sf_dir), "tion"))
     kept = search.filtered(hits, {"kind": ["en", "fr"], "left_char": ["a", "e", " "]}, {"textid": ["src0", "src2"], "right_char": ["s"]})
     return _long(kept.where(search.matches_section(F.col("textid"), ["src1"])), "master_offset").select(HIT)
 
 
 def kwic_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of fifty hits."""
-    hits = search.kwic(search.hits_of(sources(spark, sf_dir), "tionth"))
+    hits = search.search(sources(spark, sf_dir), "tionth")
     return _long(order.page(hits, search.order_keys("textid"), 50, 50), "master_offset").select(HIT)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as fn
+from lectern.functions.udfs import align_ops as align
 from lectern.operators import annotations, chars, curation, intervals, order, slices, validate, voices, witness
 from lectern.plans.search_queries import _turns, sources
 from lectern.storage import table
@@ -201,23 +202,29 @@ def section_merge_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multi_delete_rebase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations without three spans, two of which overlap."""
+    """Conversations without three spans, two of which overlap; each span ends where its text does."""
     span = lambda a, b: F.struct(F.least(F.lit(a), F.length("text")).cast("int").alias("start"), F.least(F.lit(b), F.length("text")).cast("int").alias("end"))
     rows = _marked(spark, sf_dir).withColumn("spans", F.array(span(400, 450), span(50, 90), span(80, 200)))
     cut = slices.delete_spans(rows)
     return cut.select("bucket_id", F.md5("text").alias("digest"), F.array_join(F.transform("markers", lambda m: F.concat(m["id"], F.lit("@"), m["offset"].cast("string"))), ",").alias("markers"))
 
 
-DELETE = "with " + MARKED + """, k as (select bucket_id, md5(substring(text, 1, 50) || substring(text, 201, 200) || substring(text, 451)) as digest, length(text) as n from x),
-  m as (select bucket_id, 't' || turn as id, o, turn, n from t join k using (bucket_id) where not (o >= 50 and o < 200) and not (o >= 400 and o < 450)),
-  r as (select bucket_id, string_agg(id || '@' || (o - if(o >= 200, 150, 0) - if(o >= 450, 50, 0)), ',' order by turn) as markers from m where n >= 450 group by bucket_id)
-  select bucket_id, digest, coalesce(markers, '') as markers from k left join r using (bucket_id) where n >= 450"""
+DELETE = "with " + MARKED + """, k as (select bucket_id, md5(substring(text, 1, 50) || substring(text, 201, 200) || substring(text, 451)) as digest, least(50, length(text)) as a, least(200, length(text)) as b, least(400, length(text)) as c, least(450, length(text)) as d from x),
+  m as (select bucket_id, turn, 't' || turn || '@' || (o - if(b <= o, b - a, 0) - if(d <= o, d - c, 0)) as id from t join k using (bucket_id) where not (o >= a and o < b) and not (o >= c and o < d)),
+  r as (select bucket_id, string_agg(id, ',' order by turn) as markers from m group by bucket_id)
+  select bucket_id, digest, coalesce(markers, '') as markers from k left join r using (bucket_id)"""
 
 
-def multi_delete_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``multi_delete_rebase``, for texts that all three spans lie in."""
-    long_ones = _marked(spark, sf_dir).where(F.length("text") >= 450).select("bucket_id")
-    return multi_delete_rebase(spark, sf_dir).join(long_ones, "bucket_id")
+def align_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least-edit scripts between the names of neighbouring parts: what they make of the first, and their edits."""
+    part = table(spark, sf_dir, "part")
+    pairs = part.select("p_partkey", F.col("p_name").alias("a")).join(part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("b")), "p_partkey")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    kept = lambda acc, op: F.struct((acc["at"] + op["n"]).alias("at"), F.concat(acc["out"], fn.slice_text("a", acc["at"], op["n"])).alias("out"))
+    changed = lambda acc, op: F.struct((acc["at"] + F.length(op["a"])).alias("at"), F.concat(acc["out"], op["b"]).alias("out"))
+    ops = pairs.withColumn("ops", align("a", "b"))
+    made = F.aggregate("ops", start, lambda acc, op: F.when(op["op"] == "=", kept(acc, op)).otherwise(changed(acc, op)), lambda acc: acc["out"])
+    return ops.select("p_partkey", made.alias("made"), F.size(F.filter("ops", lambda op: op["op"] != "=")).cast("bigint").alias("edits"))
 
 
 def splice_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -429,7 +436,7 @@ def feed_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NAMES = (
     interval_merge, gap_lag, seg_lead, run_length, last_anchor, paren_depth, gap_clusters, running_ids, nearest_row, char_survey, block_rollup, char_findings, canonicalise_query, subst_markers, subst_revert, char_unmapped, variant_pairs,
-    text_dossier, slice_offset, slice_rebase_markers, slice_between_markers, section_merge_offsets, multi_delete_long, splice_positions, witness_texts, voice_parens, ann_counts_with_zeros, ann_locations, anchor_unique_match,
+    text_dossier, slice_offset, slice_rebase_markers, slice_between_markers, section_merge_offsets, multi_delete_rebase, align_ops, splice_positions, witness_texts, voice_parens, ann_counts_with_zeros, ann_locations, anchor_unique_match,
     consensus_delta, anchor_status, translation_align, translation_search_facets, validate_seq_unique, validate_bounds, validate_orphans, validate_idset_diff, validate_report, index_drift, stratified_sample_quota, curation_winner,
     feed_upsert_delete, feed_snapshot,
 )
@@ -457,7 +464,8 @@ ORACLE = {
     "slice_rebase_markers": "with " + MARKED + " select t.bucket_id, 't' || turn as id, o - 100 as \"offset\" from t join x using (bucket_id) where length(x.text) >= 100 and o >= 100 and o < 100 + least(length(x.text) - 100, 900)",
     "slice_between_markers": "with " + MARKED + " select x.bucket_id, string_agg(t.text, '' order by turn) filter (where turn = 1 and exists (select 1 from t t2 where t2.bucket_id = t.bucket_id and t2.turn = 2)) as text from x join t using (bucket_id) group by x.bucket_id",
     "section_merge_offsets": "with t as (select conv_id, turn, text, coalesce(sum(length(text)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0)::bigint as o from conversations) select conv_id, sum(length(text))::bigint as chars, string_agg(o::varchar, ',' order by turn) as offsets from t group by conv_id",
-    "multi_delete_long": DELETE,
+    "multi_delete_rebase": DELETE,
+    "align_ops": "select a.p_partkey, b.p_name as made, levenshtein(a.p_name, b.p_name) as edits from part a join part b on b.p_partkey = a.p_partkey + 1",
     "splice_positions": "select p_partkey, substring(left(p_name, 3) || 'XY' || substring(p_name, 4), 3) as text, 5::bigint as position, 4::bigint as \"start\", false as conflict from part",
     "witness_texts": WITNESS,
     "voice_parens": PARENS,

@@ -67,13 +67,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SMALL_MB = 4
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """``rows``, dealt out to all cores if there are too few megabytes for each of them.
+def spread(rows: DataFrame, below_mb: int = SMALL_MB) -> DataFrame:
+    """``rows``, dealt out to all cores if there are fewer than ``below_mb`` megabytes for each of them.
 
     Such a file has one row group or two, whatever its splits, and work on long
     texts would wait for the one task that has them. Larger inputs are left as
-    they are, so nothing large is ever shuffled for this.
+    they are, so nothing large is ever shuffled for this; 0 deals out nothing.
+    Where a session does not tell the size (a remote client), rows stay as they are.
     """
+    plan = getattr(rows, "_jdf", None)
+    if plan is None or below_mb <= 0:
+        return rows
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(cores) if size < cores * (SMALL_MB << 20) else rows
+    size = int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * (below_mb << 20) else rows

@@ -1,10 +1,12 @@
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as fn
 from lectern.functions import udfs
+from lectern.operators import search
 from lectern.plans import parse
 
 
@@ -133,8 +135,63 @@ def test_anchors_are_in_every_match(pattern, want):
     assert parse.anchor(pattern, re.IGNORECASE) is None
 
 
+def test_expressions_that_ignore_case_have_no_anchor(spark):
+    """A letter after the slash and a flag in the expression are one; no text is passed over for its spelling."""
+    assert parse.parse("/(?i)hello/").anchor is None and parse.parse("/hello/i").anchor is None
+    assert parse.parse("/(?s)hello/").anchor == "hello"
+    assert parse.parse("/(?i:he)llo/").anchor == "llo"
+    rows = spark.createDataFrame([(1, "a", "x", "Hello there"), (2, "a", "x", "hello"), (3, "a", "x", "no")], "bucket_id long, textid string, kind string, text string")
+    found = search.search(rows, "/(?i)hello/", scope=["a"]).collect()
+    assert sorted((r["bucket_id"], r["match"]) for r in found) == [(1, "Hello"), (2, "hello")]
+
+
+@pytest.mark.parametrize("text", ["/a/b/", r"/a\/b/i", r"/\\/", "/a/i", "/[/]x/", "/a\nb/s"])
+def test_expressions_end_at_the_last_slash_left(text):
+    end = max(i for i, c in enumerate(text) if c == "/" and not parse.is_escaped(text, i))
+    assert parse.parse(text).pattern == text[1:end]
+
+
 def test_escapes_and_scope():
     assert parse.is_escaped(r"a\/", 2) and not parse.is_escaped(r"a\\/", 3)
     with pytest.raises(parse.QueryError):
         parse.check_scope(parse.parse("/a|b/"), False)
     parse.check_scope(parse.parse("/a|b/"), True)
+
+
+def test_positions_of_many_occurrences(spark):
+    """More occurrences than one running sum takes, overlapping ones too."""
+    text = "aab" * 700 + "é" + "aa" * 400
+    rows = spark.createDataFrame([(text,), ("",), (None,), ("a",)], "text string")
+    for query in ("a", "aa", "b", "ba", "é"):
+        want = [i for i in range(len(text)) if text.startswith(query, i)]
+        got = [r[0] for r in rows.select(fn.positions("text", query)).collect()]
+        assert got[0] == want and got[1] == [] and got[3] == ([0] if query == "a" else [])
+
+
+def test_near_offsets_against_brute_force():
+    import random
+
+    rng = random.Random(8)
+    for _ in range(200):
+        n, m, d = rng.randrange(1, 4), rng.randrange(1, 4), rng.randrange(6)
+        own, other = (sorted(rng.sample(range(60), rng.randrange(8))) for _ in range(2))
+        for negate in (False, True):
+            want = [p for p in own if any(max(p - (q + m), q - (p + n), 0) <= d for q in other) != negate]
+            got = udfs.near_offsets(n, m, d, negate).func(pd.Series([own]), pd.Series([other]))[0]
+            assert got.tolist() == want
+
+
+def test_chain_of_shared_characters_against_brute_force():
+    import random
+
+    rng = random.Random(6)
+    for _ in range(40):
+        contexts = ["".join(rng.choice("abcdefg") for _ in range(rng.randrange(8))) for _ in range(rng.randrange(1, 12))]
+        sets = [frozenset(c) - {"a"} for c in contexts]
+        totals = [sum(len(x & y) for j, y in enumerate(sets) if j != i) for i, x in enumerate(sets)]
+        order, left = [], set(range(len(sets)))
+        while left:
+            last = sets[order[-1]] if order else frozenset()
+            order.append(min(left, key=lambda i: (-len(last & sets[i]), -totals[i], i)))
+            left.discard(order[-1])
+        assert search._chain(contexts, {"a"}) == order

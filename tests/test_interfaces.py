@@ -60,3 +60,16 @@ def test_command_line(spark, data, capsys, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() > 0
     with pytest.raises(SystemExit):
         command.main(["run", "nothing", "--data", data])
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from lectern import storage
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = {k.replace("__", "."): v for k, v in conf.items()}
+
+    assert storage.shared_dir(Session(spark__checkpoint__dir="hdfs://x/y/", spark__master="spark://h")) == "hdfs://x/y"
+    assert storage.shared_dir(Session(spark__master="local[4]")).endswith("lectern-checkpoints")
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        storage.shared_dir(Session(spark__master="spark://h"))

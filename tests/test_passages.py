@@ -201,3 +201,48 @@ def test_estimate_scales_a_sample(spark):
     rows = sources(spark, *["some words of a text that is long enough " + str(i) for i in range(50)])
     guess = passages.estimate(rows, 6, 12, 1.0)
     assert guess["sources"] == 50 and guess["anchors"] == passages.winnow(rows, 6, 12).count()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_reach_against_all_alignments(seed):
+    """The farthest common start within a budget, ended on agreement or where a text ends, by trying all pairs of ends."""
+    rng = random.Random(seed)
+    for _ in range(40):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(1, 9))) for _ in range(2))
+        rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                rows[i][j] = max(i, j) if not i or not j else min(rows[i - 1][j - 1] + (a[i - 1] != b[j - 1]), rows[i - 1][j] + 1, rows[i][j - 1] + 1)
+        x, y = (np.frombuffer(t.encode("utf-32-le"), dtype="<u4") for t in (a, b))
+        for budget in range(4):
+            ends = [i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if rows[i][j] <= budget and (i == len(a) or j == len(b) or i and j and a[i - 1] == b[j - 1] and rows[i][j] == rows[i - 1][j - 1])]
+            i, j, used = passages.reach(x, y, budget)[budget]
+            assert rows[i][j] <= used <= budget
+            assert i + j <= max([0, *ends])
+            assert i + j >= max([0, *ends]) - budget  # of frontiers the farthest in a text counts, which may differ from the longest by the budget
+
+
+@pytest.mark.parametrize("edits", [0, 1])
+def test_spans_do_not_depend_on_blocks(spark, monkeypatch, edits):
+    rng = random.Random(11)
+    shared = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(15, 40))) for _ in range(4)]
+    texts = ["".join(rng.choice(shared) if rng.random() < 0.5 else "".join(rng.choice("uvwxyz") for _ in range(rng.randrange(8))) for _ in range(6)) for _ in range(15)] + [shared[0] * 3, "", None]
+    rows = sources(spark, *texts)
+    found = []
+    for block, least in ((1_000_000, 1), (1_000_000, 6), (60, 1)):
+        monkeypatch.setattr(passages, "BLOCK", block)
+        monkeypatch.setattr(passages, "LEAST_BLOCKS", least)
+        found.append(sorted(map(repr, passages.scan(rows, 5, 12, 10_000, edits).collect())))
+    assert found[0] == found[1] == found[2] and found[0]
+    hashes = {(r["passage"], texts[r["bucket_a"]][r["start_a"] : r["end_a"]]) for r in passages.scan(rows, 5, 12, 10_000).collect()}
+    assert len({h for h, _ in hashes}) == len({t for _, t in hashes}) == len(hashes)
+
+
+def test_minhash_estimates_similarity(spark):
+    a = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(300))
+    rows = sources(spark, a, a, a[: len(a) * 9 // 10] + "zzz" * 20, "q" * 3, None, "completely other words, nothing in common at all here")
+    found = {(r["bucket_a"], r["bucket_b"]): r["similarity"] for r in passages.similar_pairs(passages.minhash(rows)).collect()}
+    assert found[0, 1] == 1.0
+    grams = [{t[i : i + 5] for i in range(len(t) - 4)} for t in (a, a[: len(a) * 9 // 10] + "zzz" * 20)]
+    assert abs(found[0, 2] - len(grams[0] & grams[1]) / len(grams[0] | grams[1])) < 0.15
+    assert not any(4 in pair or 5 in pair for pair in found)

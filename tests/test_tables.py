@@ -309,3 +309,11 @@ def test_bundles_round_trip(spark, corpus, tmp_path):
     assert sorted(map(key, again.collect())) == sorted(map(key, buckets.collect()))
     made = readers.manifests(readers.discover(spark, str(tmp_path / "out")))
     assert {r["textid"] for r in made.where("parts[0].filename = concat(textid, '_001.yaml')").collect()} == {"KR1a0001", "KR1a0002", "KR2b0001"}
+
+
+def test_files_are_written_and_read_again(spark, tmp_path):
+    rows = spark.createDataFrame([("a/x.txt", "子曰\n"), ("a/b/y.txt", "y"), ("z.txt", "end")], "path string, content string")
+    for _ in range(2):  # once more writes the same files
+        assert sinks.write_files(rows, str(tmp_path / "out")) == 3
+    found = readers.files(spark, str(tmp_path / "out"), "*.txt").collect()
+    assert {(r["path"].split("/out/")[1], r["content"]) for r in found} == {tuple(r) for r in rows.collect()}
