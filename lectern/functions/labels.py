@@ -30,6 +30,37 @@ def tokens(label: str, morphemes: frozenset[str]) -> list[tuple[str, str, int, i
     return out
 
 
+def tree(label: str, morphemes: frozenset[str]) -> list[tuple[int, int | None, str, str, int, int]]:
+    """(node, parent, kind, text, start, end) of a label's syntax tree, a node before its children.
+
+    Brackets are groups that hold what stands in them; a group that is never
+    closed ends with the label, and a closing sign without one is a leaf.
+    """
+    nodes: list[list] = [[0, None, "label", label, 0, len(label)]]
+    inside = [0]
+    for kind, text, start, end in tokens(label, morphemes):
+        if kind == "close" and len(inside) > 1 and PAIRS[nodes[inside[-1]][3]] == text:
+            nodes[inside.pop()][5] = end
+            continue
+        nodes.append([len(nodes), inside[-1], "group" if kind == "open" else kind, text, start, len(label) if kind == "open" else end])
+        if kind == "open":
+            inside.append(len(nodes) - 1)
+    for node in nodes:
+        if node[2] == "group":
+            node[3] = label[node[4] : node[5]]
+    return [tuple(node) for node in nodes]
+
+
+def trees(label: Column, morphemes: frozenset[str]) -> Column:
+    """``tree`` of a column of labels."""
+
+    @F.pandas_udf("array<struct<node:int,parent:int,kind:string,text:string,start:int,end:int>>")
+    def of(labels: pd.Series) -> pd.Series:
+        return labels.map(lambda x: [dict(zip(("node", "parent", "kind", "text", "start", "end"), n, strict=True)) for n in tree(x or "", morphemes)])
+
+    return of(label)
+
+
 def tokenised(label: Column, morphemes: frozenset[str]) -> Column:
     """``tokens`` of a column of labels."""
 

@@ -6,6 +6,8 @@ so slicing and rebasing are array expressions on one row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +78,27 @@ def fulfil(pins: DataFrame, corpus: DataFrame) -> DataFrame:
     )
 
 
+def render(rows: DataFrame, template: str, missing: str = "") -> DataFrame:
+    """``rows`` with ``rendered``: a template whose ``{{ name }}`` are columns of the row, all others as it stands.
+
+    The template becomes one expression, so rows are rendered where they lie. An
+    unknown name is refused; a null is ``missing``.
+    """
+    parts = re.split(r"\{\{\s*([A-Za-z_]\w*)\s*\}\}", template)
+    unknown = sorted(set(parts[1::2]) - set(rows.columns))
+    if unknown:
+        raise ValueError(f"the template names {unknown}, which are no columns")
+    shown = [F.coalesce(F.col(part).cast("string"), F.lit(missing)) if i % 2 else F.lit(part) for i, part in enumerate(parts)]
+    return rows.withColumn("rendered", F.concat(*shown))
+
+
+def dataset(rows: DataFrame, keys: list[str], template: str, order: list[str], between: str = "\n") -> DataFrame:
+    """(keys, rendered): rows of each key rendered and joined in order."""
+    entry = F.struct(*order, F.col("rendered").alias("__r"))
+    grouped = render(rows, template).groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("parts"))
+    return grouped.select(*keys, F.array_join(F.transform("parts", lambda p: p["__r"]), between).alias("rendered"))
+
+
 def collect_markers(rows: DataFrame, kind: str, context: int = 10) -> DataFrame:
     """(keys, offset, id, text, left, right) of all markers of a type, in order."""
     found = rows.withColumn("m", F.explode(F.filter("markers", lambda m: m["type"] == kind)))

@@ -134,6 +134,12 @@ FULFIL = """with r as (select p_partkey, p_name, p_size as n, p_size % 6 = 0 and
   select p_partkey as pin, if(n % 6 = 0, -p_partkey - 1, p_partkey)::varchar as textid, if(gone or l < 0 or o + l > length(p_name), null, substring(p_name, o + 1, l)) as text, if(gone, null, n % 4 <> 0) as verified, if(gone, 'not_found', if(l < 0 or o + l > length(p_name), 'out_of_range', null)) as error from r"""
 
 
+def recipe_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations with their customers, by a template for each row."""
+    rows = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select("c_nationkey", "c_custkey", "c_name", F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("segment"))
+    return slices.dataset(rows, ["c_nationkey"], "{{c_custkey}}: {{ c_name }} {of {{segment}}}", ["c_custkey"])
+
+
 def marker_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All turns of the user with what stands around them."""
     found = slices.collect_markers(_bundle_rows(spark, sf_dir).select("textid", "text", "markers"), "user", 5)
@@ -453,7 +459,7 @@ def point_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMES = (
-    toc_rebuild, alternative_ids, section_move, attestation_repair, front_to_body, opening_split, heading_classes, aligned_variants, mapped_offsets, recipe_fulfil, marker_collect, marker_ids, link_rebase, parallels_page, parallel_lengths,
+    toc_rebuild, alternative_ids, section_move, attestation_repair, front_to_body, opening_split, heading_classes, aligned_variants, mapped_offsets, recipe_fulfil, recipe_render, marker_collect, marker_ids, link_rebase, parallels_page, parallel_lengths,
     remote_options, corpus_info, bundle_counts, catalog_filter, identifier_resolution, missing_imports, local_remote, stale_indexes, next_serials, rejected_rows, marker_resolution, annotation_context, merge_by_content, archive_rows,
     commit_parse, judgment_parse, feed_enrichment, core_upsert, entries_full, concept_words, sense_walk, tree_differences, voice_problems, voice_replace, negative_offsets, duplicate_filter, first_wins, nocase_order, group_tops, point_occurrences,
 )
@@ -470,6 +476,7 @@ ORACLE = {
     "aligned_variants": VARIANTS,
     "mapped_offsets": "select p_partkey, '0,0,0,3,' || length(p_name) as mapped from part",
     "recipe_fulfil": FULFIL,
+    "recipe_render": "select c_nationkey, string_agg(c_custkey || ': ' || c_name || ' {of ' || if(c_custkey % 2 = 0, c_mktsegment, '') || '}', chr(10) order by c_custkey) as rendered from customer where c_acctbal > 9000 group by c_nationkey",
     "marker_collect": COLLECT,
     "marker_ids": MARKER_IDS,
     "link_rebase": """with r as (select p_brand as textid, p_partkey, p_partkey % 20 as o, regexp_matches(p_brand, '[147]$') as edited from part)

@@ -219,6 +219,19 @@ LINT = """with f as (select lpad(p_partkey::varchar, 9, '0') as uuid, case p_siz
   union all select uuid, code, 'warning', 'duplicate-code', 0, 0 from d where place > 1 and code <> ''"""
 
 
+def label_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Syntax trees of labels with nested brackets, as nodes with their parents."""
+    label = _text("[", F.col("p_type"), "(", F.col("p_size"), ")]+", F.when(F.col("p_size") % 2 == 0, ")").otherwise("("))
+    rows = _part(spark, sf_dir).select("p_partkey", F.explode(labels.trees(label, _morphemes(spark, sf_dir))).alias("t"))
+    return _wide(rows.select("p_partkey", "t.*"), "node", "parent", "start", "end")
+
+
+TREES = """with p as (select p_partkey, p_type as k, p_size::varchar as s, p_size % 2 = 0 as even, length(p_type) as n, length(p_size::varchar) as m, '[' || p_type || '(' || p_size || ')]+' || if(p_size % 2 = 0, ')', '(') as label from part)
+  select p_partkey, 0::bigint as node, null::bigint as parent, 'label' as kind, label as text, 0::bigint as "start", length(label) as "end" from p union all select p_partkey, 1, 0, 'group', '[' || k || '(' || s || ')]', 0, n + m + 4 from p
+  union all select p_partkey, 2, 1, 'atom', k, 1, n + 1 from p union all select p_partkey, 3, 1, 'group', '(' || s || ')', n + 1, n + m + 3 from p union all select p_partkey, 4, 3, 'number', s, n + 2, n + m + 2 from p
+  union all select p_partkey, 5, 0, 'connector', '+', n + m + 4, n + m + 5 from p union all select p_partkey, 6, 0, if(even, 'close', 'group'), if(even, ')', '('), n + m + 5, n + m + 6 from p"""
+
+
 def label_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels split into tokens: morphemes, connectors, brackets and numbers."""
     label = _text("(", F.col("p_type"), " + ", F.col("p_size"), ")...zz")
@@ -305,7 +318,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_folds, entity_round_trip, text_id_forms, short_refs, section_codes, centuries, content_hashes, id_parts, body_chars, range_checks, private_use, charset_check, lemma_repeats, punctuation_weave, query_modes,
-        kwic_regex_ignore_case, hit_neighbours, hit_recipes, overview_switch, label_lint, label_tokens, located_passages, duplication_detail, directed_markers, cluster_order, scan_estimate, stored_lookup, connected_sources, covered_chars,
+        kwic_regex_ignore_case, hit_neighbours, hit_recipes, overview_switch, label_lint, label_trees, label_tokens, located_passages, duplication_detail, directed_markers, cluster_order, scan_estimate, stored_lookup, connected_sources, covered_chars,
     )
 }
 ORACLE = {
@@ -332,6 +345,7 @@ ORACLE = {
     "hit_recipes": kwic_sql("555-5") + " select textid as id, 'match' as role, bucket_id as bucket, master_offset as \"offset\", 5::bigint as length from k",
     "overview_switch": kwic_sql("the ") + " select cap, (select count(*) from h) > cap as over from (values (100::bigint), (1000000000::bigint)) t(cap)",
     "label_lint": LINT,
+    "label_trees": TREES,
     "label_tokens": TOKENS,
     "located_passages": "select md5(text) as cluster, doc_id as bucket_id, substring(text, 31, 20) as \"left\", substring(text, 51, 30) as passage, substring(text, 81, 20) as \"right\" from documents where length(text) >= 100",
     "duplication_detail": """with d as (select doc_id, text from documents where length(text) >= 100) select x.doc_id as bucket_a, y.doc_id as bucket_b, left(x.text, 5) as head_a, substring(x.text, 6, 30) as span_a, substring(x.text, 36, 25) as tail_a,

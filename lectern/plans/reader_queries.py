@@ -379,6 +379,32 @@ def tei_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _wide(rows.select("textid", "v.offset", "v.length", "v.witness", "v.form"), "offset", "length")
 
 
+def tei_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections written as TEI files with milestones and apparatus, and read again: what they were."""
+    given = _tei(spark, sf_dir).where("parse_error is null").drop("path", "parse_error")
+    made = sinks.tei_documents(given)
+    root = _put(spark, "tei", made.select(_text(F.col("textid"), ".xml").alias("path"), "content"))
+    found = readers.tei(readers.files(spark, root, "*.xml")).withColumn("textid", F.regexp_extract("path", r"([^/]+)\.xml$", 1))
+    shown = lambda items, *names: F.array_join(F.transform(items, lambda x: F.concat_ws("/", *[x[n].cast("string") for n in names])), ",")
+    rows = found.select("textid", "section", "head", "text", shown("markers", "type", "offset", "id").alias("markers"), shown("variants", "offset", "length", "witness", "form").alias("variants"))
+    return _wide(rows, "section")
+
+
+def tei_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the headers of TEI files say of their texts."""
+    key = F.col("s_suppkey")
+    content = _text('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title level="m" xml:lang="zh">T', key, '</title><author>', F.col("s_name"), '</author><respStmt><resp>edited by</resp><name>N', F.col("s_nationkey"), '</name></respStmt></titleStmt><extent>', key % 7, ' scrolls</extent><publicationStmt><idno type="vol">', key, '</idno><idno type="no">x</idno><date when="1999">of old</date></publicationStmt></fileDesc></teiHeader><text><title>not this</title></text></TEI>')
+    rows = table(spark, sf_dir, "supplier").select(_text("h", key, ".xml").alias("path"), content.alias("content"))
+    found = readers.tei_headers(readers.files(spark, _put(spark, "headers", rows), "*.xml"))
+    return found.select(F.regexp_extract("path", r"([^/]+)\.xml$", 1).alias("textid"), F.get("titles.text", F.lit(0)).alias("title"), F.get("titles.lang", F.lit(0)).alias("lang"), F.size("titles").cast("bigint").alias("titles"), F.col("identifiers")["vol"].alias("volume"), F.array_join(F.transform("people", lambda p: F.concat_ws(": ", p["role"], p["name"])), "; ").alias("people"), "extent", "date")
+
+
+def corpus_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes of three corpora as one: of the same id the first corpus's stays."""
+    notes = lambda where, origin: table(spark, sf_dir, "customer").where(where).select("c_custkey", "c_name", F.lit(origin).alias("corpus"))
+    return sinks.merged_corpus([notes("c_custkey % 3 = 0", "one"), notes("c_custkey % 2 = 0", "two"), notes("c_nationkey < 20", "three")], "c_custkey")
+
+
 def xml_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as XML elements, and their fields as read from these again."""
     made = sinks.to_xml(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"))
@@ -464,7 +490,7 @@ QUERIES = {
     for f in (
         bundle_discover, bundle_lookup, bundle_manifests, juan_scan, marker_union, marker_split, bundle_sections, edition_union, edition_merge, text_id_list, catalog_csv, manifest_identifiers, manifest_keys, manifest_strings,
         validation_load, translation_round_trip, translation_xml, annotation_scan, core_labels, core_links, core_index, record_write, scan_report, scan_report_table, duplication_round_trip, parallel_assets, scroll_import,
-        scroll_markers, scroll_export, tei_import, tei_variants, xml_export, lexicon_scan, device_rows, record_listing, listing_parse, harvest, record_events,
+        scroll_markers, scroll_export, tei_import, tei_variants, tei_export, tei_headers, corpus_merge, xml_export, lexicon_scan, device_rows, record_listing, listing_parse, harvest, record_events,
     )
 }
 NAME = "translate(lpad(s_suppkey::varchar, 6, '0'), '0123456789', '零一二三四五六七八九')"
@@ -509,6 +535,10 @@ ORACLE = {
     "tei_import": """select 't' || s_suppkey as textid, 0::bigint as section, 'H' || s_suppkey as head, 'abcef' as text, 'head@0,page-break@0' as markers, false as broken from supplier where s_suppkey % 9 <> 4
   union all select 't' || s_suppkey, 1, '', 'z' || s_suppkey, 'line-break@0', false from supplier where s_suppkey % 9 <> 4 union all select 't' || s_suppkey, null, null, null, null, true from supplier where s_suppkey % 9 = 4""",
     "tei_variants": "select 't' || s_suppkey as textid, 2::bigint as \"offset\", 1::bigint as length, unnest(['A', 'B']) as witness, 'd' || s_suppkey as form from supplier where s_suppkey % 9 <> 4",
+    "tei_export": """select 't' || s_suppkey as textid, 0::bigint as section, 'H' || s_suppkey as head, 'abcef' as text, 'head/0/,page-break/0/' || s_suppkey || 'a' as markers, '2/1/A/d' || s_suppkey || ',2/1/B/d' || s_suppkey as variants from supplier where s_suppkey % 9 <> 4
+  union all select 't' || s_suppkey, 1, '', 'z' || s_suppkey, 'line-break/0/1', '' from supplier where s_suppkey % 9 <> 4""",
+    "tei_headers": "select 'h' || s_suppkey as textid, 'T' || s_suppkey as title, 'zh' as lang, 1::bigint as titles, s_suppkey::varchar as volume, 'author: ' || s_name || '; edited by: N' || s_nationkey as people, s_suppkey % 7 || ' scrolls' as extent, '1999' as date from supplier",
+    "corpus_merge": "select c_custkey, c_name, case when c_custkey % 3 = 0 then 'one' when c_custkey % 2 = 0 then 'two' else 'three' end as corpus from customer where c_custkey % 3 = 0 or c_custkey % 2 = 0 or c_nationkey < 20",
     "xml_export": "select s_suppkey, s_name, s_acctbal from supplier",
     "lexicon_scan": "select 'w' || s_suppkey as uuid, 'super-entry' as type, s_name || ',x' as orth, 'd' || s_nationkey as definition from supplier where s_suppkey % 4 <> 1",
     "device_rows": "select c_custkey as id, c_nationkey as device, c_name as name from customer where c_nationkey not in (select n_nationkey from nation where n_regionkey <> 2)",

@@ -449,6 +449,45 @@ def tei(found: DataFrame) -> DataFrame:
     return found.select("path", "content").mapInPandas(_runner(parse, _columns(TEI)), TEI)
 
 
+HEADER = "path string, titles array<struct<level:string,lang:string,text:string>>, identifiers map<string,string>, people array<struct<role:string,name:string>>, extent string, date string, witnesses map<string,string>, parse_error string"
+
+
+def tei_header(content: str) -> dict:
+    """What a TEI header says of its text: titles, identifiers, people by their part in it, extent, date, witnesses."""
+    root = ElementTree.fromstring(content)
+    header = next((e for e in root.iter() if _local(e.tag) == "teiHeader"), None)
+    found: dict = {"titles": [], "identifiers": {}, "people": [], "extent": None, "date": None, "witnesses": {}}
+    plain_ = lambda e: " ".join("".join(e.itertext()).split())
+    attribute = lambda e, name: next((v for k, v in e.attrib.items() if _local(k) == name), None)
+    for element in header.iter() if header is not None else ():
+        tag, text = _local(element.tag), plain_(element)
+        if not text:
+            continue
+        if tag == "title":
+            found["titles"].append({"level": attribute(element, "level"), "lang": attribute(element, "lang"), "text": text})
+        elif tag == "idno":
+            found["identifiers"].setdefault(attribute(element, "type") or "", text)
+        elif tag in ("author", "editor", "publisher"):
+            found["people"].append({"role": tag, "name": text})
+        elif tag == "respStmt":
+            part = {_local(e.tag): plain_(e) for e in element}
+            found["people"].append({"role": part.get("resp") or "resp", "name": part.get("name") or part.get("persName") or text})
+        elif tag == "witness":
+            found["witnesses"].setdefault(attribute(element, "id") or "", text)
+        elif tag in ("extent", "date"):
+            found[tag] = found[tag] or attribute(element, "when") or text
+    return found
+
+
+def tei_headers(found: DataFrame) -> DataFrame:
+    """Headers of TEI files, one row for each."""
+
+    def parse(row: Any) -> list[dict]:
+        return [{"path": row.path, **tei_header(row.content)}]
+
+    return found.select("path", "content").mapInPandas(_runner(parse, _columns(HEADER)), HEADER)
+
+
 RECORD = "uuid string, type string, path string, fields map<string,array<string>>, parse_error string"
 
 

@@ -7,6 +7,7 @@ each table, and a reader of another version is refused.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
 import pyarrow as pa
@@ -113,6 +114,55 @@ def to_xml(rows: DataFrame, root: str = "text", row: str = "seg") -> DataFrame:
     return rows.select(F.to_xml(F.struct(*[F.col(c) for c in rows.columns]), {"rowTag": row, "declaration": "", "rootTag": root}).alias("xml"))
 
 
+_TEI_MARKS = {"page-break": "pb", "line-break": "lb"}
+
+
+def tei_section(head: str, text: str, markers: list[dict], variants: list[dict]) -> str:
+    """One section as a ``div``: milestones at their places, readings as apparatus around what they replace."""
+    readings: dict[tuple[int, int], dict[str, list[str]]] = {}
+    for v in variants:
+        readings.setdefault((v["offset"], v["offset"] + v["length"]), {}).setdefault(v["form"], []).append(v["witness"])
+    marks = sorted(markers, key=lambda m: m["offset"])
+    out, at, place = [], 0, 0
+
+    def milestones(upto: int) -> None:
+        nonlocal at, place
+        while place < len(marks) and marks[place]["offset"] <= upto:
+            mark = marks[place]
+            out.append(escape(text[at : mark["offset"]]))
+            at = max(at, mark["offset"])
+            ident = f" n={quoteattr(mark['id'])}" if mark["id"] else ""
+            if mark["type"] == "head":
+                out.append(f"<head{ident}>{escape(mark['content'] or head)}</head>")
+            else:
+                unit = f" unit={quoteattr(mark['content'])}" if mark["content"] else ""
+                out.append(f"<{_TEI_MARKS.get(mark['type'], mark['type'])}{ident}{unit}/>")
+            place += 1
+
+    for (start, end), forms in sorted(readings.items()):
+        milestones(start)
+        out.append(escape(text[at:start]))
+        shown = "".join(f"<rdg wit={quoteattr(' '.join('#' + w for w in sorted(wits)))}>{escape(form)}</rdg>" for form, wits in sorted(forms.items()))
+        out.append(f"<app><lem>{escape(text[start:end])}</lem>{shown}</app>")
+        at = max(at, end)
+    milestones(len(text))
+    return "<div>" + "".join(out) + escape(text[at:]) + "</div>"
+
+
+def tei_documents(sections: DataFrame, key: str = "textid") -> DataFrame:
+    """(key, content): sections (key, section, head, text, markers, variants) of each text as one TEI file.
+
+    What ``readers.tei`` reads back; milestones inside a lemma stand before it.
+    """
+
+    def build(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        rows = frame.sort_values("section").itertuples(index=False)
+        made = "".join(tei_section(r.head or "", r.text or "", list(r.markers), list(r.variants)) for r in rows)
+        return pd.DataFrame({key: [keys[0]], "content": [f'<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body>{made}</body></text></TEI>']})
+
+    return sections.select(key, "section", "head", "text", "markers", "variants").groupBy(key).applyInPandas(build, f"{key} string, content string")
+
+
 def to_markdown(segments: DataFrame) -> DataFrame:
     """(translation_id, juan_seq, document): spans of a translation with its front matter."""
     escaped = F.regexp_replace("text", r"([\[\]\\{}])", r"\\$1")

@@ -4,8 +4,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import labels, udfs
 from lectern.functions import text as fn
-from lectern.functions import udfs
 from lectern.operators import search
 from lectern.plans import parse
 
@@ -195,3 +195,14 @@ def test_chain_of_shared_characters_against_brute_force():
             order.append(min(left, key=lambda i: (-len(last & sets[i]), -totals[i], i)))
             left.discard(order[-1])
         assert search._chain(contexts, {"a"}) == order
+
+
+def test_trees_of_odd_labels():
+    known = frozenset({"V", "N"})
+    assert labels.tree("", known) == [(0, None, "label", "", 0, 0)]
+    assert labels.tree("V(N]", known) == [(0, None, "label", "V(N]", 0, 4), (1, 0, "atom", "V", 0, 1), (2, 0, "group", "(N]", 1, 4), (3, 2, "atom", "N", 2, 3), (4, 2, "close", "]", 3, 4)]
+    for label in ("[V(N)]{N}", "((V)", "V)N", "[(])"):
+        nodes = labels.tree(label, known)
+        assert all(p is None or nodes[p][4] <= s and e <= nodes[p][5] and p < n for n, p, _, _, s, e in nodes)
+        leaves = [(s, e, t) for _, _, k, t, s, e in nodes if k not in ("label", "group")]
+        assert all(label[s:e] == t for s, e, t in leaves) and all(x[1] <= y[0] for x, y in zip(leaves, leaves[1:], strict=False))

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import catalog, curation, graph, validate
+from lectern.operators import catalog, curation, graph, slices, validate
 from lectern.sources import readers, schemas, sinks
 from lectern.streaming import feed
 
@@ -317,3 +317,20 @@ def test_files_are_written_and_read_again(spark, tmp_path):
         assert sinks.write_files(rows, str(tmp_path / "out")) == 3
     found = readers.files(spark, str(tmp_path / "out"), "*.txt").collect()
     assert {(r["path"].split("/out/")[1], r["content"]) for r in found} == {tuple(r) for r in rows.collect()}
+
+
+def test_tei_round_trip():
+    """Sections with markup signs, milestones and overlapping witnesses come back as they were."""
+    markers = [{"offset": 0, "type": "head", "id": "", "content": "A & B"}, {"offset": 0, "type": "page-break", "id": '1"a', "content": ""}, {"offset": 4, "type": "milestone", "id": "", "content": "juan"}, {"offset": 6, "type": "line-break", "id": "9", "content": ""}]
+    variants = [{"offset": 1, "length": 2, "witness": w, "form": f} for w, f in (("A", "x<"), ("B", "x<"), ("C", ""))] + [{"offset": 4, "length": 0, "witness": "A", "form": "more"}]
+    made = sinks.tei_section("A & B", "子曰&學<而", markers, variants)
+    back = readers.tei_sections(f"<TEI><text><body>{made}</body></text></TEI>")
+    assert len(back) == 1 and (back[0]["head"], back[0]["text"], back[0]["markers"]) == ("A & B", "子曰&學<而", markers)
+    assert sorted(map(str, back[0]["variants"])) == sorted(map(str, variants))
+
+
+def test_templates(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", None)], "k string, v int")
+    assert [r["rendered"] for r in slices.render(rows, "{{k}}-{{ v }} {k}", "?").orderBy("k").collect()] == ["a-1 {k}", "b-? {k}"]
+    with pytest.raises(ValueError, match="w"):
+        slices.render(rows, "{{w}}")
