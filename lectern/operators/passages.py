@@ -155,29 +155,107 @@ def extended(a: np.ndarray, at_a: int, b: np.ndarray, at_b: int, seed: int, edit
 
 
 #: Characters of text that a block of sources has, about (a task holds two blocks), and blocks at least.
-BLOCK, LEAST_BLOCKS = 1_000_000, 6
+BLOCK, LEAST_BLOCKS = 4_000_000, 8
 _FOUND = "bucket_a long, start_a int, end_a int, bucket_b long, start_b int, end_b int, edits int, passage string"
 
 
-class _Spans:
-    """Spans of the places that one task is given, in order of sources, diagonal and place.
+#: Characters that two texts are compared by at a time: at first, and at most; and comparisons made at once.
+_STEP, _WIDEST, _AT_ONCE = 16, 1024, 1 << 21
+
+
+def _agreement(flat: np.ndarray, a: np.ndarray, b: np.ndarray, way: int) -> np.ndarray:
+    """For each pair of places: how many characters agree from them on (``way`` 1) or before them (-1).
+
+    All pairs are followed together, in wider and wider steps as fewer of them go on.
+    """
+    found = np.zeros(len(a), dtype=np.int64)
+    live, width = np.arange(len(a)), _STEP
+    while len(live):
+        ahead = way * np.arange(width) if way > 0 else -1 - np.arange(width)
+        on = []
+        for low in range(0, len(live), max(1, _AT_ONCE // width)):
+            part = live[low : low + max(1, _AT_ONCE // width)]
+            gone = way * found[part]
+            same = flat[(a[part] + gone)[:, None] + ahead] == flat[(b[part] + gone)[:, None] + ahead]
+            whole = same.all(axis=1)
+            found[part] += np.where(whole, width, same.argmin(axis=1))
+            on.append(part[whole])
+        live, width = np.concatenate(on), min(_WIDEST, width * 4)
+    return found
+
+
+class _Exact:
+    """Exact spans of one task's places, all at once: its texts stand in one array, each ended by a sign of its own."""
+
+    def __init__(self, seed: int, least: int):
+        self.seed, self.least = seed, least
+        self.texts: dict[int, str] = {}
+        self.flat = None
+        self.last = None  # the run of the last place, which the next batch may begin in
+
+    def add(self, bucket: int, text: str) -> None:
+        self.texts[bucket] = text
+
+    def _laid_out(self) -> None:
+        self.ids = np.array(sorted(self.texts), dtype=np.int64)
+        parts = [np.full(_WIDEST, 0x200000, dtype=np.uint32)]
+        for n, bucket in enumerate(self.ids.tolist()):
+            parts += [np.frombuffer(self.texts[bucket].encode("utf-32-le"), dtype="<u4"), np.array([0x200001 + n], dtype=np.uint32)]
+        self.starts = np.cumsum([0] + [len(x) for x in parts])[1 : 2 * len(self.ids) + 1 : 2]
+        self.flat = np.concatenate([*parts, np.full(_WIDEST, 0x200000, dtype=np.uint32)])
+
+    def rows(self, a: np.ndarray, b: np.ndarray, place: np.ndarray, shift: np.ndarray) -> list:
+        """Columns of ``_FOUND``; places come in order of sources, diagonal and place."""
+        if self.flat is None:
+            self._laid_out()
+        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1]) & (shift[1:] == shift[:-1])
+        # an anchor that touches the one before on its diagonal is in its run
+        first = np.concatenate(([True], ~(same & (place[1:] - place[:-1] <= self.seed))))
+        a, b, place, shift = (v[first].astype(np.int64) for v in (a, b, place, shift))
+        known = np.isin(a, self.ids) & np.isin(b, self.ids)
+        a, b, place, shift = (v[known] for v in (a, b, place, shift))
+        base_a, base_b = self.starts[np.searchsorted(self.ids, a)], self.starts[np.searchsorted(self.ids, b)]
+        at_a, at_b = base_a + place, base_b + place - shift
+        right = _agreement(self.flat, at_a, at_b, 1)
+        left = _agreement(self.flat, at_a, at_b, -1)
+        sa, ea, sb, eb = place - left, place + right, place - shift - left, place - shift + right
+        # of a run that several places are in the first counts
+        run = np.stack((a, b, shift, sa))
+        new = np.ones(len(a), dtype=bool)
+        new[1:] = (run[:, 1:] != run[:, :-1]).any(axis=0)
+        if len(a):
+            new[0] = self.last is None or (run[:, 0] != self.last).any()
+            self.last = run[:, -1]
+        keep = new & (right >= self.seed) & (ea - sa >= self.least) & ~((a == b) & (sa < eb) & (sb < ea))
+        columns = [v[keep] for v in (a, sa, ea, b, sb, eb)]
+        passages = [sha256(self.texts[x][s:e].encode()).hexdigest() for x, s, e in zip(*(c.tolist() for c in columns[:3]), strict=True)]
+        return [*columns, np.zeros(len(passages), dtype=np.int64), passages]
+
+    def close(self) -> list:
+        return [[] for _ in range(8)]
+
+
+class _Edited:
+    """Spans within a number of edits of one task's places, in order of sources, diagonal and place.
 
     Places in one run of equal characters have the same span, so of each run
     the first is followed and the others are passed over.
     """
 
-    def __init__(self, texts: dict[int, np.ndarray], seed: int, least: int, edits: int):
-        self.texts, self.seed, self.least, self.edits = texts, seed, least, edits
+    def __init__(self, seed: int, least: int, edits: int):
+        self.texts: dict[int, np.ndarray] = {}
+        self.seed, self.least, self.edits = seed, least, edits
         self.line, self.end = None, -1  # a diagonal of two sources, and how far its last run goes
         self.pair, self.found = None, {}
 
-    def rows(self, a: np.ndarray, b: np.ndarray, place: np.ndarray, shift: np.ndarray) -> Iterator[tuple]:
-        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1]) & (shift[1:] == shift[:-1])
-        # an anchor that touches the one before on its diagonal is in its run
-        first = np.concatenate(([True], ~(same & (place[1:] - place[:-1] <= self.seed))))
-        for x, y, at, d in zip(*(v[first].tolist() for v in (a, b, place, shift)), strict=True):
+    def add(self, bucket: int, text: str) -> None:
+        self.texts[bucket] = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+
+    def rows(self, a: np.ndarray, b: np.ndarray, place: np.ndarray, shift: np.ndarray) -> list:
+        out: list[tuple] = []
+        for x, y, at, d in zip(*(v.tolist() for v in (a, b, place, shift)), strict=True):
             if (x, y) != self.pair:
-                yield from self.close()
+                out += self._pair()
                 self.pair = (x, y)
             if self.line == (x, y, d) and at + self.seed <= self.end:
                 continue
@@ -185,22 +263,24 @@ class _Spans:
             if one is None or other is None or not np.array_equal(one[at : at + self.seed], other[at - d : at - d + self.seed]):
                 continue
             self.line, self.end = (x, y, d), at + self.seed + _common(one[at + self.seed :], other[at - d + self.seed :])
-            span = extended(one, at, other, at - d, self.seed, self.edits)
-            sa, ea, sb, eb, used = span
+            sa, ea, sb, eb, used = extended(one, at, other, at - d, self.seed, self.edits)
             if min(ea - sa, eb - sb) < self.least or x == y and sa < eb and sb < ea:
                 continue
             if x == y and (sb, eb) < (sa, ea):
                 sa, ea, sb, eb = sb, eb, sa, ea
             self.found[sa, ea, sb, eb] = min(used, self.found.get((sa, ea, sb, eb), used))
-            if not self.edits:  # no other run has this span
-                yield from self.close()
+        return self._columns(out)
+
+    def _pair(self) -> list[tuple]:
+        found, self.found = self.found, {}
+        return [(self.pair[0], sa, ea, self.pair[1], sb, eb, used, None) for (sa, ea, sb, eb), used in found.items()]
+
+    @staticmethod
+    def _columns(rows: list[tuple]) -> list:
+        return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in range(8)]
 
-    def close(self) -> Iterator[tuple]:
-        for (sa, ea, sb, eb), used in self.found.items():
-            x, y = self.pair
-            passage = None if self.edits else sha256(self.texts[x][sa:ea].tobytes().decode("utf-32-le").encode()).hexdigest()
-            yield x, sa, ea, y, sb, eb, used, passage
-        self.found = {}
+    def close(self) -> list:
+        return self._columns(self._pair())
 
 
 def spans(sources: DataFrame, pairs: DataFrame, seed: int, min_length: int, edits: int = 0) -> DataFrame:
@@ -227,27 +307,27 @@ def spans(sources: DataFrame, pairs: DataFrame, seed: int, min_length: int, edit
         types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
         task, made = None, None
 
-        def batch_of(found: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [()] * len(names), types, strict=True)], names)
+        def batch_of(columns: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c).cast(t) if isinstance(c, np.ndarray) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            found: list[tuple] = []
             low, high, kind, a = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             b, shift, place = (batch.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in range(4, 7))
             cuts = np.flatnonzero((low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (kind[1:] != kind[:-1])) + 1
             for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
                 if (low[start], high[start]) != task:
-                    found += made.close() if made else ()
-                    task, made = (low[start], high[start]), _Spans({}, seed, min_length, edits)
+                    if made:
+                        yield batch_of(made.close())
+                    task, made = (low[start], high[start]), _Edited(seed, min_length, edits) if edits else _Exact(seed, min_length)
                 if kind[start] == 0:
                     for bucket, text in zip(a[start:end].tolist(), batch.column(7).slice(start, end - start).to_pylist(), strict=True):
-                        made.texts[bucket] = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+                        made.add(bucket, text)
                 else:
-                    found += made.rows(a[start:end], b[start:end], place[start:end], shift[start:end])
-            yield batch_of(found)
-        yield batch_of(list(made.close()) if made else [])
+                    yield batch_of(made.rows(a[start:end], b[start:end], place[start:end], shift[start:end]))
+        if made:
+            yield batch_of(made.close())
 
     shares = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["low", "high"]
