@@ -58,6 +58,23 @@ from w left join k on k.doc_id = w.doc_id
 """
 
 
+def repeated_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long each document's repeats are, by doubling from 50 words on until no candidate survives."""
+    return substrings.longest(documents(spark, sf_dir), 50)
+
+
+def _lengths_sql(levels: int = 12) -> str:
+    """Windows of 50 words and of twice as many at each level, made from the hashes of their halves."""
+    made = ["""w0 as (select doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) as h from (select doc_id, words, unnest(range(1, len(words) - 48)) as i from
+  (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents where doc_id is not null) where len(words) >= 50))"""]
+    found = []
+    for level in range(levels):
+        made.append(f"r{level} as materialized (select doc_id, i, h from (select *, min(doc_id) over (partition by h) as low, max(doc_id) over (partition by h) as high from w{level}) where low < high)")
+        found.append(f"select distinct doc_id, {50 << level}::bigint as n from r{level}")
+        made.append(f"w{level + 1} as (select a.doc_id, a.i, md5(a.h || b.h) as h from r{level} a join r{level} b on b.doc_id = a.doc_id and b.i = a.i + {50 << level})")
+    return "with " + ",\n".join(made) + " select doc_id, max(n) as repeated from (" + " union all ".join(found) + ") group by doc_id"
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     ranker = quality.train(docs, table(spark, sf_dir, "labels"), ~_fold(3, 1))
@@ -111,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_language": op3_language,
     "op4_substrings": op4_substrings,
+    "repeated_lengths": repeated_lengths,
     "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
     "op7_decontamination": op7_decontamination,
@@ -118,4 +136,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": op9_licenses,
     "op10_merkle": op10_merkle,
 }
-ORACLE: dict[str, str] = {"op4_substrings": OP4_SQL, "op8_jaccard": OP8_SQL}
+ORACLE: dict[str, str] = {"op4_substrings": OP4_SQL, "repeated_lengths": _lengths_sql(), "op8_jaccard": OP8_SQL}

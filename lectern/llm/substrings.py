@@ -162,18 +162,19 @@ def _cut(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("doc_id", "text", "starts").mapInArrow(run, CUT)
 
 
-def _windows(docs: DataFrame, scanned: DataFrame, length: int) -> DataFrame:
+def _windows(docs: DataFrame, scanned: DataFrame, length: int, of: str = "text_class") -> DataFrame:
     """Windows of ``length`` around the repeated windows of half the length, by document.
 
     Half windows count as repeated if two different texts have them, so copies
     of a whole text make no candidates of each other; of copies, the
-    representative alone goes on.
+    representative alone goes on. With ``of`` doc_id, copies are documents like
+    any others.
     """
     anchors = scanned.select("doc_id", "text_class", F.explode(F.arrays_zip("anchors", "places")).alias("a"))
     anchors = anchors.select("doc_id", "text_class", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("place"))
     # repeated keys are written before they are joined: then both sides of the join are shuffled as they are,
     # and adaptive execution can split a passage that very many documents share
-    repeated = stored(_repeated(anchors.select("anchor", "text_class"), ["anchor"], "text_class").select("anchor"), "anchors").hint("merge")
+    repeated = stored(_repeated(anchors.select("anchor", of), ["anchor"], of).select("anchor"), "anchors").hint("merge")
     places = anchors.select("anchor", "doc_id", "place").join(repeated, "anchor").groupBy("doc_id").agg(F.collect_list("place").alias("places"))  # a document's own
     single = scanned.where("least is null or least = doc_id").select("doc_id").distinct()
     places = stored(places.join(single, "doc_id"), "places")
@@ -216,7 +217,7 @@ def longest(docs: DataFrame, length: int = 50) -> DataFrame:
     when no candidate survives.
     """
     scanned = stored(_scan(docs, length), "substrings").withColumn("least", F.lit(None).cast("long"))
-    windows = _windows(docs, scanned, length)
+    windows = _windows(docs, scanned, length, "doc_id")
     level = windows.select("doc_id", F.explode(F.arrays_zip("starts", "first", "second")).alias("w")).select("doc_id", F.col("w.starts").alias("start"), F.col("w.first").alias("first"), F.col("w.second").alias("second"))
     found = None
     while True:

@@ -62,3 +62,32 @@ def test_longest_doubles_until_none_survive(make):
     rows = [(1, " ".join(shared)), (2, " ".join(["a", *shared, "b"])), (3, " ".join(shared[:12])), (4, "nothing of it here at all, nothing of it")]
     found = {r["doc_id"]: r["repeated"] for r in substrings.longest(make(rows), 10).collect()}
     assert found == {1: 40, 2: 40, 3: 10}
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_longest_against_brute_force(make, seed):
+    """The greatest doubling of the length at which a window of a document is also in another one, trying all windows."""
+    rng = random.Random(seed)
+    passages = [[f"w{rng.randrange(30)}" for _ in range(rng.choice([5, 9, 17, 40]))] for _ in range(6)]
+    rows = [(i, [w for _ in range(rng.randrange(1, 4)) for w in (rng.choice(passages) if rng.random() < 0.7 else [f"u{rng.randrange(10**6)}" for _ in range(9)])]) for i in range(30)]
+    rows += [(100 + i, rows[i][1]) for i in range(3)] + [(200, [f"only{i}" for i in range(20)]), (201, [f"only{i}" for i in range(20)])]
+    want = {}
+    length = 4
+    while True:
+        where = {}
+        for doc_id, own in rows:
+            for i in range(len(own) - length + 1):
+                where.setdefault(tuple(own[i : i + length]), set()).add(doc_id)
+        level = {d for docs in where.values() if len(docs) > 1 for d in docs}
+        if not level:
+            break
+        want |= dict.fromkeys(level, length)
+        length *= 2
+    assert {r["doc_id"]: r["repeated"] for r in substrings.longest(make([(d, " ".join(own)) for d, own in rows]), 4).collect()} == want
+
+
+def test_lengths_sql_says_the_same(spark, data):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{data}/documents.parquet'")
+    want = con.sql(f"select doc_id, repeated from ({queries.ORACLE['repeated_lengths']})").fetchall()
+    assert sorted((r["doc_id"], r["repeated"]) for r in queries.repeated_lengths(spark, data).collect()) == sorted(want)
