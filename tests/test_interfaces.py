@@ -62,6 +62,28 @@ def test_command_line(spark, data, capsys, tmp_path):
         command.main(["run", "nothing", "--data", data])
 
 
+@pytest.mark.parametrize(
+    ("arguments", "columns"),
+    [
+        (["summary", "the "], {"textid", "n"}),
+        (["facets", "tionth"], {"dim", "value", "n"}),
+        (["survey", "--textid", "src1"], {"char", "codepoint", "n"}),
+        (["clusters", "--textid", "src1", "--uncontained"], {"cluster", "length", "occurrence_count", "first_bucket", "first_start"}),
+        (["pairs", "--textid", "src1", "--textid", "src2"], {"bucket_a", "bucket_b", "chars_a", "coverage_a"}),
+        (["spans", "--textid", "src1", "--edits", "1", "--least", "40"], {"bucket_a", "start_a", "edits"}),
+    ],
+)
+def test_commands_at_their_defaults(spark, data, tmp_path, arguments, columns):
+    command.main([*arguments, "--data", data, "--out", str(tmp_path / "out")])
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    assert columns <= set(rows.columns) and rows.count() > 0
+
+
+def test_defaults_of_a_scan():
+    given = command.parser().parse_args(["spans", "--data", "x"])
+    assert (given.anchor, given.least, given.most, given.edits) == (12, 24, 200, 0)
+
+
 def test_a_cluster_needs_a_shared_folder(monkeypatch):
     from lectern import storage
 
