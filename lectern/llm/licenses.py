@@ -277,9 +277,9 @@ def resolve(files: DataFrame, threshold: float = 0.7) -> DataFrame:
     shuffled: once for document counts, once for notices.
     """
     scanned = stored(scan(files, matcher(files), threshold), "licenses")
-    # written, so that its size is known: a small one is broadcast, and beyond that a directory of very many
-    # files can be split, as both sides are shuffled as they are
-    joined = scanned.join(stored(inherited(scanned), "inherited"), "dir", "left")
+    # written, so that both sides are shuffled as they are and a directory of very many files can be split;
+    # merged at every size, so that a small run has the plan of a large one
+    joined = scanned.join(stored(inherited(scanned), "inherited").hint("merge"), "dir", "left")
     own = F.col("own_license").isNotNull()
     return joined.select(
         "file_id",
