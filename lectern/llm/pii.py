@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -300,11 +301,17 @@ def fit(documents: list[list[Mention]], hidden: float = 0.5, rounds: int = 1500,
     return Field(*tables)
 
 
-def train(docs: DataFrame, documents: int = 4000) -> Field:
+def _drawn(nodes: list[Mention], text: str, most: int) -> list[Mention]:
+    """Neighbouring mentions of a text, ``most`` at most, from a place that its hash gives."""
+    start = zlib.crc32(text.encode()) % max(1, len(nodes) - most + 1)
+    return nodes[start : start + most]
+
+
+def train(docs: DataFrame, documents: int = 4000, most: int = 64) -> Field:
     """Learn from about ``documents`` texts with a digit or an at sign at most, taken by hash.
 
-    Mentions are found on the executors; the driver gets their features, a few
-    hundred bytes each.
+    Mentions are found on the executors; the driver gets the features, a few
+    hundred bytes each, of ``most`` neighbouring ones of a text at most.
     """
     texts = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").alias("doc_id")).where(F.col("text").rlike("[0-9@]"))
 
@@ -312,7 +319,7 @@ def train(docs: DataFrame, documents: int = 4000) -> Field:
         for batch in batches:
             rows = []
             for text in batch.column(0).to_pylist():
-                nodes = mentions(text, base_spans(text))
+                nodes = _drawn(mentions(text, base_spans(text)), text, most)
                 if nodes:
                     rows.append(([m.key for m in nodes], [m.label for m in nodes], np.concatenate([m.features for m in nodes]).tolist()))
             columns = list(zip(*rows, strict=True)) or [(), (), ()]

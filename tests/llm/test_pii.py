@@ -124,6 +124,16 @@ def test_whole_table(spark, data):
         assert set(text.split(",")) <= set(r["spans"].split(","))
 
 
+def test_a_text_of_very_many_mentions_teaches_a_bounded_number(make):
+    text = " ".join(f"call +1 (743) 555-{i:04d}" for i in range(5000))
+    nodes = pii.mentions(text, pii.base_spans(text))
+    drawn = pii._drawn(nodes, text, 64)
+    assert len(nodes) == 5000 and len(drawn) == 64
+    assert [m.start for m in drawn] == [m.start for m in nodes][next(i for i, m in enumerate(nodes) if m is drawn[0]) :][:64]
+    assert pii._drawn(nodes[:3], text, 64) == nodes[:3]
+    assert pii.train(make([(1, text), (2, "mail a@b.example.com")])).skip.any()
+
+
 def test_mask_keeps_columns_and_hides_spans(nasty):
     out = pii.mask(nasty, pii.train(nasty))
     assert out.schema == nasty.schema
