@@ -82,7 +82,7 @@ FRONT = "with " + BUCKETS + """, e as (select textid, juan_seq, bucket, if(bucke
   where not (bucket = 'front' and exists (select 1 from g where g.textid = j.textid and g.juan_seq = j.juan_seq))"""
 
 
-def opening_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+def front_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations cut into front and body where the assistant first speaks."""
     rows = _bundle_rows(spark, sf_dir).select("textid", "text", F.transform("markers", lambda m: m.withField("extras", F.create_map(F.lit("level"), F.lit("1")))).alias("markers"))
     found = bundles.split_front(rows, ("assistant",))
@@ -459,7 +459,7 @@ def point_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMES = (
-    toc_rebuild, alternative_ids, section_move, attestation_repair, front_to_body, opening_split, heading_classes, aligned_variants, mapped_offsets, recipe_fulfil, recipe_render, marker_collect, marker_ids, link_rebase, parallels_page, parallel_lengths,
+    toc_rebuild, alternative_ids, section_move, attestation_repair, front_to_body, front_split, heading_classes, aligned_variants, mapped_offsets, recipe_fulfil, recipe_render, marker_collect, marker_ids, link_rebase, parallels_page, parallel_lengths,
     remote_options, corpus_info, bundle_counts, catalog_filter, identifier_resolution, missing_imports, local_remote, stale_indexes, next_serials, rejected_rows, marker_resolution, annotation_context, merge_by_content, archive_rows,
     commit_parse, judgment_parse, feed_enrichment, core_upsert, entries_full, concept_words, sense_walk, tree_differences, voice_problems, voice_replace, negative_offsets, duplicate_filter, first_wins, nocase_order, group_tops, point_occurrences,
 )
@@ -471,7 +471,7 @@ ORACLE = {
     "section_move": MOVE,
     "attestation_repair": REPAIR,
     "front_to_body": FRONT,
-    "opening_split": SPLIT,
+    "front_split": SPLIT,
     "heading_classes": "select p_partkey, (['卷一', '序文', '後序', '目錄', '跋'])[p_size % 5 + 1] as head, (['body', 'front', 'back', 'front', 'back'])[p_size % 5 + 1] as bucket from part",
     "aligned_variants": VARIANTS,
     "mapped_offsets": "select p_partkey, '0,0,0,3,' || length(p_name) as mapped from part",
