@@ -76,10 +76,12 @@ def anchor_pairs(anchors: DataFrame, most: int = 200, target: DataFrame | None =
     """Pairs of places that share an anchor, each once.
 
     Anchors more frequent than ``most`` are left out; that bound is the
-    operator's own parameter and is what keeps the pairs of a group bounded.
+    operator's own parameter and is what keeps the pairs of a group bounded. A
+    greater one leaves out less, and one above all frequencies nothing.
     ``target`` (bucket_id): only pairs with such a source on one side.
     """
-    kept = anchors.join(usable(anchors, most).select("hash"), "hash")
+    # written, so that both sides are shuffled as they are and an anchor of very many places can be split
+    kept = anchors.join(stored(usable(anchors, most).select("hash"), "usable").hint("merge"), "hash")
     if target is not None:
         kept = kept.join(target.select("bucket_id").distinct().withColumn("aimed", F.lit(True)), "bucket_id", "left")
     else:
@@ -398,7 +400,8 @@ def listed(occurrences: DataFrame) -> DataFrame:
 
 def scan(sources: DataFrame, anchor_length: int = 12, min_length: int = 24, most: int = 200, edits: int = 0, target: DataFrame | None = None) -> DataFrame:
     """Spans of all pairs that winnowed anchors find."""
-    return spans(sources, anchor_pairs(winnow(sources, anchor_length, min_length, True), most, target), anchor_length, min_length, edits)
+    anchors = stored(winnow(sources, anchor_length, min_length, True), "anchors")
+    return spans(sources, anchor_pairs(anchors, most, target), anchor_length, min_length, edits)
 
 
 def fuzzy_occurrences(sources: DataFrame, found: DataFrame, max_edits: int, min_occurrences: int = 2) -> DataFrame:

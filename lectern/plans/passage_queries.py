@@ -111,7 +111,8 @@ def anchor_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anchor_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = passages.anchor_pairs(passages.winnow(sources(spark, sf_dir), ANCHOR, PASSAGE, True), MOST)
+    anchors = stored(passages.winnow(sources(spark, sf_dir), ANCHOR, PASSAGE, True), "anchors")
+    pairs = passages.anchor_pairs(anchors, MOST)
     return _wide(pairs, *pairs.columns)
 
 
