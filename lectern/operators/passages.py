@@ -158,7 +158,7 @@ def extended(a: np.ndarray, at_a: int, b: np.ndarray, at_b: int, seed: int, edit
 
 #: Characters of text that a block of sources has, about (a task holds two blocks), and blocks at least.
 BLOCK, LEAST_BLOCKS = 4_000_000, 8
-_FOUND = "bucket_a long, start_a int, end_a int, bucket_b long, start_b int, end_b int, edits int, passage string"
+_FOUND = "bucket_a long, start_a int, end_a int, bucket_b long, start_b int, end_b int, edits int, passage binary"
 
 
 #: Characters that two texts are compared by at a time: at first, and at most; and comparisons made at once.
@@ -230,7 +230,7 @@ class _Exact:
             self.last = run[:, -1]
         keep = new & (right >= self.seed) & (ea - sa >= self.least) & ~((a == b) & (sa < eb) & (sb < ea))
         columns = [v[keep] for v in (a, sa, ea, b, sb, eb)]
-        passages = [sha256(self.texts[x][s:e].encode()).hexdigest() for x, s, e in zip(*(c.tolist() for c in columns[:3]), strict=True)]
+        passages = [sha256(self.texts[x][s:e].encode()).digest() for x, s, e in zip(*(c.tolist() for c in columns[:3]), strict=True)]
         return [*columns, np.zeros(len(passages), dtype=np.int64), passages]
 
     def close(self) -> list:
@@ -306,7 +306,7 @@ def spans(sources: DataFrame, pairs: DataFrame, seed: int, min_length: int, edit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [field.split()[0] for field in _FOUND.split(", ")]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         task, made = None, None
 
         def batch_of(columns: list) -> pa.RecordBatch:
@@ -331,7 +331,8 @@ def spans(sources: DataFrame, pairs: DataFrame, seed: int, min_length: int, edit
         if made:
             yield batch_of(made.close())
 
-    shares = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # tasks differ much in size, so that there are four shares for each of the session's
+    shares = 4 * int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["low", "high"]
     dealt = rows.select(*order, "kind", "bucket_a", "bucket_b", "shift", "place", "text").repartition(shares, *order)
     found = dealt.sortWithinPartitions(*order, "kind", "bucket_a", "bucket_b", "shift", "place").mapInArrow(run, _FOUND)
@@ -349,13 +350,14 @@ def exact_occurrences(sources: DataFrame, found: DataFrame, min_occurrences: int
     ``spans`` gives exact ones with that hash; only spans from elsewhere are cut from their texts here.
     """
     if "passage" in found.columns:
-        cut = _occurrences(found, "passage").withColumnRenamed("passage", "cluster")
+        cut = _occurrences(found, "passage")
     else:
         texts = sources.select("bucket_id", "text")
-        cut = _occurrences(found).join(texts, "bucket_id").withColumn("cluster", F.sha2(fn.slice_text("text", F.col("start"), F.col("end") - F.col("start")), 256))
-    rows = cut.select("cluster", (F.col("end") - F.col("start")).alias("length"), "bucket_id", "start", "end")
-    many = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_occurrences).select("cluster")
-    return rows.join(many, "cluster")
+        own = F.sha2(fn.slice_text("text", F.col("start"), F.col("end") - F.col("start")), 256)
+        cut = _occurrences(found).join(texts, "bucket_id").withColumn("passage", F.unhex(own))
+    many = cut.groupBy("passage").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_occurrences).select("passage")
+    rows = cut.join(many, "passage")
+    return rows.select(F.lower(F.hex("passage")).alias("cluster"), (F.col("end") - F.col("start")).alias("length"), "bucket_id", "start", "end")
 
 
 def uncontained(occurrences: DataFrame, min_occurrences: int = 2) -> DataFrame:
