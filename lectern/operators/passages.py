@@ -452,18 +452,16 @@ def pair_rows(found: DataFrame, lengths: DataFrame, min_chars: int = 100) -> Dat
     ``found`` has spans of pairs; ``lengths`` (bucket_id, chars).
     """
     pair = ["bucket_a", "bucket_b"]
-    sides = []
-    for side in "ab":
-        own = found.select(*pair, F.col(f"start_{side}").alias("start"), F.col(f"end_{side}").alias("end"))
-        if side == "a":  # two places of one source count for both sides
-            own = own.unionByName(found.where("bucket_a = bucket_b").select(*pair, F.col("start_b").alias("start"), F.col("end_b").alias("end")))
-        else:
-            own = own.unionByName(found.where("bucket_a = bucket_b").select(*pair, F.col("start_a").alias("start"), F.col("end_a").alias("end")))
-        sides.append(intervals.merged(own, pair).groupBy(*pair).agg(F.sum(F.col("end") - F.col("start")).alias(f"chars_{side}"), F.count(F.lit(1)).alias(f"spans_{side}")))
+    place = lambda name, side: F.struct(F.lit(name).alias("side"), F.col(f"start_{side}").alias("start"), F.col(f"end_{side}").alias("end"))
+    one, intra = [place("a", "a"), place("b", "b")], [place("a", "b"), place("b", "a")]  # two places of one source count for both sides
+    own = found.select(*pair, F.explode(F.when(F.col("bucket_a") == F.col("bucket_b"), F.array(*one, *intra)).otherwise(F.array(*one))).alias("p")).select(*pair, "p.*")
+    chars = F.col("end") - F.col("start")
+    of = lambda side: [F.sum(F.when(F.col("side") == side, chars)).alias(f"chars_{side}"), F.count_if(F.col("side") == side).alias(f"spans_{side}")]
+    sides = intervals.merged(own, [*pair, "side"]).groupBy(*pair).agg(*of("a"), *of("b"))
     longest = found.groupBy(*pair).agg(
         F.max(F.col("end_a") - F.col("start_a")).alias("longest_span"), F.min_by(F.struct("start_a", "start_b"), F.struct(F.col("start_a") - F.col("end_a"), "start_a", "start_b")).alias("at")
     )
-    rows = sides[0].join(sides[1], pair).join(longest, pair).where(F.least("chars_a", "chars_b") >= min_chars)
+    rows = sides.join(longest, pair).where(F.least("chars_a", "chars_b") >= min_chars)
     rows = rows.join(lengths.select(F.col("bucket_id").alias("bucket_a"), F.col("chars").alias("length_a")), "bucket_a").join(lengths.select(F.col("bucket_id").alias("bucket_b"), F.col("chars").alias("length_b")), "bucket_b")
     ratio = lambda s: F.when(F.col(f"length_{s}") > 0, F.col(f"chars_{s}") / F.col(f"length_{s}")).otherwise(0.0)
     return rows.withColumns({"longest_a": F.col("at.start_a"), "longest_b": F.col("at.start_b"), "coverage_a": ratio("a"), "coverage_b": ratio("b"), "intra": F.col("bucket_a") == F.col("bucket_b")}).drop("at")
