@@ -1,8 +1,8 @@
 """Record sources: paged listings as a batch, live events as a stream.
 
 Both read recorded JSON: a folder with a file for each page, or each burst of
-events. A client for a live service has the same two methods, ``page`` and
-``events``; it is passed by name, so executors make their own.
+events. A client for a live service has the same methods, ``page``, ``bursts``
+and ``events``; it is passed by name, so executors make their own.
 """
 
 from __future__ import annotations
@@ -33,14 +33,18 @@ class Recorded:
         with open(path, encoding="utf-8") as file:
             return [json.loads(line) for line in file if line.strip()], str(number + 1)
 
-    def events(self, after: int) -> Iterator[dict]:
-        """Events later than a time, in order."""
+    def bursts(self) -> Iterator[tuple[str, tuple]]:
+        """The bursts that there are, each with a stamp that changes when it does."""
         folder = os.path.join(self.root, "events")
-        found = []
-        for name in sorted(os.listdir(folder)) if os.path.isdir(folder) else []:
-            with open(os.path.join(folder, name), encoding="utf-8") as file:
-                found += [json.loads(line) for line in file if line.strip()]
-        yield from sorted((e for e in found if e["time_us"] > after), key=lambda e: e["time_us"])
+        for entry in sorted(os.scandir(folder), key=lambda e: e.name) if os.path.isdir(folder) else []:
+            yield entry.name, (entry.stat().st_size, entry.stat().st_mtime_ns)
+
+    def events(self, burst: str, after: int) -> Iterator[dict]:
+        """Events of a burst later than a time, as they were recorded, one at a time: a burst may be of any size."""
+        with open(os.path.join(self.root, "events", burst), encoding="utf-8") as file:
+            for line in file:
+                if line.strip() and (event := json.loads(line))["time_us"] > after:
+                    yield event
 
 
 class Listing(DataSource):
@@ -87,26 +91,29 @@ class Live(DataSource):
 
 
 class _LiveReader(DataSourceStreamReader):
+    """A partition for each burst, in order of time; the driver keeps the last time of each and none of its events."""
+
     def __init__(self, path: str, cursor: int):
         self.path, self.cursor = path, cursor
+        self.last: dict[str, tuple[tuple, int]] = {}
 
     def initialOffset(self) -> dict:
         return {"time_us": self.cursor}
 
     def latestOffset(self) -> dict:
-        last = self.cursor
-        for event in Recorded(self.path).events(self.cursor):
-            last = max(last, event["time_us"])
-        return {"time_us": last}
+        client = Recorded(self.path)
+        for burst, stamp in client.bursts():
+            if self.last.get(burst, (None,))[0] != stamp:
+                self.last[burst] = stamp, max((e["time_us"] for e in client.events(burst, self.cursor)), default=self.cursor)
+        return {"time_us": max((last for _, last in self.last.values()), default=self.cursor)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [InputPartition((start["time_us"], end["time_us"]))]
+        return [InputPartition((start["time_us"], end["time_us"], burst)) for burst, _ in Recorded(self.path).bursts()]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        low, high = partition.value
-        for event in Recorded(self.path).events(low):
-            if event["time_us"] <= high:
-                yield event.get("kind"), event.get("did"), event["time_us"], json.dumps(event.get("commit"))
+        low, high, burst = partition.value
+        found = [(e.get("kind"), e.get("did"), e["time_us"], json.dumps(e.get("commit"))) for e in Recorded(self.path).events(burst, low) if e["time_us"] <= high]
+        yield from sorted(found, key=lambda row: row[2])
 
 
 def backoff(attempt: int, first: float = 1.0, most: float = 60.0) -> float:

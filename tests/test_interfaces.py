@@ -1,4 +1,5 @@
 import json
+import tracemalloc
 
 import pytest
 
@@ -49,6 +50,23 @@ def test_live_events_resume(spark, tmp_path):
     assert out == [2, 3, 5]
 
 
+def test_live_events_are_never_all_held(tmp_path):
+    """The driver reads bursts one event at a time, and each burst is a task's."""
+    folder = tmp_path / "events"
+    folder.mkdir()
+    line = json.dumps({"time_us": 7, "commit": {"record": "x" * 10_000}}) + "\n"
+    for name in "ab":
+        (folder / name).write_text(line * 2_000)
+    reader = records._LiveReader(str(tmp_path), 1)
+    tracemalloc.start()
+    end = reader.latestOffset()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert end == {"time_us": 7} and peak < 2_000_000
+    tasks = reader.partitions({"time_us": 1}, end)
+    assert [sum(1 for _ in reader.read(task)) for task in tasks] == [2_000, 2_000]
+
+
 def test_backoff():
     assert [records.backoff(n) for n in (0, 1, 5, 6, 9)] == [1, 2, 32, 60, 60]
 
