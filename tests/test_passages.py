@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.operators import passages
 from lectern.operators.components import components
@@ -250,3 +251,29 @@ def test_minhash_estimates_similarity(spark):
     grams = [{t[i : i + 5] for i in range(len(t) - 4)} for t in (a, a[: len(a) * 9 // 10] + "zzz" * 20)]
     assert abs(found[0, 2] - len(grams[0] & grams[1]) / len(grams[0] | grams[1])) < 0.15
     assert not any(4 in pair or 5 in pair for pair in found)
+
+
+@pytest.mark.parametrize("listed", [2, 256])
+def test_distances_of_a_group(spark, monkeypatch, listed):
+    """Listed or compared one by one, distances are those of every pair, and no single task has them all."""
+    monkeypatch.setattr(passages, "LISTED", listed)
+    texts = ["abc", "abd", "abc", None, "xyzxyz", "abcd", ""]
+    rows = spark.createDataFrame([(g, k, t) for g in "pq" for k, t in enumerate(texts if g == "p" else texts[:3])], "g string, key long, text string").coalesce(1)
+    found = passages.distances(rows, ["g"], 2)
+
+    def far(a, b):
+        if a is None or b is None:
+            return None
+        line = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            line, before = [i], line
+            for j, y in enumerate(b, 1):
+                line.append(min(before[j] + 1, line[-1] + 1, before[j - 1] + (x != y)))
+        return min(line[-1], 3)
+
+    expected = {(g, i, j, far(own[i], own[j])) for g, own in (("p", texts), ("q", texts[:3])) for i in range(len(own)) for j in range(i + 1, len(own))}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(expected) and set(got) == expected
+    many = spark.createDataFrame([("p", k, "abc") for k in range(200)], "g string, key long, text string").coalesce(1)
+    busy = passages.distances(many, ["g"], 2).groupBy(F.spark_partition_id()).count().collect()
+    assert len(busy) > 1 and sum(r["count"] for r in busy) == 200 * 199 // 2
