@@ -204,7 +204,8 @@ def corpus_info(bundles: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def bundle_counts(bundles: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """``bundles`` (textid) with the number of rows that each table (textid) has of them."""
+    """The texts of ``bundles`` (textid), each once, with the number of rows that each table (textid) has of them."""
+    bundles = bundles.select("textid").distinct()
     for name, rows in tables.items():
         counts = rows.groupBy("textid").agg(F.count(F.lit(1)).alias(name))
         bundles = bundles.join(counts, "textid", "left").na.fill(0, [name])
