@@ -35,7 +35,8 @@ def discover(spark: SparkSession, root: str, prefix: str | None = None, text_ids
     """(textid, path, modified, content) of manifests ``X/X.manifest.yaml`` up to a depth."""
     found = files(spark, root, "*.manifest.yaml")
     textid, folder = F.regexp_extract("path", r"([^/]+)\.manifest\.yaml$", 1), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
-    below = F.size(F.split(F.regexp_replace("path", "^.*?" + fn.quoted(root.rstrip("/")), ""), "/")) - 2
+    base = re.sub("^file:/+", "/", root.rstrip("/"))  # Spark's own paths have one slash there, whatever the root has
+    below = F.size(F.split(F.regexp_replace("path", "^.*?" + fn.quoted(base), ""), "/")) - 2
     found = found.withColumn("textid", textid).where((textid == folder) & (below <= max_depth))
     if prefix is not None:
         found = found.where(F.col("textid").startswith(prefix))

@@ -5,7 +5,7 @@ import pytest
 
 from lectern.plans import registry
 
-NAMES = ("bundle_counts",)
+NAMES = ("bundle_counts", "bundle_manifests",)
 
 
 @pytest.fixture(scope="module")
@@ -31,3 +31,24 @@ def test_same_rows_as_sql_where_ids_are_shared(spark, shared, name):
     at = [theirs.columns.index(c) for c in order]
     rows = theirs.fetchall()
     assert rows and sorted(repr(tuple(r[c] for c in order)) for r in ours.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in rows)
+
+
+def test_manifests_below_a_root_with_a_scheme(spark, tmp_path):
+    from lectern.sources import readers
+
+    (tmp_path / "T").mkdir()
+    (tmp_path / "T" / "T.manifest.yaml").write_text("canonical_identifier: T\n")
+    for root in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
+        assert [r["textid"] for r in readers.discover(spark, root, max_depth=1).collect()] == ["T"]
+
+
+def test_each_conversation_has_files_of_its_own(spark, shared, monkeypatch):
+    """Files that conversations share would hold whichever comes last, and their hash in the manifest another."""
+    from lectern.plans import reader_queries
+    from lectern.sources import sinks
+
+    con, root = shared
+    written = []
+    monkeypatch.setattr(reader_queries.sinks, "write_files", lambda rows, to, put=sinks.write_files: written.append(rows.count()) or put(rows, to))
+    reader_queries.bundle_manifests(spark, root)
+    assert [(n,) for n in written] == con.sql("select count(distinct (conv_id, turn // 3)) + count(distinct conv_id) from conversations").fetchall()
