@@ -277,3 +277,23 @@ def test_distances_of_a_group(spark, monkeypatch, listed):
     many = spark.createDataFrame([("p", k, "abc") for k in range(200)], "g string, key long, text string").coalesce(1)
     busy = passages.distances(many, ["g"], 2).groupBy(F.spark_partition_id()).count().collect()
     assert len(busy) > 1 and sum(r["count"] for r in busy) == 200 * 199 // 2
+
+
+@pytest.mark.parametrize("edits", [0, 1])
+def test_pairs_along_one_passage_are_one(spark, monkeypatch, edits):
+    """Pairs that others lead up to are left out, and the spans are those of all pairs, also behind anchors that are too frequent."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    common, long = word(40), word(400)
+    text = long[:200] + common + long[200:]
+    rows = sources(spark, text, text[:300] + "#" + text[301:], word(50) + text[100:] + word(20), text + word(10) + text[50:150], *[common + word(30) for _ in range(8)])
+    anchors = passages.winnow(rows, 12, 24, True)
+    pairs = passages.anchor_pairs(anchors, 6)
+    fewer = passages.anchor_pairs(anchors, 6, seed=12)
+    assert fewer.count() * 4 < pairs.count() and fewer.subtract(pairs).isEmpty()
+    expected = passages.spans(rows, pairs, 12, 24, edits).collect()
+    assert expected and sorted(map(repr, passages.scan(rows, 12, 24, 6, edits).collect())) == sorted(map(repr, expected))
+    taken = []
+    monkeypatch.setattr(passages, "spans", lambda sources, pairs, *rest: taken.append(pairs.count()))
+    passages.scan(rows, 12, 24, 6, edits)
+    assert taken == [fewer.count()]
