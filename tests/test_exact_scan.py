@@ -55,3 +55,13 @@ def test_no_text_is_sent_to_others(spark, monkeypatch):
     expected = rows_of(passages.scan(rows))
     monkeypatch.setattr(passages, "spans", None)
     assert expected and rows_of(passages.exact_spans(rows)) == expected
+
+
+@pytest.mark.parametrize("text", ["plain letters and some more of them", "é漢😀 letters é漢😀 letters 漢"])
+def test_hashes_of_places_need_no_text_in_their_rows(spark, text):
+    rows = spark.createDataFrame([(1, text), (2, text[5:]), (3, None)], SOURCE)
+    places = spark.createDataFrame([(b, s, e) for b, n in ((1, len(text)), (2, len(text) - 5)) for s in range(0, n, 3) for e in (s + 1, n)], "bucket_id long, start int, end int")
+    from hashlib import sha256
+
+    got = {(r["bucket_id"], r["start"], r["end"], bytes(r["passage"])) for r in passages._hashed(rows, places).collect()}
+    assert got == {(r["bucket_id"], r["start"], r["end"], sha256((text if r["bucket_id"] == 1 else text[5:])[r["start"] : r["end"]].encode()).digest()) for r in places.collect()}
