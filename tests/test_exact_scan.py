@@ -65,3 +65,14 @@ def test_hashes_of_places_need_no_text_in_their_rows(spark, text):
 
     got = {(r["bucket_id"], r["start"], r["end"], bytes(r["passage"])) for r in passages._hashed(rows, places).collect()}
     assert got == {(r["bucket_id"], r["start"], r["end"], sha256((text if r["bucket_id"] == 1 else text[5:])[r["start"] : r["end"]].encode()).digest()) for r in places.collect()}
+
+
+def test_containment_does_not_depend_on_cells(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(f"c{i % 40:02d}", 5 + i % 40, b, s, s + 5 + i % 40) for i in range(300) for b, s in ((rng.randrange(3), rng.randrange(200)),)]
+    frame = spark.createDataFrame(sorted(set(rows)), "cluster string, length int, bucket_id long, start int, end int")
+    found = []
+    for cell in (1 << 20, 64, 7):
+        monkeypatch.setattr(passages, "CELL", cell)
+        found.append(sorted(map(tuple, passages.uncontained(frame).collect())))
+    assert found[0] and found[0] == found[1] == found[2]
