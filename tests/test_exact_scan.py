@@ -76,3 +76,14 @@ def test_containment_does_not_depend_on_cells(spark, monkeypatch):
         monkeypatch.setattr(passages, "CELL", cell)
         found.append(sorted(map(tuple, passages.uncontained(frame).collect())))
     assert found[0] and found[0] == found[1] == found[2]
+
+
+def test_pairs_of_sources_are_those_of_texts(spark, monkeypatch):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    long = word(500)
+    rows = spark.createDataFrame(list(enumerate([long, long[100:400] + word(50), word(70) + long[:120] + word(9) + long[300:], word(200), long[:150] * 2])), SOURCE)
+    lengths = rows.selectExpr("bucket_id", "length(text) as chars")
+    expected = sorted(map(repr, passages.pair_rows(passages.scan(rows), lengths).collect()))
+    monkeypatch.setattr(passages, "spans", None)  # no texts of blocks
+    assert expected and sorted(map(repr, passages.pair_rows(passages.exact_spans(rows), lengths).collect())) == expected
